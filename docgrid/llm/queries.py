@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.ngram_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), k=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrid.llm.shard import shard_rows
 
@@ -54,6 +60,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, RULES, edges).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=200).withColumnRenamed("id", "doc_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +76,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_exact_dedup, op4_quality, op6_shard, op7_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op1_pii, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
