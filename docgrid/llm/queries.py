@@ -17,6 +17,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_url", "n_account")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.decontam import contamination
+
+    docs = documents(spark, sf_dir)
+    hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("id")
+    every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row")).join(hits, "row", "left")
+    return every.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"), "item_ids", "distances", "spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrid.llm.exact_dedup import exact_groups
 
@@ -76,7 +85,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
