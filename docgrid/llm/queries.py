@@ -84,8 +84,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.lm import score_documents, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, counts, _ = train(docs.where(crc_mod("doc_id", 10) != 0))
+    scored = score_documents(docs, model, counts).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
