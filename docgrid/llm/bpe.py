@@ -1,9 +1,9 @@
 """Byte-level BPE, encoding and decoding.
 
 Each pre-token is a linked list of parts. Every mergeable pair stands in the
-bucket of its merge rank; a bitmap of three levels marks the buckets in use,
-so that find-first-set yields the lowest rank in three steps. A merge puts at
-most two new pairs in; pairs that a merge has made stale stay in their buckets
+bucket of its merge rank; a bitmap of two levels (256 ranks to a word) marks the
+buckets in use, so that find-first-set twice yields the lowest rank. A merge
+puts at most two new pairs in; pairs that a merge has made stale stay in their buckets
 and are skipped when they come up. The cost of a pre-token of n bytes is
 O(n log n) whatever its shape, also for one of many megabytes.
 """
@@ -16,95 +16,81 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose ids a worker remembers, and the longest that it does.
-CACHE_SIZE, CACHE_LONGEST = 400_000, 64
-
-
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank's leftmost position."""
-
-    def __init__(self) -> None:
-        self.top, self.mid, self.low = 0, {}, {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word, half = rank >> 6, rank >> 12
-            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-            self.mid[half] = self.mid.get(half, 0) | 1 << (word & 63)
-            self.top |= 1 << half
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        half = (top & -top).bit_length() - 1
-        bits = self.mid[half]
-        word = half << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] ^= 1 << (rank & 63)
-            if not self.low[word]:
-                self.mid[half] ^= 1 << (word & 63)
-                if not self.mid[half]:
-                    self.top ^= 1 << half
-        return rank, position
+CACHE_SIZE, CACHE_LONGEST = 1_000_000, 64
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: always the lowest rank's leftmost pair first."""
-    whole = ranks.get(piece)
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     after = list(range(1, n + 1))  # where the part that begins here ends
-    before = list(range(-1, n - 1))  # where the part before it begins
-    due = [-1] * n  # the rank of the pair that begins here, -1: none
-    queue = RankQueue()
+    before = list(range(-1, n))  # where the part before it begins
+    due = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that begins here, -1: none
+    due.append(-1)
+    buckets: dict[int, list[int]] = {}  # by rank: a heap of places
+    low: dict[int, int] = {}  # by the rank's upper bits: which ranks have a bucket
+    top = 0  # which of these words aren't empty
+
+    def push(rank: int, i: int) -> None:
+        nonlocal top
+        bucket = buckets.get(rank)
+        if bucket is None:
+            buckets[rank] = [i]
+            word = rank >> 8
+            low[word] = low.get(word, 0) | 1 << (rank & 255)
+            top |= 1 << word
+        else:
+            heappush(bucket, i)
+
     for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            due[i] = rank
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
+        if due[i] >= 0:
+            push(due[i], i)
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << 8 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            bits &= bits - 1
+            low[word] = bits
+            if not bits:
+                top &= top - 1
         if due[i] != rank:
             continue  # stale
         j = after[i]
         end = after[j]
         after[i] = end
         due[j] = -1
+        new = -1
         if end < n:
             before[end] = i
-            rank = ranks.get(piece[i : after[end]], -1)
-        else:
-            rank = -1
-        due[i] = rank
-        if rank >= 0:
-            queue.push(rank, i)
+            new = get(piece[i : after[end]], -1)
+            if new >= 0:
+                push(new, i)
+        due[i] = new
         k = before[i]
         if k >= 0:
-            rank = ranks.get(piece[k:end], -1)
-            if rank != due[k]:
-                due[k] = rank
-                if rank >= 0:
-                    queue.push(rank, k)
+            new = get(piece[k:end], -1)
+            if new != due[k]:
+                due[k] = new
+                if new >= 0:
+                    push(new, k)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        j = after[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 
@@ -120,18 +106,19 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {str(i): b for b, i in ranks.items()}
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def _ids(self, piece: str) -> str:
-        out = " ".join(map(str, merge(piece.encode("utf-8", "surrogatepass"), self.ranks)))
+        out = self.older.get(piece) or " ".join(map(str, merge(piece.encode(), self.ranks)))
         if len(piece) <= CACHE_LONGEST:
-            if len(self.known) >= CACHE_SIZE:
-                self.known.clear()
+            if len(self.known) >= CACHE_SIZE // 2:  # what isn't asked for again falls out
+                self.older, self.known = self.known, {}
             self.known[piece] = out
         return out
 
     def encode(self, text: str) -> str:
         """Ids in decimal, joined by one space."""
-        known, ids = self.known.get, self._ids
+        known, ids = self.known.get, self._ids  # a turn of the cache in between only costs look-ups
         return " ".join([known(x) or ids(x) for x in self.split(text)])
 
     def decode(self, ids: str) -> bytes:
@@ -169,11 +156,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                     sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                     if keep_ids:
-                        kept.append([int(x) for x in ids.split(" ")] if ids else [])
+                        kept.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    at = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(kept))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
