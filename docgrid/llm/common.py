@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +49,18 @@ def forget(spark: SparkSession, where: str) -> None:
         return
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch while it lasts: texts are long, and a batch is whole in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(old)) if int(old) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again.
 
@@ -56,11 +70,18 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/docgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    with arrow_rows(spark):
+        df.write.parquet(where)
     atexit.register(forget, spark, where)
     return spark.read.schema(df.schema).parquet(where), where
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files behind a cut serve no plan any more; Spark removes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -112,7 +133,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a base, and of its inverse, modulo 2**64."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, STEP_BYTES + (1 << 16))
+        size = max(n, 1 << 19)
         base = _BASES[which]
         inverse = pow(base, -1, 2**64)
         out = []

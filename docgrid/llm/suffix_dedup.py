@@ -40,7 +40,7 @@ GRAM = 64
 #: Offsets in a cell.
 CELL = 12
 #: Bytes of text, and entries, that a task works on at a time.
-PIECE, HOLD = 1 << 20, 1 << 20
+PIECE, HOLD = 1 << 18, 1 << 18
 
 _ANCHOR = np.dtype([("name", "<u8"), ("key", "<i8"), ("at", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 _CELL = np.dtype([("name", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("key", "<i8"), ("at", "<i4"), ("lo", "<i2"), ("hi", "<i2"), ("flag", "u1")])
