@@ -16,6 +16,16 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+#: Modules that register queries.
+MODULES = ("relational",)
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"docgrid.plans.{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
