@@ -17,7 +17,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 #: Modules that register queries.
-MODULES = ("relational", "frames", "grids")
+MODULES = ("relational", "frames", "grids", "texts")
 
 
 def load() -> None:
