@@ -365,3 +365,90 @@ def context_pairs(df: DataFrame, key: str, words: str, window: int) -> DataFrame
     every = F.posexplode(words).alias("pos", "word")
     near = F.explode(F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: (F.abs(s["i"] - F.col("pos")) <= window) & (s["i"] != F.col("pos"))))
     return df.select(key, words, every).select(key, "pos", "word", near.alias("c")).select(key, "pos", "word", F.col("c.w").alias("context"))
+
+
+def title_text(c: Column) -> Column:
+    """A copied table title: line breaks and marks of continuation out, white space squeezed."""
+    return squeeze(F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", " "), r"(?i)\(?\bcont(?:inue)?'?d\b\.?\)?", ""))
+
+
+def underscores(c: Column) -> Column:
+    """Underscores as spaces; [F29] is the other way round."""
+    return F.replace(c, F.lit("_"), F.lit(" "))
+
+
+def tag_column(c: Column) -> Column:
+    """[F29]"""
+    return F.replace(c, F.lit(" "), F.lit("_"))
+
+
+def iso_date(c: Column) -> Column:
+    """[F31]"""
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def new_id() -> Column:
+    """A random UUID; not reproducible, so write it once."""
+    return F.uuid()
+
+
+def contains_pattern(c: Column, pattern: str) -> Column:
+    """[P13] Null is false."""
+    return F.coalesce(c.rlike(pattern), F.lit(False))
+
+
+def all_strings(df: DataFrame, strip: bool = False) -> DataFrame:
+    """[P17, P18] Every column as text; ``strip``: without white space at both ends."""
+    cell = lambda c: F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", "") if strip else F.col(c).cast("string")
+    return df.select(*[cell(c).alias(c) for c in df.columns])
+
+
+def set_where(df: DataFrame, column: str, rules: Sequence[tuple[Column, str]]) -> DataFrame:
+    """[P19] Cells by the first rule that holds."""
+    out = F.col(column)
+    for where, value in reversed(list(rules)):
+        out = F.when(where, F.lit(value)).otherwise(out)
+    return df.withColumn(column, out)
+
+
+def concat_corpora(*parts: DataFrame) -> DataFrame:
+    """[U2]"""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def literal_table(spark, values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """[S25] (label, phrase) of a literal dictionary."""
+    return spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "label string, phrase string")
+
+
+def blank_sub_labels(df: DataFrame, vec: str, sub: str, blanked: Sequence[str], allowed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """[X10] Sub-labels of some labels go blank; of others only the allowed pairs stay."""
+    fits = F.lit(True)
+    for label, subs in allowed.items():
+        fits = fits & ((F.col(vec) != label) | F.col(sub).isin(list(subs)))
+    return df.withColumn(sub, F.when(F.col(vec).isin(list(blanked)), F.lit("")).otherwise(F.col(sub))).where(F.coalesce(fits, F.lit(False)))
+
+
+def save_model(model, path: str) -> None:
+    """[N14] An embedding model as a folder; ``load_model`` reads it."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """[N14]"""
+    from pyspark.ml.feature import Word2VecModel
+
+    return Word2VecModel.load(path)
+
+
+def plane(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """[N15] Two principal components, columns x and y."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = vectors.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    out = PCA(k=2, inputCol="__v", outputCol="__p").fit(df).transform(df).withColumn("__p", vector_to_array("__p"))
+    return out.withColumn("x", F.col("__p")[0]).withColumn("y", F.col("__p")[1]).drop("__v", "__p")

@@ -229,3 +229,19 @@ def incremental_work(s, d):
     """What is left to do: by marker, and by the table of what is done."""
     csvs = view(s, d, "csvs")
     return csvs.where("processed is not null").join(csvs.where("accepted is not null").select("csv_id"), "csv_id", "left_anti").select("csv_id")
+
+
+@_put("subset_and_strings", "P15 P17 P18 P19 O2", "select cast(c_custkey as varchar) as c_custkey, trim(c_name) as c_name, case when c_acctbal < 0 then 'debt' when c_nationkey = 1 then 'one' else c_mktsegment end as c_mktsegment from customer")
+def subset_and_strings(s, d):
+    from docgrid.functions.text import all_strings, set_where
+
+    c = table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    out = set_where(c, "c_mktsegment", [(F.col("c_acctbal") < 0, "debt"), (F.col("c_nationkey") == 1, "one")])
+    return all_strings(out.select("c_custkey", "c_name", "c_mktsegment"), strip=True)
+
+
+@_put("event_windows", "A4", "select event_type, strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as hour, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def event_windows(s, d):
+    from docgrid.streaming.increment import counts_by_window
+
+    return counts_by_window(table(s, d, "events")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "total")

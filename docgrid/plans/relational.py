@@ -156,5 +156,5 @@ report("totals_cube", "A24", """
     select coalesce(d.company, 'All') as company, coalesce(i.status, 'All') as status, count(*) as n, cast(grouping(d.company) as int) as g1, cast(grouping(i.status) as int) as g2
     from (select table_id, coalesce(status, 'none') as status from issues) i join doc_tables t on t.table_id = i.table_id join pdfs d on d.pdf_name = t.pdf_name group by cube (d.company, i.status)""")
 report("count_in_list", "A25 P12", "select count(*) as n from issues where table_id in (select head_id from doc_tables where headers_tagged = 1)")
-report("format_summary", "A22 A12", "select loc_format, count(*) as n, round(count(*) * 100.0 / (select count(*) from locations), 2) as percent from locations group by loc_format")
+report("format_summary", "A22 A12", "select loc_format, count(*) as n, cast(round(count(*) * 100.0 / (select count(*) from locations), 2) as double) as percent from locations group by loc_format")
 report("histogram_first_example", "A18 A19 A20 O5", "select title, count(*) as n, min(table_id) as example from headers group by title order by n desc, title")
