@@ -14,9 +14,17 @@ they are large enough to link with a set in it.
 
 Signatures meet in buckets of the hash space. Copies and equal signatures
 collapse inside each task first, so a group of any size reaches its bucket as
-one entry for each task. Members of a signature are tested against a pivot, not
-against each other; members whose components stay apart get further pivots, and
-those still apart in the end are tested exactly, pair by pair.
+one entry for each task.
+
+The texts of a signature aren't tested against each other but against a pivot p.
+Linked texts x and y share at least t = q (|x| + |y|) features, q = percent /
+(100 + percent). Within p they share at most m, the smaller of |x & p| and
+|y & p|, so outside p they share t - m or more. Pairs for which that is nothing
+are tested. Of all others, both have one of their first |x - p| - (t - m) + 1
+features outside p in common (t for the smallest partner there is; the order is
+the same for all texts of p's star, those that many of them have come last):
+texts in different components that share one form the groups of the next round. Pivots rise in a fixed order from round to round, so the rounds
+end; no pair that may link is left out, and no large group is paired out.
 """
 
 from __future__ import annotations
@@ -28,15 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import cut, forget, mix, steps, words
+from docgrid.llm.common import cut, forget, mix, release, steps, words
 from docgrid.llm.components import components
 
 #: Growth of the size bands.
 BAND = 1.5
 #: Signatures that a task holds before it hands them on.
 HOLD = 1 << 21
-#: Rounds of pivots before the members still apart are tested pair by pair.
-PIVOT_ROUNDS = 6
+#: Pairs of different components for each member, up to which a group is tested pair by pair, by round; the last holds from then on.
+PAIRED = (4, 16, 64, 128)
+#: Texts of a star, about, from which the order of its features is taken, and the least star that needs one; they decide how much work there is, not the result.
+SAMPLED, SAMPLED_FROM = 12, 48
 
 
 def _fold(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -106,16 +116,17 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _slim(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, set0, set1): the size of each set and a 128-bit hash of it."""
+    """(id, n, set0, set1, sketch): the size of each set, a 128-bit hash of it, and its features counted in 256 bins (a byte each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
             sets = shingle_sets(data, offsets, k)
             n = np.array([len(s) for s in sets], np.int64)
             sums = [np.array([s.sum(dtype=np.uint64) if not i else mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1])], names=["id", "n", "set0", "set1"])
+            bins = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(bins, pa.binary())], names=["id", "n", "set0", "set1", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, set0 long, set1 long")
+    return docs.mapInArrow(run, "id long, n long, set0 long, set1 long, sketch binary")
 
 
 _PACKED = "bucket int, sigs binary, ids binary, pivots binary"
@@ -206,29 +217,83 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, id long, pivot long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link; both texts of a pair come together by two joins."""
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, star) without those, not of a star, whose sketches are too far apart for a link.
+
+    Bins differ in total by no more than the sets do, so no link is lost. Ids
+    with several texts have no sketch and stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
         for batch in batches:
-            us, vs, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            one = pa.RecordBatch.from_arrays([batch.column(3)], names=["text"])
-            others = (s for _, data, offsets in steps(iter([one])) for s in shingle_sets(data, offsets, k))
-            for i, (u, v, b) in enumerate(zip(us, vs, others)):
-                text = batch.column(2)[i].as_py() or ""
-                if last != text:
-                    _, data, offsets = next(steps(iter([pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])])))
-                    last, last_set = text, shingle_sets(data, offsets, k)[0]
-                a = last_set
-                shared = len(a) + len(b) - len(np.union1d(a, b))
-                if len(a) and len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
-                    out.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+            keep = batch.column("star").to_numpy(zero_copy_only=False).copy()
+            for i, (a, b, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))):
+                if not keep[i]:
+                    apart = 0 if a is None or b is None else int(np.abs(np.frombuffer(a, np.uint8).astype(np.int64) - np.frombuffer(b, np.uint8)).sum())
+                    keep[i] = a is None or b is None or apart * (100 + percent) <= (n + m) * (100 - percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["u", "v", "star"]).filter(pa.array(keep))
+
+    one = pairs.withColumnRenamed("u", "x").join(sketches.select(F.col("id").alias("x"), F.col("n"), F.col("sketch").alias("a")), "x")
+    two = one.withColumnRenamed("v", "y").join(sketches.select(F.col("id").alias("y"), F.col("n").alias("m"), F.col("sketch").alias("b")), "y")
+    return two.select(F.col("x").alias("u"), F.col("y").alias("v"), "star", "n", "m", "a", "b").mapInArrow(run, "u long, v long, star boolean")
 
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """Pairs (u, v, ...) with both texts, by two joins."""
     right = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")), "v")
-    both = right.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right")
-    return both.mapInArrow(run, "u long, v long")
+    return right.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")), "u").select("u", "v", *more, "left", "right")
+
+
+def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, set of left, set of right); a left text that comes again isn't split again."""
+    last, a, i = None, None, 0
+    for part, data, offsets in steps(iter([pa.RecordBatch.from_arrays([batch.column("right")], names=["text"])])):
+        for b in shingle_sets(data, offsets, k):
+            text = batch.column("left")[i].as_py() or ""
+            if last is None or last != text:
+                last = text
+                lone = pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])
+                a = next(s for _, d, o in steps(iter([lone])) for s in shingle_sets(d, o, k))
+            yield i, a, b
+            i += 1
+
+
+def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What b has and a hasn't, both sorted."""
+    if not len(a):
+        return b
+    return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
+
+
+def _tested(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(u, v, star, nu, nv, shared): sizes and the number of common features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.array([(len(a), len(b), len(b) - len(_rest(a, b))) for _, a, b in _sets_of(batch, k)], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["u", "v", "star", "nu", "nv", "shared"])
+
+    return _with_texts(pairs, texts, "star").mapInArrow(run, "u long, v long, star boolean, nu long, nv long, shared long")
+
+
+def _outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Of pairs (u, v, first, often): (u, v, features), the first features of v that u hasn't, those in ``often`` last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, oftens, out = batch.column(2).to_pylist(), batch.column(3), []
+            for i, a, b in _sets_of(batch, k):
+                rest = _rest(a, b)
+                often = oftens[i].values
+                if often is not None and len(often):
+                    late = np.isin(rest, often.to_numpy().view(np.uint64))
+                    rest = np.concatenate([rest[~late], rest[late]])
+                out.append(rest[: firsts[i]])
+            where = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            values = np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(where), pa.array(values))], names=["u", "v", "features"])
+
+    return _with_texts(pairs, texts, "first", "often").mapInArrow(run, "u long, v long, features array<long>")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -246,60 +311,110 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(6, (2 * partitions - 1).bit_length())
-    slim, slim_at = cut(_slim(rows, k), "sets")
+    slim, _ = cut(_slim(rows, k), "sets")
     found, found_at = cut(_meet(rows, k, percent, buckets), "met")
+    release(spark)
 
     # equal sets: the smallest id stands for all
     sized = slim.where("n > 0 and id is not null")
-    classes = sized.groupBy("n", "set0", "set1").agg(F.min("id").alias("rep"))
-    member, member_at = cut(sized.join(classes, ["n", "set0", "set1"]).select("id", "n", "rep"), "classes")
-    of = member.groupBy("id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
-    ends = found.select("sig", "id").unionByName(found.select("sig", F.col("pivot").alias("id"))).distinct()
-    seats, seats_at = cut(ends.join(of, "id").select("sig", F.col("rep").alias("id"), "n").distinct(), "seats")
+    classes, _ = cut(sized.groupBy("n", "set0", "set1").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "sketches")
+    member, _ = cut(sized.select("id", "n", "set0", "set1").join(classes.drop("sketch"), ["n", "set0", "set1"]).select("id", "rep").distinct(), "classes")
+    sketches = classes.groupBy(F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"))
+    of = member.groupBy("id").agg(F.min("rep").alias("rep"))
+
+    # the pivot of a signature: what met in one task has that task's, which has the signature's
+    up = found.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("above"))
+    stars = found.join(up, ["sig", "pivot"], "left").select("sig", F.coalesce("above", "pivot").alias("p"), F.col("id").alias("x"))
+    several = stars.groupBy("sig").agg((F.count(F.lit(1)) > 1).alias("star"))
+    stars = stars.join(several, "sig").groupBy("p", "x").agg(F.count(F.lit(1)).alias("met"), F.bool_or("star").alias("star"))
+    stars = stars.join(of.withColumnRenamed("id", "p").withColumnRenamed("rep", "u"), "p").join(of.withColumnRenamed("id", "x").withColumnRenamed("rep", "v"), "x")
+    pairs, pairs_at = cut(stars.where("u != v").groupBy("u", "v").agg(F.sum("met").alias("met"), F.bool_or("star").alias("star")), "pairs")
     forget(spark, found_at)
-    texts, texts_at = cut(rows.join(seats.select("id").distinct(), "id", "left_semi"), "texts")
-
-    def close(a: str, b: str):
-        return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-    def pivot_pairs(seated: DataFrame, turn: int) -> DataFrame:
-        """Each seat with the pivot of its signature, where sizes allow a link."""
-        order = F.struct((F.xxhash64(F.lit(turn), "id") if turn else F.col("id")).alias("first"), "id", "n", *(["root"] if turn else []))
-        pivots = seated.groupBy("sig").agg(F.min(order).alias("p"))
-        met = seated.join(pivots, "sig").where(F.col("id") != F.col("p.id")).where(close("n", "p.n"))
+    # pivots of later rounds: those first that share most signatures
+    rank, _ = cut(pairs.select(F.col("u").alias("id"), "met").unionByName(pairs.select(F.col("v").alias("id"), "met")).groupBy("id").agg((-F.sum("met")).alias("first")), "rank")
+    texts, texts_at = cut(rows.join(rank.select("id"), "id", "left_semi"), "texts")
+    release(spark)
+
+    def linked(shared: str, a: str, b: str):
+        return 100 * F.col(shared) >= percent * (F.col(a) + F.col(b) - F.col(shared))
+
+    label = rank.select("id", F.col("id").alias("root"))
+    pairs = pairs.select("u", "v", "star")
+    turn, tried = 0, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    while True:
+        tested, tested_at = cut(_tested(_possible(pairs, sketches, percent), texts, k), "tested")
         if turn:
-            met = met.where(F.col("root") != F.col("p.root"))
-        return met.select(F.col("p.id").alias("u"), F.col("id").alias("v")).distinct()
-
-    pairs, _ = cut(pivot_pairs(seats, 0), "pairs")
-    tried, links = [pairs], [cut(_verify(pairs, texts, k, percent), "links")[0]]
-    same_id = member.where("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    for turn in range(1, PIVOT_ROUNDS + 2):
-        reached = components(union(links))
-        seated, _ = cut(seats.join(reached.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "seated")
-        apart = seated.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("sig")
-        open_seats, _ = cut(seated.join(apart, "sig", "left_semi"), "open")
-        if turn <= PIVOT_ROUNDS:
-            pairs = pivot_pairs(open_seats, turn)
-        else:
-            other = open_seats.select("sig", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-            pairs = open_seats.join(other, "sig").where("id < v and root != r").where(close("n", "m")).select(F.col("id").alias("u"), "v").distinct()
-        done = union(tried)
-        done = done.unionByName(done.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pairs, _ = cut(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried.append(pairs)
-            links.append(cut(_verify(pairs, texts, k, percent), "links")[0])
-        elif open_seats.isEmpty():
+            forget(spark, pairs_at)
+        # components so far, joined by the links that are new
+        named = tested.join(label.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
+        links, _ = cut(named.where(linked("shared", "nu", "nv")).where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "links")
+        if not links.isEmpty():
+            reached = components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
+            label, _ = cut(label.join(reached, "root", "left").select("id", F.coalesce("above", "root").alias("root")), "label")
+            named = tested.join(label.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
+        named = named.where("star")
+        apart = named.where("ru != rv").select("u").distinct()
+        star, star_at = cut(named.join(apart, "u", "left_semi").select("u", "v", "nv", "shared", "ru", "rv"), "star")
+        if star.isEmpty():
+            break
+        # what the bound allows: a text apart from the pivot with a smaller one
+        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
+        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
+        each = PAIRED[min(turn, len(PAIRED) - 1)]
+        turn += 1
+
+        def crossing(members: DataFrame, by: str) -> DataFrame:
+            """(by, size, crossing): members of each group, and pairs of them in different components."""
+            parts = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("c"))
+            sums = parts.groupBy(by).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"))
+            return sums.select(by, "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("crossing"))
+
+        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
+        partner = F.greatest(F.col("least"), F.ceil(F.col("nv") * percent / 100))
+        outside = F.greatest(F.lit(1), F.ceil((F.col("nv") + partner) * percent / (100 + percent)) - F.col("shared"))
+        least = star.groupBy("u").agg(F.min("nv").alias("least"))
+        known = star.withColumnRenamed("rv", "root").join(least, "u").withColumns({"outside": outside, "most": most})
+        # of texts in the pivot's component only those count that share enough with one apart from it
+        needed = known.where("root != ru").groupBy("u").agg(F.min("outside").alias("needed"))
+        shape, shape_at = cut(crossing(known, "u").join(least, "u").join(needed, "u"), "shape")
+        sizes = known.select("u", "v", F.col("nv").alias("n"), "ru", "root", "most").join(shape.select("u", "least", (F.col("crossing") <= each * F.col("size")).alias("small")), "u")
+        near = sizes.where("most >= least or small").drop("least")
+        other = near.select("u", F.col("v").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("limit"))
+        fits = f"small and 100 * least(n, m) >= {percent} * greatest(n, m) or m <= most and n <= limit"
+        allowed = near.where("root != ru").join(other, "u").where(f"root != other and (other = ru or v < y) and ({fits})")
+        direct = allowed.select(F.least("v", "y").alias("u"), F.greatest("v", "y").alias("v"))
+        # and those that share one of their first features outside the pivot
+        large = known.drop("least").join(shape.where(F.col("crossing") > each * F.col("size")).select("u", "needed", "size"), "u")
+        large = large.withColumn("first", (F.col("nv") - F.col("shared") - F.greatest("outside", "needed") + 1).cast("int")).where("first > 0")
+        large, large_at = cut(large.select("u", "v", F.col("nv").alias("n"), "root", "first", "size"), "large")
+        # any order of features will do; one in which those come last that many texts of the star have keeps groups small
+        some = large.where(F.col("size") >= SAMPLED_FROM).where(F.pmod(F.xxhash64("u", "v"), F.col("size")) < SAMPLED).select("u", "v", F.lit(2**31 - 1).alias("first"), F.lit(None).cast("array<long>").alias("often"))
+        often = _outside(some, texts, k).select("u", F.explode("features").alias("f")).groupBy("u", "f").agg(F.count(F.lit(1)).alias("times"))
+        often, often_at = cut(often.where(F.col("times") >= SAMPLED // 4).groupBy("u").agg(F.collect_list("f").alias("often")), "often")
+        firsts = _outside(large.join(often, "u", "left").select("u", "v", "first", "often"), texts, k)
+        seats = firsts.join(large.select("u", "v", "n", "root"), ["u", "v"]).select("u", F.col("v").alias("id"), "n", "root", F.explode("features").alias("f"))
+        seats, seats_at = cut(seats.select(F.xxhash64("u", "f").alias("group"), "id", "n", "root"), "seats")
+        groups = crossing(seats, "group").where("crossing > 0").select("group", (F.col("crossing") <= each * F.col("size")).alias("small"))
+        open_, open_at = cut(seats.join(groups, "group"), "open")
+        few = open_.where("small")
+        other = few.select("group", F.col("id").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))
+        paired = few.join(other, "group").where(f"id < y and root != other and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("u"), F.col("y").alias("v"))
+        many = open_.where("not small").select("group", "id").distinct().join(rank, "id")
+        pivots = many.groupBy("group").agg(F.min(F.struct("first", "id")).alias("p"))
+        again = many.join(pivots, "group").where(F.col("id") != F.col("p.id")).select(F.col("p.id").alias("u"), F.col("id").alias("v"))
+        direct = direct.unionByName(paired).distinct().join(tried, ["u", "v"], "left_anti")  # a pair is tested once
+        pairs, pairs_at = cut(again.withColumn("star", F.lit(True)).unionByName(direct.withColumn("star", F.lit(False))).groupBy("u", "v").agg(F.bool_or("star").alias("star")), "pairs")
+        tried, _ = cut(tried.unionByName(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "tried")
+        for place in (tested_at, star_at, shape_at, large_at, often_at, seats_at, open_at):
+            forget(spark, place)
+        release(spark)
+        if pairs.isEmpty():
             break
-    reached = components(union([*links, same_id]))
     forget(spark, texts_at)
-    out = slim.select("id", F.col("n").alias("n_shingles")).join(reached.withColumnRenamed("node", "id"), "id", "left")
+    roots = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    repeated = roots.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    if not repeated.isEmpty():  # rows of one id with several texts join their components
+        reached = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")))
+        roots = reached.select(F.col("node").alias("id"), "root")
+    out = slim.select("id", F.col("n").alias("n_shingles")).join(roots.distinct(), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))

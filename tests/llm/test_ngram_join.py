@@ -94,3 +94,19 @@ def test_linked_sets_share_a_signature():
                 if rng.random() < 0.02:
                     break
             assert len(np.intersect1d(signatures(a, bands), signatures(b, bands)))
+
+
+def test_a_dense_group_around_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(150):  # copies with none to eight edits; some edits are shared
+        w = list(base)
+        for _ in range(rng.integers(0, 9)):
+            j = int(rng.integers(0, 30)) * 3
+            w[j : j + 1] = [] if rng.random() < 0.2 else [f"e{j}-{rng.integers(3)}"]
+        rows.append((int(i * 7 % 151), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted([(r.id, r.n_shingles, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()], key=str)
+    assert got == brute(rows, 4, 85)
+    assert len({c for _, _, c in got}) > 10
