@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

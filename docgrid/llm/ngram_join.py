@@ -42,7 +42,7 @@ from docgrid.llm.components import components
 #: Growth of the size bands.
 BAND = 1.5
 #: Signatures that a task holds before it hands them on.
-HOLD = 1 << 21
+HOLD = 1 << 19
 #: Pairs of different components for each member, up to which a group is tested pair by pair, by round; the last holds from then on.
 PAIRED = (4, 16, 64, 128)
 #: Texts of a star, about, from which the order of its features is taken, and the least star that needs one; they decide how much work there is, not the result.
