@@ -29,7 +29,8 @@ end; no pair that may link is left out, and no large group is paired out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ BAND = 1.5
 HOLD = 1 << 19
 #: Pairs of different components for each member, up to which a group is tested pair by pair, by round; the last holds from then on.
 PAIRED = (4, 16, 64, 128)
+#: Pairs of texts at least that are brought together at a time; more where there are more texts.
+PAIRS_AT_ONCE = 50_000
 #: Texts of a star, about, from which the order of its features is taken, and the least star that needs one; they decide how much work there is, not the result.
 SAMPLED, SAMPLED_FROM = 12, 48
 
@@ -296,6 +299,19 @@ def _outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return _with_texts(pairs, texts, "first", "often").mapInArrow(run, "u long, v long, features array<long>")
 
 
+def _in_blocks(pairs: DataFrame, most: int, make: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, list[str]]:
+    """``make`` of the pairs, written block by block, so that no more than about ``most`` pairs of texts are in shuffle files at a time."""
+    spark, blocks = pairs.sparkSession, max(1, math.ceil(pairs.count() / most))
+    out, places = None, []
+    for b in range(blocks):
+        block = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(blocks)) == b) if blocks > 1 else pairs
+        part, place = cut(make(block), name)
+        if blocks > 1:
+            release(spark)
+        out, places = part if out is None else out.unionByName(part), [*places, place]
+    return out, places
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of ``docs``.
 
@@ -340,9 +356,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     label = rank.select("id", F.col("id").alias("root"))
     pairs = pairs.select("u", "v", "star")
+    most_pairs = max(PAIRS_AT_ONCE, slim.count() // 3)
     turn, tried = 0, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     while True:
-        tested, tested_at = cut(_tested(_possible(pairs, sketches, percent), texts, k), "tested")
+        tested, tested_at = _in_blocks(pairs, most_pairs, lambda p: _tested(_possible(p, sketches, percent), texts, k), "tested")
         if turn:
             forget(spark, pairs_at)
         # components so far, joined by the links that are new
@@ -391,7 +408,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some = large.where(F.col("size") >= SAMPLED_FROM).where(F.pmod(F.xxhash64("u", "v"), F.col("size")) < SAMPLED).select("u", "v", F.lit(2**31 - 1).alias("first"), F.lit(None).cast("array<long>").alias("often"))
         often = _outside(some, texts, k).select("u", F.explode("features").alias("f")).groupBy("u", "f").agg(F.count(F.lit(1)).alias("times"))
         often, often_at = cut(often.where(F.col("times") >= SAMPLED // 4).groupBy("u").agg(F.collect_list("f").alias("often")), "often")
-        firsts = _outside(large.join(often, "u", "left").select("u", "v", "first", "often"), texts, k)
+        firsts, firsts_at = _in_blocks(large, most_pairs, lambda p: _outside(p.join(often, "u", "left").select("u", "v", "first", "often"), texts, k), "firsts")
         seats = firsts.join(large.select("u", "v", "n", "root"), ["u", "v"]).select("u", F.col("v").alias("id"), "n", "root", F.explode("features").alias("f"))
         seats, seats_at = cut(seats.select(F.xxhash64("u", "f").alias("group"), "id", "n", "root"), "seats")
         groups = crossing(seats, "group").where("crossing > 0").select("group", (F.col("crossing") <= each * F.col("size")).alias("small"))
@@ -405,7 +422,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         direct = direct.unionByName(paired).distinct().join(tried, ["u", "v"], "left_anti")  # a pair is tested once
         pairs, pairs_at = cut(again.withColumn("star", F.lit(True)).unionByName(direct.withColumn("star", F.lit(False))).groupBy("u", "v").agg(F.bool_or("star").alias("star")), "pairs")
         tried, _ = cut(tried.unionByName(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "tried")
-        for place in (tested_at, star_at, shape_at, large_at, often_at, seats_at, open_at):
+        for place in (*tested_at, *firsts_at, star_at, shape_at, large_at, often_at, seats_at, open_at):
             forget(spark, place)
         release(spark)
         if pairs.isEmpty():

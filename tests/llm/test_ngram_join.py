@@ -110,3 +110,13 @@ def test_a_dense_group_around_the_threshold(spark):
     got = sorted([(r.id, r.n_shingles, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()], key=str)
     assert got == brute(rows, 4, 85)
     assert len({c for _, _, c in got}) > 10
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    from docgrid.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 4)
+    rows = corpus(7, 45)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted([(r.id, r.n_shingles, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()], key=str)
+    assert got == brute(rows, 4, 85)
