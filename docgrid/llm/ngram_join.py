@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import cut, forget, mix, release, steps, words
+from docgrid.llm.common import arrow_rows, cut, forget, mix, release, steps, words
 from docgrid.llm.components import components
 
 #: Growth of the size bands.
@@ -328,7 +328,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(6, (2 * partitions - 1).bit_length())
     slim, _ = cut(_slim(rows, k), "sets")
-    found, found_at = cut(_meet(rows, k, percent, buckets), "met")
+    with arrow_rows(spark, 64):  # a row holds a bucket's signatures of a whole task
+        found, found_at = cut(_meet(rows, k, percent, buckets), "met")
     release(spark)
 
     # equal sets: the smallest id stands for all
