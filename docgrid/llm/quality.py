@@ -1,14 +1,15 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Preference pairs (a good and a poor document) train a linear score by
-logistic loss on the difference of their features; a quantile of the training
-scores is the threshold.
+logistic loss on the difference of their features, on a bounded sample; the
+threshold is a quantile of the scores of all labelled rows, so it doesn't move
+with the size of the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import IS_SPACE, prefix_hash, steps, sub_hash, words
+from docgrid.llm.common import IS_SPACE, cut, forget, prefix_hash, steps, sub_hash, words
 
 #: Labelled rows of each class that the ranker is fitted on, at most (the lowest hashes of the id).
 SAMPLE_PER_CLASS = 8000
@@ -130,19 +131,69 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker:
     return Ranker(mean, spread, w, float((raw[cut - 1] + raw[cut]) / 2))
 
 
-def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(id, label): of each class the ``per_class`` rows with the lowest hash of the id.
+def clean_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, label) of all rows that can be learnt from.
 
     Rows with a null id or label, or another label than 0 and 1, are left
     out; an id labelled both ways gives two rows.
     """
-    clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+
+
+def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(id, label): of each class the ``per_class`` clean rows with the lowest hash of the id."""
+    clean = clean_labels(labels, id_col, label_col)
     parts = [clean.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Finite doubles as longs of the same order; its own inverse on the bits."""
+    bits = np.ascontiguousarray(x, np.float64).view(np.int64)
+    return bits ^ ((bits >> np.int64(63)) & np.int64(2**63 - 1))
+
+
+def select_rank(keys: DataFrame, rank: int) -> tuple[int, int]:
+    """(value, rows up to it) of the long column ``k`` without nulls at ``rank`` (from 0), by counts of 16 bits at a time."""
+    prefix, below = 0, 0
+    for shift in (48, 32, 16, 0):
+        part = keys if shift == 48 else keys.where(F.shiftright("k", shift + 16) == F.lit(prefix))
+        digits = part.groupBy(F.shiftright("k", shift).alias("d")).count().collect()  # 65,536 rows at most
+        for d, n in sorted((r["d"], r["count"]) for r in digits):
+            if below + n > rank:
+                prefix = d
+                break
+            below += n
+    return prefix, below + n
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> float:
+    """The quantile of the raw scores of all labelled rows at the share of label 0, exact; 0 without rows of both labels.
+
+    Scores meet the labels, so no text is shuffled.
+    """
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            keys = ordered(ranker.raw(features(data, offsets).astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys)], names=["id", "k"])
+
+    scores = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, k long")
+    met, place = cut(scores.join(clean_labels(labels, id_col, label_col), "id").select("k", "label"), "labelled")
+    n, poor = met.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    out = 0.0
+    if 0 < poor < n:
+        low, upto = select_rank(met, poor - 1)
+        high = low if upto > poor else met.where(F.col("k") > low).agg(F.min("k")).first()[0]
+        bits = np.array([low, high], np.int64)
+        out = float((bits ^ ((bits >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64).mean())
+    forget(docs.sparkSession, place)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Ranker:
-    """Fit on a bounded sample of labelled rows; whole texts, ``2 * per_class`` rows of features at most reach the driver."""
+    """Fit the weights on a bounded sample of labelled rows, ``2 * per_class`` rows of features at most reach the driver; the threshold is over all labelled rows."""
     sample = F.broadcast(sample_labels(labels, id_col, label_col, per_class))  # bounded by per_class
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "label")
 
@@ -155,7 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
     y = np.array(got.column("label").to_pylist(), np.int64)
     order = np.lexsort((*x.T[::8], y))  # the order in which rows arrive doesn't count
-    return fit(x[order], y[order])
+    ranker = fit(x[order], y[order])
+    if not ranker.weights.any():
+        return ranker
+    return replace(ranker, threshold=threshold(docs, labels, ranker, id_col, text_col, label_col))
 
 
 def score_documents(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,3 +34,15 @@ def test_edges(spark):
     y = (x[:, 0] > 0).astype(int)
     r = fit(x, y)
     assert ((r.score(x) >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_threshold_is_over_all_labelled_rows(spark):
+    """Classes overlap and the sample is capped: the share put down as poor stays the labels' own."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("%%%" if rng.random() < (0.3 if i % 5 else 0.45) else "word" for _ in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, _ in rows] + [(9999, 0)], "doc_id long, quality int")
+    for cap in (30, 200, 8000):
+        ranker = train(docs, labels, per_class=cap)
+        raw = np.sort([np.log(r.score / (1 - r.score)) for r in score_documents(docs, ranker).collect()])
+        assert raw[119] <= 1e-9 and raw[120] >= -1e-9, cap  # 120 of 600 are poor
