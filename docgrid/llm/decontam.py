@@ -1,25 +1,20 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination within an edit distance, without loss.
 
 A document is contaminated by an item when some stretch of it is within an
 edit distance of ``percent`` of the item's length (in bytes, A-Z lower-cased,
-white space squeezed). The CGK walk turns edit distance into Hamming distance:
-a pointer walks over the string, writes the byte it stands on, and moves on
-when a random bit for that step and byte says so. Walks over strings that
-differ by few edits meet again and from there write alike. Each repetition has
-a walk of its own and samples ``SAMPLES`` of its places as the key of a hash
-table; windows of an item's size that share a key with an item of that size are
-candidates, and the exact edit distance decides.
-
-Not every place begins a window. A stretch near an item shares unbroken runs of
-bytes with it; every place of every text is looked up among the runs of
-``SEED`` bytes of all items, and a run that stands at some place of an item
-gives the window that it would be part of. A window within d edits of an item
-of L bytes shares at least L - 7 - 8 d of its runs of 8 bytes with it
-(the q-gram lemma, no window is lost by it); the rest aren't embedded.
-
-Recall, measured in the tests on random edits of 81 to 394 bytes: above 0.97 at
-10 percent, 1 up to 5 percent. Runs of 12 bytes miss few windows at the full
-distance, as edits would have to break every run.
+white space squeezed).
+
+An item of L bytes that may have d edits is cut into d + 1 pieces of
+L // (d + 1) bytes or more; a stretch within d edits holds one of them whole
+and not more than d bytes from its place. Every place of every text is looked
+up among the pieces of all items, and the ranges that a stretch around a hit
+can take are searched. A range that holds a stretch has at least L - 5 - 6 d
+places whose runs of 6 bytes occur in the item (the q-gram lemma); other ranges
+are left out, and the exact edit distance decides on the rest. Neither step
+loses a stretch, however the edits lie. Items below 10 bytes have no edits.
+
+CGK walks and bit-sampling LSH, used before, could only discard ranges, and
+discarded some that hold a stretch.
 """
 
 from __future__ import annotations
@@ -37,15 +32,12 @@ from docgrid.llm.common import _LOWER, IS_SPACE, mix, prefix_hash, steps, sub_ha
 
 #: Edits allowed, in percent of an item's bytes.
 PERCENT = 10
-#: Repetitions of the walk, and the places that each samples.
-REPEATS, SAMPLES = 32, 3
-#: Bytes of a seed, and of the runs that the lemma counts.
-SEED, GRAM = 12, 8
-#: Items shorter than this tell nothing apart and are left out.
-SHORTEST = 24
+#: Bytes of a piece that are looked up first (shorter pieces whole), and of the runs that the lemma counts.
+SEED, GRAM = 7, 6
+#: Places whose runs are counted at once.
+PLACES = 1 << 20
 #: Items of one pass over the documents; more items are taken in blocks of about so many.
 BLOCK = 5000
-_PAD = 256
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,40 +94,8 @@ def edit_search(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
-@lru_cache(4)
-def _walk(longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits by repetition, step and byte; and the order in which places are sampled, as fractions."""
-    rng = np.random.Generator(np.random.PCG64(4711))
-    return rng.integers(0, 2, (REPEATS, 2 * longest, 257)).astype(np.int8), rng.random((REPEATS, SAMPLES))
-
-
-def cgk_keys(windows: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    """REPEATS keys of each window; windows of equal item lengths sample equal places."""
-    if not windows:
-        return np.zeros((0, REPEATS), np.uint64)
-    longest = 1 << max(6, int(lengths.max() - 1).bit_length())
-    bits, sample = _walk(longest)
-    n = len(windows)
-    grid = np.full((n, longest + 1), _PAD, np.int32)
-    for i, w in enumerate(windows):
-        w = w[: lengths[i]]
-        grid[i, : len(w)] = np.frombuffer(w, np.uint8)
-    places = np.floor(sample[None] * (1.8 * lengths)[:, None, None]).astype(np.int64)  # the walk ends after about twice the length
-    keys = np.repeat(mix(lengths.astype(np.uint64))[:, None], REPEATS, axis=1) + mix(np.arange(REPEATS, dtype=np.uint64))
-    at = np.zeros((n, REPEATS), np.int64)
-    row, rep = np.arange(n)[:, None], np.arange(REPEATS)[None, :]
-    for j in range(int(places.max()) + 1):
-        c = grid[row, at]
-        for k in range(SAMPLES):
-            hit = places[:, :, k] == j
-            if hit.any():
-                keys = np.where(hit, keys + mix((c + 300 * (k + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keys)
-        at = np.minimum(at + bits[rep, j, c], longest)
-    return keys
-
-
 class Index:
-    """Of one block of items: seeds, the lemma's runs, and the hash tables."""
+    """Of one block of items: their pieces by the length that is looked up, and the lemma's runs."""
 
     def __init__(self, items: list[tuple[int, bytes]], percent: int) -> None:
         self.ids, self.text = [i for i, _ in items], [t for _, t in items]
@@ -145,85 +105,92 @@ class Index:
         begin = np.cumsum(self.length) - self.length
         prefix = prefix_hash(data)
 
-        def runs(q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            start = np.concatenate([b + np.arange(n - q + 1) for b, n in zip(begin, self.length)])
-            item = np.repeat(np.arange(len(items)), self.length - q + 1)
-            return sub_hash(prefix, start, start + q), item, start - begin[item]
-
-        h, item, off = runs(SEED)
-        order = np.argsort(h, kind="stable")
-        self.seed, self.seed_item, self.seed_off = h[order], item[order], off[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[h >> np.uint64(42)] = True
-        h, item, _ = runs(GRAM)
+        item = np.repeat(np.arange(len(items)), self.most + 1)
+        part = np.arange(len(item)) - np.repeat(np.cumsum(self.most + 1) - self.most - 1, self.most + 1)
+        off = part * self.length[item] // (self.most[item] + 1)
+        size = (part + 1) * self.length[item] // (self.most[item] + 1) - off
+        start = begin[item] + off
+        #: (bytes looked up, bits of their hashes, hashes in order, item, offset, size, hash of the whole piece)
+        self.seeds = []
+        looked = np.minimum(size, SEED)
+        for q in np.unique(looked).tolist():
+            m = np.flatnonzero(looked == q)
+            h = sub_hash(prefix, start[m], start[m] + q)
+            m, h = m[np.argsort(h, kind="stable")], np.sort(h)
+            maybe = np.zeros(1 << 22, bool)
+            maybe[h >> np.uint64(42)] = True
+            self.seeds.append((q, maybe, h, item[m], off[m], size[m], sub_hash(prefix, start[m], start[m] + size[m])))
+        n = np.maximum(self.length - GRAM + 1, 0)
+        item = np.repeat(np.arange(len(items)), n)
+        start = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
         self.gram = np.zeros(1 << 23, bool)
-        self.gram[mix(h + item.astype(np.uint64)) >> np.uint64(41)] = True
-        keys = cgk_keys(self.text, self.length)
-        self.tables: dict[int, list[int]] = {}
-        for i, row in enumerate(keys.tolist()):
-            for k in row:
-                self.tables.setdefault(k, []).append(i)
-
-    def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start) of the windows that seeds give and the lemma leaves."""
-        none = np.zeros(0, np.int64)
-        if len(data) < SEED:
-            return none, none, none
+        self.gram[mix(sub_hash(prefix, start, start + GRAM) + item.astype(np.uint64)) >> np.uint64(41)] = True
+
+    def _hits(self, prefix: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, where the item would begin) of every piece in the texts."""
+        for q, maybe, seed, items, offs, sizes, whole in self.seeds:
+            start = np.arange(max(len(prefix) - max(q, 1), 0))
+            h = sub_hash(prefix, start, start + q)
+            at = np.flatnonzero(maybe[h >> np.uint64(42)])
+            a, z = np.searchsorted(seed, h[at], "left"), np.searchsorted(seed, h[at], "right")
+            times = z - a
+            at, a = np.repeat(at, times), np.repeat(a, times)
+            hit = a + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+            doc = np.searchsorted(offsets, at, "right") - 1
+            fine = at + sizes[hit] <= offsets[doc + 1]
+            at, hit, doc = at[fine], hit[fine], doc[fine]
+            fine = sub_hash(prefix, at, at + sizes[hit]) == whole[hit]
+            at, hit, doc = at[fine], hit[fine], doc[fine]
+            yield doc, items[hit], at - offs[hit]
+
+    def ranges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, start, end) of the ranges that pieces give and the lemma leaves."""
         prefix = prefix_hash(data)
-        start = np.arange(len(data) - SEED + 1)
-        h = sub_hash(prefix, start, start + SEED)
-        at = np.flatnonzero(self.maybe[h >> np.uint64(42)])
-        a, z = np.searchsorted(self.seed, h[at], "left"), np.searchsorted(self.seed, h[at], "right")
-        times = z - a
-        at, a = np.repeat(at, times), np.repeat(a, times)
-        hit = a + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
-        item, first = self.seed_item[hit], at - self.seed_off[hit]
-        doc = np.searchsorted(offsets, at, "right") - 1
-        fine = at + SEED <= offsets[doc + 1]
-        item, first, doc = item[fine], first[fine], doc[fine]
-        if not len(item):
-            return none, none, none
+        doc, item, first = (np.concatenate(x) for x in zip(*self._hits(prefix, offsets)))
+        if not len(doc):
+            return doc, item, first, first
         first = np.maximum(first, offsets[doc])
-        cell = (first - offsets[doc]) // (self.most[item] + 1)
-        order = np.lexsort((first, cell, item, doc))
-        doc, item, cell, first = doc[order], item[order], cell[order], first[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]))
+        order = np.lexsort((first, item, doc))
+        doc, item, first = doc[order], item[order], first[order]
+        cell = (first - offsets[doc]) // (self.length[item] + 1)  # hits near each other are one range, of bounded length
+        new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] - first[:-1] > self.most[item[1:]] + 1))
         head = np.flatnonzero(new)
-        middle = (head + np.append(head[1:], len(doc)) - 1) // 2
-        doc, item, first = doc[head], item[head], first[middle]
+        last = first[np.append(head[1:], len(doc)) - 1]
+        doc, item, first = doc[head], item[head], first[head]
         low = np.maximum(first - self.most[item], offsets[doc])
-        high = np.minimum(first + self.length[item] + self.most[item], offsets[doc + 1]) - GRAM + 1
+        high = np.minimum(last + self.length[item] + self.most[item], offsets[doc + 1])
+        places = np.arange(max(len(data) - GRAM + 1, 0))
+        run = sub_hash(prefix, places, places + GRAM)
+        n = np.maximum(high - low - GRAM + 1, 0)
+        need = self.length[item] + 1 - GRAM * (self.most[item] + 1)
+        keep = n >= need
+        doc, item, low, high, n, need = doc[keep], item[keep], low[keep], high[keep], n[keep], need[keep]
         keep = np.zeros(len(doc), bool)
-        for a in range(0, len(doc), 2048):
-            m = slice(a, a + 2048)
-            n = np.maximum(high[m] - low[m], 0)
-            row = np.repeat(np.arange(len(n)), n)
-            place = low[m][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            g = self.gram[mix(sub_hash(prefix, place, place + GRAM) + item[m][row].astype(np.uint64)) >> np.uint64(41)]
-            got = np.bincount(row, g, len(n))
-            keep[m] = got >= self.length[item[m]] - GRAM + 1 - GRAM * self.most[item[m]]
-        return doc[keep], item[keep], first[keep]
+        upto = np.cumsum(n)
+        a = 0
+        while a < len(doc):
+            z = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + PLACES, "right")))
+            m = slice(a, z)
+            row = np.repeat(np.arange(len(n[m])), n[m])
+            place = low[m][row] + np.arange(len(row)) - np.repeat(np.cumsum(n[m]) - n[m], n[m])
+            g = self.gram[mix(run[place] + item[m][row].astype(np.uint64)) >> np.uint64(41)]
+            keep[m] = np.bincount(row, g, len(n[m])) >= need[m]
+            a = z
+        return doc[keep], item[keep], low[keep], high[keep]
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
         """By text and item: (distance, start, end) of the nearest stretch, the first of equals."""
-        doc, item, first = self.windows(data, offsets)
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
-        for a in range(0, len(doc), 1024):
-            d, t, s = doc[a : a + 1024], item[a : a + 1024], first[a : a + 1024]
-            cut = [data[x : min(x + self.length[y], offsets[w + 1])].tobytes() for w, y, x in zip(d, t, s)]
-            for w, y, x, keys in zip(d.tolist(), t.tolist(), s.tolist(), cgk_keys(cut, self.length[t]).tolist()):
-                for i in {i for k in keys for i in self.tables.get(k, ())}:
-                    n, most = int(self.length[i]), int(self.most[i])
-                    low, high = max(x - 2 * most, int(offsets[w])), min(x + n + 2 * most, int(offsets[w + 1]))
-                    part = data[low:high].tobytes()
-                    distance, end = edit_search(self.text[i], part, most)
-                    if end < 0:
-                        continue
-                    back, size = edit_search(self.text[i][::-1], part[:end][::-1], distance)
-                    span = (distance, low + end - size, low + end)
-                    old = found.setdefault(w, {}).get(i)
-                    if old is None or span < old:
-                        found[w][i] = span
+        for w, i, low, high in zip(*(x.tolist() for x in self.ranges(data, offsets))):
+            part = data[low:high].tobytes()
+            distance, end = edit_search(self.text[i], part, int(self.most[i]))
+            if end < 0:
+                continue
+            _, size = edit_search(self.text[i][::-1], part[:end][::-1], distance)
+            span = (distance, low + end - size, low + end)
+            old = found.setdefault(w, {}).get(i)
+            if old is None or span < old:
+                found[w][i] = span
         return found
 
 
@@ -243,7 +210,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator
         data, offsets = utf8(table.column("text"))
         low, offsets, _ = normalise(data, offsets)
         texts = [low[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])]
-        keep = [i for i, t in enumerate(texts) if len(t) >= SHORTEST]
+        keep = [i for i, t in enumerate(texts) if t]
         if keep:
             out = pa.table([pa.array([table.column("id")[i].as_py() for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.binary())], names=["id", "text"])
             sink = pa.BufferOutputStream()
@@ -257,8 +224,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     ``start`` and ``end`` are bytes of the text's UTF-8, of the nearest
     stretch. ``row`` is a hash of id and text. Null and empty texts hold
-    nothing; items that are null, without an id or shorter than ``SHORTEST``
-    bytes when normalised are left out; items of one id count as one, by their
+    nothing; items that are null, without an id or empty when normalised are
+    left out; items of one id count as one, by their
     nearest. Repeated rows give repeated results. Empty tables: no rows.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text")).select("row", "id", "text")

@@ -93,3 +93,29 @@ def test_edges(spark):
     assert sorted([r.doc_id for r in decontam.decontaminate(docs, bench).collect()]) == [1, 2, 6, 7]
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 == decontam.find_leaks(docs, bench.limit(0)).count()
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 8
+
+
+def test_evenly_spaced_edits_and_short_items(spark):
+    """Edits that leave no run of 12 bytes, and items of 4 to 40 bytes: all are found, as brute force finds them."""
+    rng = np.random.default_rng(11)
+    items = [(i, words(rng, n).strip()) for i, n in enumerate([4, 7, 9, 11, 16, 19, 21, 23, 25, 30, 40, 81, 120, 200, 300, 394] * 2)]
+    rows = []
+    for i, item in items:
+        most = len(item) * 10 // 100
+        for kind in range(3):  # substituted, inserted, left out
+            out, step = list(item), len(item) / (most + 1)
+            for e in range(most, 0, -1):
+                k = int(e * step) - (kind == 2)
+                out[k : k + (kind != 1)] = ["#"] if kind < 2 else []
+            rows.append((len(rows), words(rng, 150) + " " + "".join(out) + " " + words(rng, 150)))
+            rows.append((len(rows), "".join(out)))
+    norm = lambda t: " ".join(t.lower().split()).encode()
+    truth = {}
+    for d, text in rows:
+        for i, item in items:
+            distance, end = decontam.edit_search(norm(item), norm(text), len(norm(item)) * 10 // 100)
+            if end >= 0:
+                truth[d, i] = distance
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item_id): r.distance for r in decontam.find_leaks(docs, bench).collect()} == truth
+    assert {(d, d // 6) for d, _ in rows} <= set(truth)
