@@ -8,7 +8,7 @@ rule decides, unless the component holds an explicitly allowed member.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,25 +42,63 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def alias_target(html: Column) -> Column:
-    """The url that a page's html names as canonical, else that it refreshes to, else null."""
+def alias_targets(html: Column) -> Column:
+    """The urls that a page's html names as canonical and that it refreshes to, as written; one or both may be missing."""
     html = F.coalesce(html, F.lit(""))
     canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*\d*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
-    return F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(refresh, F.lit("")))
+    return F.array_distinct(F.filter(F.array(canonical, refresh), lambda x: x != ""))
+
+
+def base_href(html: Column) -> Column:
+    """The href of a page's first base element that has one, else ''."""
+    return F.regexp_extract(html, r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; plain nesting would repeat it at every mention."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root with its '.' and '..' segments resolved."""
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    open_end = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    short = lambda parts: F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, none, step), open_end(parts)), "/"))
+    return _let(path, lambda p: F.when(p.contains("/."), _let(F.split(F.substring(p, 2, F.length(p)), "/", -1), short)).otherwise(p))
+
+
+#: Scheme with host, path, and the rest of a whole url.
+_WHOLE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$"
 
 
 def absolute(target: Column, base: Column) -> Column:
-    """A target as a whole url; paths from the root are taken on the page's own scheme and host."""
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?):", 1)
-    return F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(root, target))
+    """A target as a whole url, resolved against ``base`` (RFC 3986); null if it has a scheme without '://', or is relative and the base isn't whole."""
+    part = lambda url, k: F.regexp_extract(url, _WHOLE, k)
+
+    def join(x: Column) -> Column:
+        to, base, root, path = x["to"], x["base"], x["root"], x["path"]
+        return (
+            F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(to.rlike(_WHOLE), to))
+            .when(root == "", None)
+            .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)", 1), to))
+            .when(to.startswith("/"), F.concat(root, to))
+            .when(to.startswith("?"), F.concat(root, path, to))
+            .when(to.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^[^#]*", 0), to))
+            .otherwise(F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^.*/", 0), F.lit("")), F.lit("/")), to))
+        )
+
+    joined = _let(base, lambda b: _let(F.struct(target.alias("to"), b.alias("base"), part(b, 1).alias("root"), part(b, 2).alias("path")), join))
+    return _let(joined, lambda j: F.concat(part(j, 1), without_dots(part(j, 2)), part(j, 3)))
 
 
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) urls from canonical links and refresh redirects."""
-    found = pages.select(F.col(url_col).alias("source"), absolute(alias_target(F.col(html_col)), F.col(url_col)).alias("target"))
-    return found.where("source is not null and target is not null and target != source")
+    """(source, target) urls from canonical links and refresh redirects, an edge for each; relative ones follow the page's base href or url."""
+    html = F.col(html_col)
+    found = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("source"), html.alias("html"), F.explode(alias_targets(html)).alias("to"))
+    based = found.select("source", "to", F.coalesce(absolute(F.nullif(base_href(F.col("html")), F.lit("")), F.col("source")), F.col("source")).alias("base"))
+    return based.select("source", absolute(F.col("to"), F.col("base")).alias("target")).where("target is not null and target != source")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:

@@ -49,3 +49,21 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_relative_and_double_links(spark):
+    from urllib.parse import urljoin
+
+    link, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    page = "http://d.org/a/b/c.html?q=1"
+    targets = ["page2.html", "../x", "?id=3", "./y", "../../..", "../../z/./w?k=../v", "/r/../s", "//e.org/t", "http://f.org/u", "/go?to=http://g.org/", "..", "."]
+    rows = [(i, page, link % t) for i, t in enumerate(targets)] + [(50, "http://h.org", link % "top.html"), (51, page, '<base href="/base/dir/">' + link % "p"), (52, page, link % "mailto:x"), (53, "nowhere", link % "p"), (54, None, link % "p"), (55, page, None)]
+    rows += [(56, "http://two.org/", link % "one" + refresh % "two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(page, urljoin(page, t)) for t in targets] + [("http://h.org", "http://h.org/top.html"), (page, "http://d.org/base/dir/p"), ("http://two.org/", "http://two.org/one"), ("http://two.org/", "http://two.org/two")]
+    assert sorted(tuple(r) for r in html_edges(pages).collect()) == sorted(want)
+    rows = [
+        (1, "http://a.org/x/1", refresh % "2", None), (2, "http://a.org/x/2", link % "http://b.net/es/", None), (3, "http://c.org/1", link % "/2" + refresh % "http://b.net/es/", None),
+        (4, "http://c.org/2", "", None), (5, "http://k.org/1", link % "http://b.net/es/9" + refresh % "http://k.com/", None),
+    ]
+    assert {k: v[3] for k, v in judge(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
