@@ -1,11 +1,10 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by anchors and fingerprints of growing detail.
 
-A position's rank at length h names the h bytes that begin there; the rank at
-a greater length is the name of a pair of ranks at two offsets. Spark deals the
+This stands in for prefix doubling over positions: no ranks are paired at
+growing offsets. A rank is a fingerprint of bytes cut from the text, the same
+in every task, so none are numbered across the cluster. Spark deals the
 (rank, position) pairs out by rank and sorts them; positions whose rank is
-unique leave, the rest are ranked again at a greater length, until that length
-reaches the threshold. A name is a fingerprint of the pair, the same in every
-task, so no ranks are numbered across the cluster.
+unique leave, the rest are ranked again in smaller cells of offsets.
 
 Not every position starts: of each window of ``length`` bytes only the place of
 its smallest ``GRAM``-byte hash does, its anchor. Equal windows have their
