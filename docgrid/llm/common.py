@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -22,14 +21,14 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) is a
-    folder made here.
+    Unset, a folder in the warehouse serves, which driver and executors share
+    too. There is no machine-local fallback.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='docgrid-')}"
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_docgrid"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -50,36 +49,49 @@ def forget(spark: SparkSession, where: str) -> None:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 1000):
-    """Fewer rows in an Arrow batch while it lasts: texts are long, and a batch is whole in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(old)) if int(old) > 0 else rows)
+def settings(spark: SparkSession, **values: object):
+    """Session settings (dots written as ``__``) while a table is written; the old values come back."""
+    keys = {k.replace("__", "."): str(v) for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch while it lasts: texts are long, and a batch is whole in memory."""
+    old = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=min(rows, old) if old > 0 else rows, spark__sql__execution__arrow__maxBytesPerBatch=16 << 20)
 
 
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again.
 
-    The written table outlives lost executors and ends the lineage. Returns
-    the table and its place, so that the caller can ``forget`` it early; the
-    rest goes when the driver ends.
+    The written table outlives lost executors and ends the lineage; the shuffle
+    files behind it are removed with the write (a setting of Spark's own).
+    Returns the table and its place, so that the caller can ``forget`` it after
+    its last reader; the rest goes when the driver ends.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/docgrid/{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark):
+    with arrow_rows(spark), settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(where)
     atexit.register(forget, spark, where)
     return spark.read.schema(df.schema).parquet(where), where
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files behind a cut serve no plan any more; Spark removes them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each ``key``: rows of a hot key go to ``salts`` tasks, dealt by ``by``."""
+    one = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    all_ = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return one.join(all_, [key, "__salt"], how).drop("__salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +181,36 @@ def sub_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), which)[1][start])
 
 
+#: Bytes up to which strings are hashed together, eight at a time.
+_SHORT = 64
+
+
+def string_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings [start, end).
+
+    Eight bytes at a time go through ``mix``, which isn't linear: no family of
+    strings collides by construction, and strings of up to eight bytes and
+    equal length never do. Longer strings than ``_SHORT`` take blake2b.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+    if not len(start):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero(size <= _SHORT)
+    for at in range(0, _SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        chunk = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        h[live] = mix(h[live] * np.uint64(0xD1342543DE82EF95) + chunk)
+    for i in np.flatnonzero(size > _SHORT):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a run of texts, A-Z lower-cased: (hash, start, end, n + 1 offsets into the words).
 
@@ -187,5 +229,4 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1:] = True
     after[:-1] = ~solid[1:]
     end = np.flatnonzero(solid & (after | edge[1:])) + 1
-    h = sub_hash(prefix_hash(low), start, end)
-    return h, start, end, np.searchsorted(start, offsets)
+    return string_hash(low, start, end), start, end, np.searchsorted(start, offsets)

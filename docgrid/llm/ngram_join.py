@@ -2,54 +2,60 @@
 
 Two sets of sizes up to ``hi`` with Jaccard similarity of at least p percent
 differ in at most k = floor(2 hi (100 - p) / (100 + p)) features. The feature
-domain (64-bit hashes) is cut into m > k equal ranges. Of a set, each range
-that holds features gives one signature: the band of sizes, the range, and the
-features in it. At most k ranges can differ, so a set with more than k filled
-ranges shares a signature with every set that links with it. A set that fills
-too few ranges also takes part in the next scheme, with a new partition and
-twice the ranges, until it fills enough; so no link is lost at any size.
-
-Sets of a band take signatures for their own band, and for the next one if
-they are large enough to link with a set in it.
-
-Signatures meet in buckets of the hash space. Copies and equal signatures
+domain (64-bit hashes) is cut into more than k / 2 equal ranges, and each range
+into three parts. Some range then holds at most one difference, so two of its
+three parts are equal: of each range, every subset of two parts gives one
+signature, the band of sizes, the range, the subset and the features in it.
+Empty subsets give none; a range with features in two parts or more has none
+that is empty. A set in which too few ranges are so filled also takes part in
+the next scheme, with a new partition and more ranges; no link is lost at any
+size. Sets of a band take signatures for their own band, and for the next one
+if they are large enough to link with a set in it.
+
+Signatures meet in buckets of the hash space. Equal sets and equal signatures
 collapse inside each task first, so a group of any size reaches its bucket as
 one entry for each task.
 
-The texts of a signature aren't tested against each other but against a pivot p.
-Linked texts x and y share at least t = q (|x| + |y|) features, q = percent /
-(100 + percent). Within p they share at most m, the smaller of |x & p| and
-|y & p|, so outside p they share t - m or more. Pairs for which that is nothing
-are tested. Of all others, both have one of their first |x - p| - (t - m) + 1
-features outside p in common (t for the smallest partner there is; the order is
-the same for all texts of p's star, those that many of them have come last):
-texts in different components that share one form the groups of the next round. Pivots rise in a fixed order from round to round, so the rounds
+The sets that share a signature form a group. Links are sought in rounds:
+
+1. Each member is held against its group's pivot, the smallest set.
+2. Of a group up to ``SMALL`` members, all pairs that those links haven't joined
+   are held against each other, in one task; sketches (features counted in bins)
+   rule out pairs without loss, what remains is tested on whole sets.
+3. Larger groups: linked sets x and y of unlike components share at least
+   t = q (|x| + |y|) features, q = p / (100 + p), of which at most the smaller of
+   |x & pivot| and |y & pivot| lie in the pivot. As the pivot is the smallest set
+   and one of the two isn't linked with it, that leaves one or more outside. So
+   both have one of their first |x - pivot| - outside + 1 features outside the
+   pivot in common, in one order for all of the group (features that many members
+   have come last). Sets that share one form the groups of the next round.
+
+Every group of the next round is smaller, as it lacks the pivot, so the rounds
 end; no pair that may link is left out, and no large group is paired out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import arrow_rows, cut, forget, mix, release, steps, words
+from docgrid.llm.common import arrow_rows, cut, forget, mix, salted, steps, words
 from docgrid.llm.components import components
 
 #: Growth of the size bands.
 BAND = 1.5
 #: Signatures that a task holds before it hands them on.
 HOLD = 1 << 19
-#: Pairs of different components for each member, up to which a group is tested pair by pair, by round; the last holds from then on.
-PAIRED = (4, 16, 64, 128)
-#: Pairs of texts at least that are brought together at a time; more where there are more texts.
-PAIRS_AT_ONCE = 50_000
-#: Texts of a star, about, from which the order of its features is taken, and the least star that needs one; they decide how much work there is, not the result.
-SAMPLED, SAMPLED_FROM = 12, 48
+#: Members up to which a group is paired out, by sketches, in one task.
+SMALL = 256
+#: Members of a large group that are brought together with its pivot at a time; sets of more features come alone.
+TOGETHER, LONG = 64, 50_000
+#: Members of a large group, about, from which the order of its features is taken; it decides how much work there is, not the result.
+SAMPLED = 12
 
 
 def _fold(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -78,8 +84,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+def set_hash(features: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    total = 3 * int(mix(features ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) + int(features.sum(dtype=np.uint64)) + len(features)
+    return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
+
+
+def sketch(features: np.ndarray) -> bytes:
+    """The features counted in bins of their top bits, a byte each; the bins are a power of two near the size, 64 to 65,536."""
+    bits = min(16, max(6, len(features).bit_length() - 1))
+    return np.minimum(np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 class Bands:
-    """Size bands for a similarity of ``percent``, and the ranges of each."""
+    """Size bands for a similarity of ``percent``."""
 
     def __init__(self, percent: int) -> None:
         self.percent, self.edges = percent, [1]
@@ -100,165 +118,256 @@ class Bands:
         return 2 * (self.edges[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of one set, given as sorted distinct hashes."""
-    out = []
-    for band in bands.of(len(features)):
-        k = bands.differ(band)
-        ranges, scheme = (k + 2 + k // 32 if k else 1), 0
-        while True:
-            f = features if not scheme else np.sort(mix(features + np.uint64(scheme * 0x632BE59BD9B4E019 % 2**64)))
-            where = ((f >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-            sums = np.add.reduceat(mix(f ^ np.uint64(0x2545F4914F6CDD1D)), first)
-            out.append(mix(sums + mix(where[first] + np.uint64((band << 44) + (scheme << 36)))))
-            if len(first) > k:
-                break
-            ranges, scheme = 2 * ranges + 1, scheme + 1
-    return np.concatenate(out)
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, their sets' places) of sets given as sorted distinct hashes.
+
+    Bands in which linked sets are equal need none: equal sets have one name.
+    """
+    todo = []  # (set, band, ranges, filled ranges that suffice)
+    for i, s in enumerate(sets):
+        for band in bands.of(len(s)) if len(s) else ():
+            if k := bands.differ(band):
+                todo.append((i, band, k // 2 + 1 + (k + 15) // 32, min(k, len(s) * (100 - bands.percent) // bands.percent) // 2))
+    sigs, owners, scheme = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while todo:
+        which = np.array([t[0] for t in todo])
+        band, ranges, enough = (np.array([t[i] for t in todo], np.uint64) for i in (1, 2, 3))
+        size = np.array([len(sets[i]) for i in which])
+        f = np.concatenate([sets[i] for i in which])
+        row = np.repeat(np.arange(len(todo)), size)
+        where = f if not scheme else mix(f + np.uint64(scheme * 0x632BE59BD9B4E019 % 2**64))
+        base = np.append(0, np.cumsum(ranges)).astype(np.int64)  # first range of each row
+        slot = 3 * base[row] + (((where >> np.uint64(32)) * (np.uint64(3) * ranges[row])) >> np.uint64(32)).astype(np.int64)
+        value = mix(f ^ np.uint64(0x2545F4914F6CDD1D))
+        if scheme:
+            order = np.argsort(slot, kind="stable")
+            slot, value = slot[order], value[order]
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        parts, filled = np.zeros(3 * base[-1], np.uint64), np.zeros(3 * base[-1], bool)
+        parts[slot[first]], filled[slot[first]] = np.add.reduceat(value, first), True
+        parts, filled = parts.reshape(-1, 3), filled.reshape(-1, 3)
+        owner = np.repeat(np.arange(len(todo)), ranges.astype(np.int64))
+        place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        for omitted in range(3):
+            a, b = (omitted + 1) % 3, (omitted + 2) % 3
+            some = np.flatnonzero(filled[:, a] | filled[:, b])
+            name = mix((band[owner[some]] << np.uint64(48)) + np.uint64(scheme << 40) + place[some] * np.uint64(3) + np.uint64(omitted))
+            sigs.append(mix(parts[some, a] + parts[some, b] + name))
+            owners.append(which[owner[some]])
+        well = np.bincount(owner, filled.sum(1) > 1, len(todo))
+        todo = [(t[0], t[1], t[2] + t[2] // 4 + 1, t[3]) for t, w in zip(todo, well) if w <= t[3]]
+        scheme += 1
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 def _slim(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, set0, set1, sketch): the size of each set, a 128-bit hash of it, and its features counted in 256 bins (a byte each)."""
+    """(id, n, cid, sketch): the size of each text's set, its name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
             sets = shingle_sets(data, offsets, k)
-            n = np.array([len(s) for s in sets], np.int64)
-            sums = [np.array([s.sum(dtype=np.uint64) if not i else mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for i in (0, 1)]
-            bins = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(bins, pa.binary())], names=["id", "n", "set0", "set1", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "n", "cid", "sketch"])
+
+    return docs.mapInArrow(run, "id long, n long, cid long, sketch binary")
+
 
-    return docs.mapInArrow(run, "id long, n long, set0 long, set1 long, sketch binary")
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[first], b[first]
 
 
-_PACKED = "bucket int, sigs binary, ids binary, pivots binary"
+#: base is null: pairs (id, pivot) that met in a task, as they are; else the entries of a bucket, ids as differences from base if they fit 32 bits.
+_PACKED = "bucket int, base long, sigs binary, ids binary"
 
 
 def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(sig, id, pivot): members of every signature that more than one text has."""
-    bits = buckets.bit_length() - 1
+    """(id, pivot, across): texts that share a signature with the pivot, which met in one task or across tasks.
+
+    What met in one task also belongs to the pivots that its own pivot met across tasks.
+    """
+    bits = np.uint64(buckets.bit_length() - 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, held, count, turn = Bands(percent), [], 0, 0
-        seen: dict[bytes, int] = {}
+        bands, count, turn = Bands(percent), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: dict[int, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal turn
-            sig = np.concatenate([s for s, _ in held])
-            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(s) for s, _ in held])
-            order = np.lexsort((ids, sig))
-            sig, ids = sig[order], ids[order]
-            first = np.append(True, sig[1:] != sig[:-1])
+            sig, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            key = ((sig >> (np.uint64(64) - bits)) << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF))
+            order = np.lexsort((ids, key))
+            key, ids = key[order], ids[order]
+            first = np.append(True, key[1:] != key[:-1])
             pivots = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-            more = np.flatnonzero(~first & (ids != pivots))
+            more = ~first & (ids != pivots)
             rows = []
-            for a in range(0, len(more), 4096):  # met in this task: passed on as they are
-                m = more[a : a + 4096]
-                rows.append((turn % buckets, sig[m].tobytes(), ids[m].tobytes(), pivots[m].tobytes()))
+            x, p = _distinct_pairs(ids[more], pivots[more])
+            for a in range(0, len(x), 4096):
+                rows.append((turn % buckets, None, x[a : a + 4096].tobytes(), p[a : a + 4096].tobytes()))
                 turn += 1
-            one, own = sig[first], ids[first]
-            edge = np.searchsorted(one, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits))
-            for b, (a, z) in enumerate(zip(edge, np.append(edge[1:], len(one)))):
+            key, ids = key[first], ids[first]
+            edge = np.append(np.searchsorted(key, np.arange(buckets, dtype=np.uint64) << np.uint64(32)), len(key))
+            for b in range(buckets):
+                a, z = edge[b], edge[b + 1]
                 if z > a:
-                    rows.append((b, one[a:z].tobytes(), own[a:z].tobytes(), None))
+                    own = ids[a:z]
+                    base = int(own.min())
+                    apart = int(own.max()) - base
+                    rows.append((b, base, key[a:z].astype(np.uint32).tobytes(), (own - base).astype(np.uint32).tobytes() if apart < 2**32 else own.tobytes()))
             for a in range(0, len(rows), 64):
                 part = rows[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), *(pa.array([r[i] for r in part], pa.binary()) for i in (1, 2, 3))], names=["bucket", "sigs", "ids", "pivots"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), *(pa.array([r[i] for r in part], pa.binary()) for i in (2, 3))], names=["bucket", "base", "sigs", "ids"])
 
         for batch, data, offsets in steps(batches):
+            mine, ids = [], []
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(data, offsets, k)):
                 if not len(s) or i is None:
                     continue
-                key = s.tobytes() if len(s) < 3 else bytes([len(s) & 255]) + int(s.sum(dtype=np.uint64)).to_bytes(8, "big") + int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big")
-                if key in seen:  # an equal set went before it; the hash of sets links them
+                name = set_hash(s)
+                if name in seen:  # an equal set went before it; the name links them
                     continue
                 if len(seen) >= HOLD // 4:
                     seen.clear()
-                seen[key] = i
-                held.append((signatures(s, bands), i))
-                count += len(held[-1][0])
-                if count >= HOLD:
-                    yield from flush()
-                    held, count = [], 0
-        if held:
+                seen[name] = i
+                mine.append(s)
+                ids.append(i)
+            sigs, owner = signatures(mine, bands)
+            held.append((sigs, np.array(ids, np.int64)[owner]))
+            count += len(sigs)
+            if count >= HOLD:
+                yield from flush()
+                held, count = [], 0
+        if count:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def give(sig, ids, pivots) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(sig), 1 << 16):
-                z = a + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a:z].view(np.int64)), pa.array(ids[a:z]), pa.array(pivots[a:z])], names=["sig", "id", "pivot"])
+        def give(ids: np.ndarray, pivots: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(ids), 1 << 16):
+                z = min(len(ids), a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:z]), pa.array(pivots[a:z]), pa.array(np.full(z - a, across))], names=["id", "pivot", "across"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            sig = np.concatenate([s for s, _ in held])
-            ids = np.concatenate([i for _, i in held])
+            sig, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             order = np.lexsort((ids, sig))
             sig, ids = sig[order], ids[order]
             first = np.append(True, sig[1:] != sig[:-1])
             pivots = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
             more = ~first & (ids != pivots)
-            yield from give(sig[more], ids[more], pivots[more])
+            yield from give(*_distinct_pairs(ids[more], pivots[more]), True)
 
         for batch in batches:
-            for bucket, sigs, ids, pivots in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                sigs, ids = np.frombuffer(sigs, np.uint64), np.frombuffer(ids, np.int64)
-                if pivots is not None:
-                    yield from give(sigs, ids, np.frombuffer(pivots, np.int64))
+            for bucket, base, sigs, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if base is None:
+                    yield from give(np.frombuffer(sigs, np.int64), np.frombuffer(ids, np.int64), False)
                     continue
                 if bucket != now and held:
                     yield from close()
                     held = []
                 now = bucket
-                held.append((sigs, ids))
+                held.append((np.frombuffer(sigs, np.uint32), base + (np.frombuffer(ids, np.uint32).astype(np.int64) if len(ids) == len(sigs) else np.frombuffer(ids, np.int64) - base)))
         if held:
             yield from close()
 
     packed = docs.mapInArrow(pack, _PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, id long, pivot long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, pivot long, across boolean")
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v, star) without those, not of a star, whose sketches are too far apart for a link.
+def _fewer_bins(x: np.ndarray, bins: int) -> np.ndarray:
+    return x.reshape(bins, -1).sum(1, dtype=np.int32) if len(x) > bins else x
 
-    Bins differ in total by no more than the sets do, so no link is lost. Ids
-    with several texts have no sketch and stay.
+
+def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
+    """(u, v), u < v: pairs of a group's members (g, v, n, root, sketch) that may link.
+
+    ``star``: the smallest set with each other one. Else: all pairs of unlike
+    roots. Two sketches of the coarser one's bins differ in total by no more
+    than the sets do (bins at 255 count as unknown), so no link is lost.
     """
 
+    def pairs(v: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((v, n))
+        v, n, root = v[order], n[order], root[order]
+        counts = [np.frombuffer(sketches[i], np.uint8) for i in order]
+        left, right = [], []
+        for i in range(1 if star else len(v)):
+            # sizes ascend: partners come after, up to the largest that may link
+            z = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+            j = np.arange(i + 1, z)
+            j = j if star else j[root[j] != root[i]]
+            if not len(j):
+                continue
+            own, width = counts[i].astype(np.int32), len(counts[i])
+            apart = np.empty(len(j), np.int64)
+            for a in range(0, len(j), max(1, (1 << 20) // width)):
+                part = j[a : a + max(1, (1 << 20) // width)]
+                other = np.stack([_fewer_bins(counts[x], width) for x in part]).astype(np.int32)
+                difference = np.abs(other - own)
+                if own.max(initial=0) >= 255 or other.max(initial=0) >= 255:
+                    difference[(other >= 255) | (own >= 255)] = 0
+                apart[a : a + len(part)] = difference.sum(1)
+            j = j[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
+            left.append(np.minimum(v[i], v[j]))
+            right.append(np.maximum(v[i], v[j]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            v, n, root = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            a, b = pairs(v, n, root, [h[3] for h in held])
+            for i in range(0, len(a), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 15)]), pa.array(b[i : i + (1 << 15)])], names=["u", "v"])
+
         for batch in batches:
-            keep = batch.column("star").to_numpy(zero_copy_only=False).copy()
-            for i, (a, b, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))):
-                if not keep[i]:
-                    apart = 0 if a is None or b is None else int(np.abs(np.frombuffer(a, np.uint8).astype(np.int64) - np.frombuffer(b, np.uint8)).sum())
-                    keep[i] = a is None or b is None or apart * (100 + percent) <= (n + m) * (100 - percent)
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["u", "v", "star"]).filter(pa.array(keep))
-
-    one = pairs.withColumnRenamed("u", "x").join(sketches.select(F.col("id").alias("x"), F.col("n"), F.col("sketch").alias("a")), "x")
-    two = one.withColumnRenamed("v", "y").join(sketches.select(F.col("id").alias("y"), F.col("n").alias("m"), F.col("sketch").alias("b")), "y")
-    return two.select(F.col("x").alias("u"), F.col("y").alias("v"), "star", "n", "m", "a", "b").mapInArrow(run, "u long, v long, star boolean")
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
-    """Pairs (u, v, ...) with both texts, by two joins."""
-    right = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")), "v")
-    return right.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")), "u").select("u", "v", *more, "left", "right")
-
-
-def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, set of left, set of right); a left text that comes again isn't split again."""
-    last, a, i = None, None, 0
-    for part, data, offsets in steps(iter([pa.RecordBatch.from_arrays([batch.column("right")], names=["text"])])):
-        for b in shingle_sets(data, offsets, k):
-            text = batch.column("left")[i].as_py() or ""
-            if last is None or last != text:
-                last = text
-                lone = pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])
-                a = next(s for _, d, o in steps(iter([lone])) for s in shingle_sets(d, o, k))
-            yield i, a, b
-            i += 1
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if g != now and held:
+                    yield from close()
+                    held = []
+                now = g
+                held.append(row)
+        if held:
+            yield from close()
+
+    rows = groups.select("g", "v", "n", "root", "sketch")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+
+
+def _brought_together(asks: DataFrame, sets: DataFrame, run, schema: str, often: DataFrame | None = None) -> DataFrame:
+    """``run`` of (part, kind, a, b, value) by part: kind 0 a set ``a``, kind 1 a list of frequent features, kind 2 an ask (a, b, value).
+
+    Each set that the asks (part, a, b, value) of a part name is sent to it once.
+    """
+    none = F.lit(None)
+    need = asks.select("part", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    rows = need.join(sets, "cid").select("part", F.lit(0).alias("kind"), F.col("cid").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("value"), "features")
+    if often is not None:
+        rows = rows.unionByName(often.select("part", F.lit(1).alias("kind"), none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("value"), "features"))
+    rows = rows.unionByName(asks.select("part", F.lit(2).alias("kind"), "a", "b", "value", none.cast("binary").alias("features")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have, often_ = None, {}, None
+        for batch in batches:
+            out = []
+            for part, kind, a, b, value, features in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if part != now:
+                    now, have, often_ = part, {}, None
+                if kind == 0:
+                    have[a] = np.frombuffer(features, np.uint64)
+                elif kind == 1:
+                    often_ = np.frombuffer(features, ">u8").astype(np.uint64)
+                else:
+                    out.append((part, a, b, value, have[a], have[b], often_))
+            if out:
+                yield from run(out)
+
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(each, schema)
 
 
 def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -268,48 +377,61 @@ def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(u, v, star, nu, nv, shared): sizes and the number of common features."""
+def _shared(asks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, nu, nv, shared) of asks (part, a, b): sizes and the number of common features."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.array([(len(a), len(b), len(b) - len(_rest(a, b))) for _, a, b in _sets_of(batch, k)], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["u", "v", "star", "nu", "nv", "shared"])
+    def run(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = np.array([(a, b, len(x), len(y), len(y) - len(_rest(x, y))) for _, a, b, _, x, y, _ in asked], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["u", "v", "nu", "nv", "shared"])
+
+    return _brought_together(asks.withColumn("value", F.lit(None).cast("long")), sets, run, "u long, v long, nu long, nv long, shared long")
+
+
+def _outside(asks: DataFrame, sets: DataFrame, often: DataFrame | None) -> DataFrame:
+    """(part, v, f) of asks (part, a, b, value): the first ``value`` features of b that a hasn't, those in ``often`` (part, features) last."""
 
-    return _with_texts(pairs, texts, "star").mapInArrow(run, "u long, v long, star boolean, nu long, nv long, shared long")
+    def run(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(asked), 256):
+            parts, vs, firsts = [], [], []
+            for part, _, b, first, x, y, late in asked[a : a + 256]:
+                rest = _rest(x, y)
+                if late is not None:
+                    last = np.isin(rest, late)
+                    rest = np.concatenate([rest[~last], rest[last]])
+                rest = rest[:first]
+                firsts.append(rest)
+                parts.append(np.full(len(rest), part))
+                vs.append(np.full(len(rest), b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(firsts).view(np.int64))], names=["part", "v", "f"])
 
+    return _brought_together(asks, sets, run, "part long, v long, f long", often)
 
-def _outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Of pairs (u, v, first, often): (u, v, features), the first features of v that u hasn't, those in ``often`` last."""
+
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(cid, features) of the texts of ``rows`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            firsts, oftens, out = batch.column(2).to_pylist(), batch.column(3), []
-            for i, a, b in _sets_of(batch, k):
-                rest = _rest(a, b)
-                often = oftens[i].values
-                if often is not None and len(often):
-                    late = np.isin(rest, often.to_numpy().view(np.uint64))
-                    rest = np.concatenate([rest[~late], rest[late]])
-                out.append(rest[: firsts[i]])
-            where = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            values = np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(where), pa.array(values))], names=["u", "v", "features"])
-
-    return _with_texts(pairs, texts, "first", "often").mapInArrow(run, "u long, v long, features array<long>")
-
-
-def _in_blocks(pairs: DataFrame, most: int, make: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, list[str]]:
-    """``make`` of the pairs, written block by block, so that no more than about ``most`` pairs of texts are in shuffle files at a time."""
-    spark, blocks = pairs.sparkSession, max(1, math.ceil(pairs.count() / most))
-    out, places = None, []
-    for b in range(blocks):
-        block = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(blocks)) == b) if blocks > 1 else pairs
-        part, place = cut(make(block), name)
-        if blocks > 1:
-            release(spark)
-        out, places = part if out is None else out.unionByName(part), [*places, place]
-    return out, places
+        for _, data, offsets in steps(batches):
+            sets = shingle_sets(data, offsets, k)
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "features"])
+
+    return rows.select("id", "text").mapInArrow(run, "cid long, features binary")
+
+
+def _relabel(label: DataFrame, label_at: str, tested: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """``label`` (cid, root) with the components that the links among ``tested`` join."""
+    spark = label.sparkSession
+    linked = tested.where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared")))
+    named = linked.join(label.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
+    links, links_at = cut(named.where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
+    if not links.isEmpty():
+        reached, reached_at = components(links)
+        new, new_at = cut(salted(label, reached.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "cid", "left").select("cid", F.coalesce("top", "root").alias("root")), "label")
+        for place in (reached_at, label_at):
+            forget(spark, place)
+        label, label_at = new, new_at
+    forget(spark, links_at)
+    return label, label_at
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -319,9 +441,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles (A-Z lower-cased, words split at white space) is ``percent`` or
     more; ``component_id`` is the smallest id that links reach. Texts with
     fewer than k words are one shingle; null, empty and blank texts have none
-    and link with nothing. Ids are integers; rows of one id are one node; a row
-    with a null id links with nothing and has a null ``component_id``. Other
-    columns are ignored. Empty input: no rows.
+    and link with nothing. Texts of any length are taken whole; a set and its
+    sketch are held whole by one task. Ids are integers; rows of one id are one
+    node; a row with a null id links with nothing and has a null
+    ``component_id``. Other columns are ignored. Empty input: no rows. The
+    links are sought when the function is called, not when its result is read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -329,110 +453,102 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = 1 << max(6, (2 * partitions - 1).bit_length())
     slim, _ = cut(_slim(rows, k), "sets")
     with arrow_rows(spark, 64):  # a row holds a bucket's signatures of a whole task
-        found, found_at = cut(_meet(rows, k, percent, buckets), "met")
-    release(spark)
-
-    # equal sets: the smallest id stands for all
-    sized = slim.where("n > 0 and id is not null")
-    classes, _ = cut(sized.groupBy("n", "set0", "set1").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "sketches")
-    member, _ = cut(sized.select("id", "n", "set0", "set1").join(classes.drop("sketch"), ["n", "set0", "set1"]).select("id", "rep").distinct(), "classes")
-    sketches = classes.groupBy(F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"))
-    of = member.groupBy("id").agg(F.min("rep").alias("rep"))
-
-    # the pivot of a signature: what met in one task has that task's, which has the signature's
-    up = found.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("above"))
-    stars = found.join(up, ["sig", "pivot"], "left").select("sig", F.coalesce("above", "pivot").alias("p"), F.col("id").alias("x"))
-    several = stars.groupBy("sig").agg((F.count(F.lit(1)) > 1).alias("star"))
-    stars = stars.join(several, "sig").groupBy("p", "x").agg(F.count(F.lit(1)).alias("met"), F.bool_or("star").alias("star"))
-    stars = stars.join(of.withColumnRenamed("id", "p").withColumnRenamed("rep", "u"), "p").join(of.withColumnRenamed("id", "x").withColumnRenamed("rep", "v"), "x")
-    pairs, pairs_at = cut(stars.where("u != v").groupBy("u", "v").agg(F.sum("met").alias("met"), F.bool_or("star").alias("star")), "pairs")
+        found, found_at = cut(_meet(rows, k, percent, buckets).distinct(), "met")
+
+    named = slim.where("n > 0 and id is not null")
+    # groups by the id of a pivot: its own members, and those that met it by way of a task's pivot
+    own = found.where("not across").select(F.col("pivot").alias("g"), "id")
+    across = found.where("across").select(F.col("pivot").alias("g"), "id")
+    by_way = own.withColumnRenamed("g", "way").join(across.select("g", F.col("id").alias("way")), "way").select("g", "id")
+    pivots = found.select(F.col("pivot").alias("g"), F.col("pivot").alias("id"))
+    members = own.unionByName(across).unionByName(by_way).unionByName(pivots).distinct()
+    of = named.select("id", F.col("cid").alias("v"), "n").distinct()
+    groups, groups_at = cut(members.join(of, "id").select("g", "v", "n").distinct(), "groups")
     forget(spark, found_at)
-    # pivots of later rounds: those first that share most signatures
-    rank, _ = cut(pairs.select(F.col("u").alias("id"), "met").unionByName(pairs.select(F.col("v").alias("id"), "met")).groupBy("id").agg((-F.sum("met")).alias("first")), "rank")
-    texts, texts_at = cut(rows.join(rank.select("id"), "id", "left_semi"), "texts")
-    release(spark)
-
-    def linked(shared: str, a: str, b: str):
-        return 100 * F.col(shared) >= percent * (F.col(a) + F.col(b) - F.col(shared))
-
-    label = rank.select("id", F.col("id").alias("root"))
-    pairs = pairs.select("u", "v", "star")
-    most_pairs = max(PAIRS_AT_ONCE, slim.count() // 3)
-    turn, tried = 0, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    classes = named.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    met = groups.select(F.col("v").alias("cid")).distinct()
+    sketches, sketches_at = cut(classes.join(met, "cid", "left_semi"), "sketches")
+    sets, sets_at = cut(_sets(rows.join(sketches.select("id"), "id", "left_semi"), k), "features")
+    label, label_at = cut(sketches.select("cid", F.col("cid").alias("root")), "label")
+
+    def test(pairs: DataFrame) -> tuple[DataFrame, str]:
+        spread = F.pmod(F.xxhash64("v"), F.lit(16))
+        return cut(_shared(pairs.select(F.xxhash64("u", spread).alias("part"), F.col("u").alias("a"), F.col("v").alias("b")), sets), "tested")
+
+    def with_root(g: DataFrame) -> DataFrame:
+        return g.join(label.withColumnRenamed("cid", "v"), "v")
+
+    def with_sketch(g: DataFrame) -> DataFrame:
+        return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
+
     while True:
-        tested, tested_at = _in_blocks(pairs, most_pairs, lambda p: _tested(_possible(p, sketches, percent), texts, k), "tested")
-        if turn:
-            forget(spark, pairs_at)
-        # components so far, joined by the links that are new
-        named = tested.join(label.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
-        links, _ = cut(named.where(linked("shared", "nu", "nv")).where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "links")
-        if not links.isEmpty():
-            reached = components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
-            label, _ = cut(label.join(reached, "root", "left").select("id", F.coalesce("above", "root").alias("root")), "label")
-            named = tested.join(label.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
-        named = named.where("star")
-        apart = named.where("ru != rv").select("u").distinct()
-        star, star_at = cut(named.join(apart, "u", "left_semi").select("u", "v", "nv", "shared", "ru", "rv"), "star")
-        if star.isEmpty():
+        shape = groups.groupBy("g").agg(F.min(F.struct("n", "v")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        shape, shape_at = cut(shape.select("g", F.col("p.v").alias("pivot"), F.col("p.n").alias("least"), "size"), "shape")
+        shaped, shaped_at = cut(salted(groups, shape, "g", "v"), "shaped")
+        forget(spark, groups_at)
+        small, large = shaped.where(F.col("size") <= SMALL), shaped.where(F.col("size") > SMALL)
+        # each member with its pivot
+        spread = F.pmod(F.xxhash64("v"), F.when(F.col("n") > LONG, F.lit(2**31)).otherwise(F.ceil(F.col("size") / TOGETHER)))
+        part = F.xxhash64("g", spread)
+        tested, tested_at = test(_possible(with_sketch(small).withColumn("root", F.lit(0)), percent, True))
+        stars, stars_at = cut(_shared(large.where("v != pivot").select(part.alias("part"), F.col("pivot").alias("a"), F.col("v").alias("b")).distinct(), sets), "stars")
+        label, label_at = _relabel(label, label_at, tested.unionByName(stars), percent)
+        forget(spark, tested_at)
+        # pairs that aren't joined yet
+        rooted, rooted_at = cut(with_root(shaped), "rooted")
+        open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g")
+        mixed = salted(rooted, open_, "g", "v")
+        tested, tested_at = test(_possible(with_sketch(mixed.where(F.col("size") <= SMALL)), percent, False))
+        label, label_at = _relabel(label, label_at, tested, percent)
+        forget(spark, tested_at)
+        # large groups: what their members have outside the pivot
+        apart = salted(with_root(large), shape.join(label.select(F.col("cid").alias("pivot"), F.col("root").alias("top")), "pivot").select("g", "top"), "g", "v")
+        known = apart.where("v != pivot").join(stars.select(F.col("u").alias("pivot"), "v", "shared").distinct(), ["pivot", "v"])
+        partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+        outside = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("shared"))
+        known, known_at = cut(known.select("g", "pivot", "v", "n", "size", "root", "top", "shared", outside.alias("outside")), "known")
+        needed = known.where("root != top").groupBy("g").agg(F.min("outside").alias("needed"))
+        first = F.col("n") - F.col("shared") - F.greatest("outside", "needed") + 1
+        asks, asks_at = cut(salted(known, needed, "g", "v").withColumns({"value": first.cast("long"), "part": part}).where("value > 0").select("part", "g", F.col("pivot").alias("a"), F.col("v").alias("b"), "n", "size", "value"), "asks")
+        for place in (shape_at, shaped_at, stars_at, rooted_at, known_at):
+            forget(spark, place)
+        if asks.isEmpty():
+            forget(spark, asks_at)
             break
-        # what the bound allows: a text apart from the pivot with a smaller one
-        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
-        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
-        each = PAIRED[min(turn, len(PAIRED) - 1)]
-        turn += 1
-
-        def crossing(members: DataFrame, by: str) -> DataFrame:
-            """(by, size, crossing): members of each group, and pairs of them in different components."""
-            parts = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("c"))
-            sums = parts.groupBy(by).agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"))
-            return sums.select(by, "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("crossing"))
-
-        most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("nv")
-        partner = F.greatest(F.col("least"), F.ceil(F.col("nv") * percent / 100))
-        outside = F.greatest(F.lit(1), F.ceil((F.col("nv") + partner) * percent / (100 + percent)) - F.col("shared"))
-        least = star.groupBy("u").agg(F.min("nv").alias("least"))
-        known = star.withColumnRenamed("rv", "root").join(least, "u").withColumns({"outside": outside, "most": most})
-        # of texts in the pivot's component only those count that share enough with one apart from it
-        needed = known.where("root != ru").groupBy("u").agg(F.min("outside").alias("needed"))
-        shape, shape_at = cut(crossing(known, "u").join(least, "u").join(needed, "u"), "shape")
-        sizes = known.select("u", "v", F.col("nv").alias("n"), "ru", "root", "most").join(shape.select("u", "least", (F.col("crossing") <= each * F.col("size")).alias("small")), "u")
-        near = sizes.where("most >= least or small").drop("least")
-        other = near.select("u", F.col("v").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("limit"))
-        fits = f"small and 100 * least(n, m) >= {percent} * greatest(n, m) or m <= most and n <= limit"
-        allowed = near.where("root != ru").join(other, "u").where(f"root != other and (other = ru or v < y) and ({fits})")
-        direct = allowed.select(F.least("v", "y").alias("u"), F.greatest("v", "y").alias("v"))
-        # and those that share one of their first features outside the pivot
-        large = known.drop("least").join(shape.where(F.col("crossing") > each * F.col("size")).select("u", "needed", "size"), "u")
-        large = large.withColumn("first", (F.col("nv") - F.col("shared") - F.greatest("outside", "needed") + 1).cast("int")).where("first > 0")
-        large, large_at = cut(large.select("u", "v", F.col("nv").alias("n"), "root", "first", "size"), "large")
-        # any order of features will do; one in which those come last that many texts of the star have keeps groups small
-        some = large.where(F.col("size") >= SAMPLED_FROM).where(F.pmod(F.xxhash64("u", "v"), F.col("size")) < SAMPLED).select("u", "v", F.lit(2**31 - 1).alias("first"), F.lit(None).cast("array<long>").alias("often"))
-        often = _outside(some, texts, k).select("u", F.explode("features").alias("f")).groupBy("u", "f").agg(F.count(F.lit(1)).alias("times"))
-        often, often_at = cut(often.where(F.col("times") >= SAMPLED // 4).groupBy("u").agg(F.collect_list("f").alias("often")), "often")
-        firsts, firsts_at = _in_blocks(large, most_pairs, lambda p: _outside(p.join(often, "u", "left").select("u", "v", "first", "often"), texts, k), "firsts")
-        seats = firsts.join(large.select("u", "v", "n", "root"), ["u", "v"]).select("u", F.col("v").alias("id"), "n", "root", F.explode("features").alias("f"))
-        seats, seats_at = cut(seats.select(F.xxhash64("u", "f").alias("group"), "id", "n", "root"), "seats")
-        groups = crossing(seats, "group").where("crossing > 0").select("group", (F.col("crossing") <= each * F.col("size")).alias("small"))
-        open_, open_at = cut(seats.join(groups, "group"), "open")
-        few = open_.where("small")
-        other = few.select("group", F.col("id").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))
-        paired = few.join(other, "group").where(f"id < y and root != other and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("u"), F.col("y").alias("v"))
-        many = open_.where("not small").select("group", "id").distinct().join(rank, "id")
-        pivots = many.groupBy("group").agg(F.min(F.struct("first", "id")).alias("p"))
-        again = many.join(pivots, "group").where(F.col("id") != F.col("p.id")).select(F.col("p.id").alias("u"), F.col("id").alias("v"))
-        direct = direct.unionByName(paired).distinct().join(tried, ["u", "v"], "left_anti")  # a pair is tested once
-        pairs, pairs_at = cut(again.withColumn("star", F.lit(True)).unionByName(direct.withColumn("star", F.lit(False))).groupBy("u", "v").agg(F.bool_or("star").alias("star")), "pairs")
-        tried, _ = cut(tried.unionByName(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "tried")
-        for place in (*tested_at, *firsts_at, star_at, shape_at, large_at, often_at, seats_at, open_at):
+        parts = asks.select("part", "g").distinct()
+        some = asks.where(F.pmod(F.xxhash64("g", "b"), F.col("size")) < SAMPLED).withColumn("value", F.lit(2**31 - 1).cast("long"))
+        times = _outside(some.select("part", "a", "b", "value"), sets, None).join(parts, "part").groupBy("g", "f").agg(F.count(F.lit(1)).alias("times"))
+        late = times.where(F.col("times") >= SAMPLED // 4).groupBy("g").agg(F.collect_list(F.lpad(F.hex("f"), 16, "0")).alias("fs"))
+        often, often_at = cut(late.select("g", F.unhex(F.array_join("fs", "")).alias("features")), "often")
+        seats = _outside(asks.select("part", "a", "b", "value"), sets, parts.join(often, "g").select("part", "features")).join(parts, "part")
+        own_size = sketches.select(F.col("cid").alias("v"), "n")
+        seats, seats_at = cut(with_root(seats.select(F.xxhash64("g", "f").alias("g"), "v").distinct().join(own_size, "v")), "seats")
+        forget(spark, often_at)
+        # those that more than one component has
+        unlike = seats.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g")
+        groups, groups_at = cut(salted(seats, unlike, "g", "v").select("g", "v", "n"), "groups")
+        for place in (asks_at, seats_at):
             forget(spark, place)
-        release(spark)
-        if pairs.isEmpty():
+        if groups.isEmpty():
+            forget(spark, groups_at)
             break
-    forget(spark, texts_at)
-    roots = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    repeated = roots.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    if not repeated.isEmpty():  # rows of one id with several texts join their components
-        reached = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")))
-        roots = reached.select(F.col("node").alias("id"), "root")
-    out = slim.select("id", F.col("n").alias("n_shingles")).join(roots.distinct(), "id", "left")
-    return out.select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    for place in (sets_at, sketches_at):
+        forget(spark, place)
+
+    # the smallest id of each component; rows of one id are one node
+    ids, ids_at = cut(salted(named.select("id", "cid"), label, "cid", "id", "left").select("id", F.coalesce("root", "cid").alias("root")).distinct(), "ids")
+    forget(spark, label_at)
+    split = ids.groupBy("id").agg(F.min("root").alias("u"), F.max("root").alias("w")).where("u != w").select("id", "u")
+    edges, edges_at = cut(ids.join(split, "id").select("u", F.col("root").alias("v")).distinct(), "edges")
+    if not edges.isEmpty():
+        reached, reached_at = components(edges)
+        joined, joined_at = cut(salted(ids, reached.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "id", "left").select("id", F.coalesce("top", "root").alias("root")).distinct(), "ids")
+        for place in (reached_at, ids_at):
+            forget(spark, place)
+        ids, ids_at = joined, joined_at
+    forget(spark, edges_at)
+    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    reached, _ = cut(salted(ids, least, "root", "id").select("id", "component_id"), "reached")
+    forget(spark, ids_at)
+    out = slim.select("id", F.col("n").alias("n_shingles")).join(reached, "id", "left")
+    return out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

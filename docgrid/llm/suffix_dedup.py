@@ -23,7 +23,6 @@ Names are 64 bits where a wrong one costs only work, 128 bits where they decide.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -310,12 +309,6 @@ def _entries(texts: DataFrame, found: DataFrame, length: int, size: int) -> Data
     return texts.select("key", "text").join(ranges, "key").select("key", "text", "found").mapInArrow(run, "rows binary")
 
 
-def _release(spark) -> None:
-    """Shuffle files behind a cut serve no plan any more; Spark removes them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None, with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row of ``docs``.
 
@@ -335,9 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = rows.where(F.octet_length("text") >= length).select("key", "text")
 
     found, found_at = cut(_repeated_anchors(long, length, gram, bits), "anchors")
-    _release(spark)
     texts, texts_at = cut(long.join(found.select("key").distinct(), "key", "left_semi"), "texts")
-    _release(spark)
     gone = []
     for size in (reach, CELL, 1):
         if size >= reach and size != reach:
@@ -345,7 +336,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         now, now_at = cut(_rank_again(_entries(texts, found, length, size), bits), "cells")
         gone.append(now.where(F.col("kind") == GONE).select("key", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("z")))
         found = now
-        _release(spark)
     forget(spark, found_at)
     spans = gone[0]
     for g in gone[1:]:

@@ -109,14 +109,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
     rule's verdict. Another url is blocked if its component has a blocked url
     and no allowed one, else it has ``default``. Null, empty and schemeless
     urls have empty host and path and fit no rule; null is nobody's alias.
-    Repeated urls share their verdict, one row each. Empty tables: no rows.
+    Repeated urls share their verdict, one row each; urls and pages of any
+    length are taken whole. Empty tables: no rows. Components are found when
+    the function is called.
     """
     host, path = host_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     base = base.withColumn("m", match_rule(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("own"))
     if edges is None or edges.isEmpty():
         return base.select("id", "url", "host", "path", "rule", F.coalesce("own", F.lit(default)).alias("verdict"))
-    member = components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
+    member, _ = components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
     host, path = host_path(F.col("node"))
     decided = member.withColumn("own", match_rule(host, path, rules)["verdict"])
     verdicts = decided.groupBy("root").agg(F.bool_or(F.col("own") == "block").alias("blocked"), F.bool_or(F.col("own") == "allow").alias("allowed"))

@@ -46,9 +46,9 @@ def test_components(spark):
         if u is not None and v is not None:
             a, b = find(u), find(v)
             root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"))[0].collect()}
     assert got == {x: find(x) for x in root}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"))[0].count() == 0
 
 
 def test_relative_and_double_links(spark):
