@@ -18,20 +18,23 @@ one entry for each task.
 
 The sets that share a signature form a group. Links are sought in rounds:
 
-1. Each member is held against its group's pivot, the smallest set.
-2. Of a group up to ``SMALL`` members, all pairs that those links haven't joined
-   are held against each other, in one task; sketches (features counted in bins)
-   rule out pairs without loss, what remains is tested on whole sets.
-3. Larger groups: linked sets x and y of unlike components share at least
-   t = q (|x| + |y|) features, q = p / (100 + p), of which at most the smaller of
-   |x & pivot| and |y & pivot| lie in the pivot. As the pivot is the smallest set
-   and one of the two isn't linked with it, that leaves one or more outside. So
-   both have one of their first |x - pivot| - outside + 1 features outside the
-   pivot in common, in one order for all of the group (features that many members
-   have come last). Sets that share one form the groups of the next round.
-
-Every group of the next round is smaller, as it lacks the pivot, so the rounds
-end; no pair that may link is left out, and no large group is paired out.
+1. In a group up to ``SMALL`` members, one task holds sketches (features counted
+   in bins) against each other, which rules out pairs without loss. Stars that
+   cover what may link are tested on whole sets, then all pairs that those links
+   haven't joined.
+2. A larger group has a centre, any set will do; it is made of the features that
+   most of some members have. D(x) is what x and the centre differ in, and
+   |x ^ y| = |D(x) ^ D(y)|. With a(x) = (100 + p) |D(x)| - (100 - p) |x|, sets
+   with a(x) + a(y) <= 0 are linked; all of these are linked with the one of the
+   least a, no test needed. Of all others, linked sets have (a(x) + a(y)) /
+   (2 (100 + p)) or more of D(x) and D(y) in common, so both have one of their
+   first |D| - that + 1 differences in common, in one order for all of the group
+   (those that many members have come last). Sets of unlike components that
+   share one form the groups of the next round.
+
+A difference that a group of the next round shares is one that most of the
+sampled members don't have, so groups shrink and the rounds end; no pair that
+may link is left out, and no large group is paired out.
 """
 
 from __future__ import annotations
@@ -51,11 +54,12 @@ BAND = 1.5
 #: Signatures that a task holds before it hands them on.
 HOLD = 1 << 19
 #: Members up to which a group is paired out, by sketches, in one task.
-SMALL = 256
-#: Members of a large group that are brought together with its pivot at a time; sets of more features come alone.
-TOGETHER, LONG = 64, 50_000
-#: Members of a large group, about, from which the order of its features is taken; it decides how much work there is, not the result.
-SAMPLED = 12
+SMALL = 512
+#: Members of a large group that are brought together with its centre at a time; sets of more features come alone.
+TOGETHER, LONG = 256, 50_000
+#: Members of a large group, about, from which its centre and the order of differences are taken, and how many of these make a difference frequent; they decide how much work there is, not the result.
+SAMPLED, FREQUENT = 48, 3
+
 
 
 def _fold(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -278,43 +282,47 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
 
 
 def _fewer_bins(x: np.ndarray, bins: int) -> np.ndarray:
-    return x.reshape(bins, -1).sum(1, dtype=np.int32) if len(x) > bins else x
+    return np.minimum(x.reshape(bins, -1).sum(1, dtype=np.int32), 255).astype(np.uint8) if len(x) > bins else x
 
 
 def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
-    """(u, v), u < v: pairs of a group's members (g, v, n, root, sketch) that may link.
+    """(u, v), u < v: pairs of a group's members (g, v, n, root, sketch) of unlike roots that may link.
 
-    ``star``: the smallest set with each other one. Else: all pairs of unlike
-    roots. Two sketches of the coarser one's bins differ in total by no more
-    than the sets do (bins at 255 count as unknown), so no link is lost.
+    ``star``: only those of a forest of stars that covers them, the largest
+    star first. Two sketches of the coarser one's bins differ in total by no
+    more than the sets do (bins at 255 count as unknown), so no link is lost.
     """
 
     def pairs(v: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((v, n))
         v, n, root = v[order], n[order], root[order]
         counts = [np.frombuffer(sketches[i], np.uint8) for i in order]
-        left, right = [], []
-        for i in range(1 if star else len(v)):
+        meet = np.zeros((len(v), len(v)), bool)
+        for i in range(len(v)):
             # sizes ascend: partners come after, up to the largest that may link
             z = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = np.arange(i + 1, z)
-            j = j if star else j[root[j] != root[i]]
-            if not len(j):
-                continue
-            own, width = counts[i].astype(np.int32), len(counts[i])
-            apart = np.empty(len(j), np.int64)
+            j = j[root[j] != root[i]]
+            own, width = counts[i].astype(np.int16), len(counts[i])
             for a in range(0, len(j), max(1, (1 << 20) // width)):
-                part = j[a : a + max(1, (1 << 20) // width)]
-                other = np.stack([_fewer_bins(counts[x], width) for x in part]).astype(np.int32)
+                some = j[a : a + max(1, (1 << 20) // width)]
+                other = np.stack([_fewer_bins(counts[x], width) for x in some])
                 difference = np.abs(other - own)
-                if own.max(initial=0) >= 255 or other.max(initial=0) >= 255:
+                if own.max() >= 255 or other.max() >= 255:
                     difference[(other >= 255) | (own >= 255)] = 0
-                apart[a : a + len(part)] = difference.sum(1)
-            j = j[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
-            left.append(np.minimum(v[i], v[j]))
-            right.append(np.maximum(v[i], v[j]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+                meet[i, some] = difference.sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[some]) * (100 - percent)
+        if star:
+            both, bare, meet = meet | meet.T, np.ones(len(v), bool), np.zeros_like(meet)
+            while True:
+                reach = (both & bare).sum(1) * bare
+                i = int(reach.argmax())
+                if not reach[i]:
+                    break
+                meet[i] = both[i] & bare
+                bare &= ~both[i]
+                bare[i] = False
+        i, j = np.nonzero(meet)
+        return np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -339,72 +347,113 @@ def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
 
 
-def _brought_together(asks: DataFrame, sets: DataFrame, run, schema: str, often: DataFrame | None = None) -> DataFrame:
-    """``run`` of (part, kind, a, b, value) by part: kind 0 a set ``a``, kind 1 a list of frequent features, kind 2 an ask (a, b, value).
+def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What b has and a hasn't, both sorted."""
+    if not len(a):
+        return b
+    return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
+
+
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, nu, nv, shared) of distinct pairs: sizes and the number of common features.
 
-    Each set that the asks (part, a, b, value) of a part name is sent to it once.
+    Pairs of one u come together in some parts, and each part gets a set once.
     """
+    asks = pairs.select(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.lit(16))).alias("part"), "u", "v")
+    need = asks.select("part", F.explode(F.array("u", "v")).alias("cid")).distinct()
     none = F.lit(None)
-    need = asks.select("part", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    rows = need.join(sets, "cid").select("part", F.lit(0).alias("kind"), F.col("cid").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("value"), "features")
-    if often is not None:
-        rows = rows.unionByName(often.select("part", F.lit(1).alias("kind"), none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("long").alias("value"), "features"))
-    rows = rows.unionByName(asks.select("part", F.lit(2).alias("kind"), "a", "b", "value", none.cast("binary").alias("features")))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, have, often_ = None, {}, None
+    rows = need.join(sets, "cid").select("part", F.lit(0).alias("kind"), F.col("cid").alias("u"), none.cast("long").alias("v"), "features")
+    rows = rows.unionByName(asks.select("part", F.lit(1).alias("kind"), "u", "v", none.cast("binary").alias("features")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have = None, {}
         for batch in batches:
             out = []
-            for part, kind, a, b, value, features in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for part, kind, u, v, features in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if part != now:
-                    now, have, often_ = part, {}, None
+                    now, have = part, {}
                 if kind == 0:
-                    have[a] = np.frombuffer(features, np.uint64)
-                elif kind == 1:
-                    often_ = np.frombuffer(features, ">u8").astype(np.uint64)
+                    have[u] = np.frombuffer(features, np.uint64)
                 else:
-                    out.append((part, a, b, value, have[a], have[b], often_))
+                    x, y = have[u], have[v]
+                    out.append((u, v, len(x), len(y), len(y) - len(_rest(x, y))))
             if out:
-                yield from run(out)
+                columns = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["u", "v", "nu", "nv", "shared"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(each, schema)
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "u long, v long, nu long, nv long, shared long")
 
 
-def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What b has and a hasn't, both sorted."""
-    if not len(a):
-        return b
-    return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
+def _centres(some: DataFrame) -> DataFrame:
+    """(g, centre, often) of sampled members (g, features): the features that most have, and those in which many differ from it, by how many."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-def _shared(asks: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, nu, nv, shared) of asks (part, a, b): sizes and the number of common features."""
-
-    def run(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = np.array([(a, b, len(x), len(y), len(y) - len(_rest(x, y))) for _, a, b, _, x, y, _ in asked], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["u", "v", "nu", "nv", "shared"])
+        def close() -> pa.RecordBatch:
+            f, times = np.unique(np.concatenate(held), return_counts=True)
+            most = 2 * times > len(held)
+            differ = np.where(most, len(held) - times, times)
+            often = f[differ >= FREQUENT][np.argsort(differ[differ >= FREQUENT], kind="stable")]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (f[most], often))], names=["g", "centre", "often"])
 
-    return _brought_together(asks.withColumn("value", F.lit(None).cast("long")), sets, run, "u long, v long, nu long, nv long, shared long")
+        for batch in batches:
+            for g, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g != now and held:
+                    yield close()
+                    held = []
+                now = g
+                held.append(np.frombuffer(features, np.uint64))
+        if held:
+            yield close()
 
+    return some.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, centre binary, often binary")
 
-def _outside(asks: DataFrame, sets: DataFrame, often: DataFrame | None) -> DataFrame:
-    """(part, v, f) of asks (part, a, b, value): the first ``value`` features of b that a hasn't, those in ``often`` (part, features) last."""
 
-    def run(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(asked), 256):
-            parts, vs, firsts = [], [], []
-            for part, _, b, first, x, y, late in asked[a : a + 256]:
-                rest = _rest(x, y)
-                if late is not None:
-                    last = np.isin(rest, late)
-                    rest = np.concatenate([rest[~last], rest[last]])
-                rest = rest[:first]
-                firsts.append(rest)
-                parts.append(np.full(len(rest), part))
-                vs.append(np.full(len(rest), b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(firsts).view(np.int64))], names=["part", "v", "f"])
+def _differences(members: DataFrame, centres: DataFrame, firsts: bool) -> DataFrame:
+    """Of members (part, g, v, first, features), by their group's centre: (g, v, d), in how many features they differ from it;
+    or (g, v, f), the ``first`` differences, frequent ones last."""
+    none = F.lit(None)
+    rows = members.select("part", F.lit(1).alias("kind"), "g", "v", "first", "features", none.cast("binary").alias("often"))
+    parts = members.select("part", "g").distinct()
+    led = salted(parts, centres, "g", "part").select("part", F.lit(0).alias("kind"), "g", none.cast("long").alias("v"), none.cast("long").alias("first"), F.col("centre").alias("features"), "often")
 
-    return _brought_together(asks, sets, run, "part long, v long, f long", often)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = late = rank = np.zeros(0, np.uint64)
+        for batch in batches:
+            gs, vs, out, size = [], [], [], 0
+            for _, kind, g, v, first, features, often in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                f = np.frombuffer(features, np.uint64)
+                if kind == 0:
+                    centre, often = f, np.frombuffer(often, np.uint64)
+                    rank = np.argsort(often)
+                    late = often[rank]
+                    continue
+                d = np.sort(np.concatenate([_rest(centre, f), _rest(f, centre)]))
+                if firsts:
+                    if len(late):
+                        at = np.minimum(np.searchsorted(late, d), len(late) - 1)
+                        hit = late[at] == d
+                        d = np.concatenate([d[~hit], d[hit][np.argsort(rank[at[hit]])]])
+                    d = d[:first]
+                gs.append(g)
+                vs.append(v)
+                out.append(d if firsts else len(d))
+                size += len(d) if firsts else 1
+                if size >= 1 << 16:
+                    yield give(gs, vs, out)
+                    gs, vs, out, size = [], [], [], 0
+            if gs:
+                yield give(gs, vs, out)
+
+    def give(gs: list[int], vs: list[int], out: list) -> pa.RecordBatch:
+        if not firsts:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gs, vs, out)], names=["g", "v", "d"])
+        times = [len(d) for d in out]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), times)) for x in (gs, vs)] + [pa.array(np.concatenate(out).view(np.int64))], names=["g", "v", "f"])
+
+    ready = rows.unionByName(led).repartition("part").sortWithinPartitions("part", "kind")
+    return ready.mapInArrow(run, "g long, v long, f long" if firsts else "g long, v long, d long")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -418,19 +467,18 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "cid long, features binary")
 
 
-def _relabel(label: DataFrame, label_at: str, tested: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """``label`` (cid, root) with the components that the links among ``tested`` join."""
+def _relabel(label: DataFrame, label_at: str, links: DataFrame) -> tuple[DataFrame, str]:
+    """``label`` (cid, root) with the components that the links (u, v) join."""
     spark = label.sparkSession
-    linked = tested.where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared")))
-    named = linked.join(label.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
-    links, links_at = cut(named.where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
-    if not links.isEmpty():
-        reached, reached_at = components(links)
+    named = links.join(label.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(label.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
+    joined, joined_at = cut(named.where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
+    if not joined.isEmpty():
+        reached, reached_at = components(joined)
         new, new_at = cut(salted(label, reached.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "cid", "left").select("cid", F.coalesce("top", "root").alias("root")), "label")
         for place in (reached_at, label_at):
             forget(spark, place)
         label, label_at = new, new_at
-    forget(spark, links_at)
+    forget(spark, joined_at)
     return label, label_at
 
 
@@ -471,9 +519,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets, sets_at = cut(_sets(rows.join(sketches.select("id"), "id", "left_semi"), k), "features")
     label, label_at = cut(sketches.select("cid", F.col("cid").alias("root")), "label")
 
-    def test(pairs: DataFrame) -> tuple[DataFrame, str]:
-        spread = F.pmod(F.xxhash64("v"), F.lit(16))
-        return cut(_shared(pairs.select(F.xxhash64("u", spread).alias("part"), F.col("u").alias("a"), F.col("v").alias("b")), sets), "tested")
+    def linked(pairs: DataFrame) -> tuple[DataFrame, str]:
+        """Those pairs that link, by whole sets."""
+        tested = _shared(pairs, sets).where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared")))
+        return cut(tested.select("u", "v"), "tested")
 
     def with_root(g: DataFrame) -> DataFrame:
         return g.join(label.withColumnRenamed("cid", "v"), "v")
@@ -482,52 +531,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
 
     while True:
-        shape = groups.groupBy("g").agg(F.min(F.struct("n", "v")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        shape, shape_at = cut(shape.select("g", F.col("p.v").alias("pivot"), F.col("p.n").alias("least"), "size"), "shape")
-        shaped, shaped_at = cut(salted(groups, shape, "g", "v"), "shaped")
-        forget(spark, groups_at)
-        small, large = shaped.where(F.col("size") <= SMALL), shaped.where(F.col("size") > SMALL)
-        # each member with its pivot
-        spread = F.pmod(F.xxhash64("v"), F.when(F.col("n") > LONG, F.lit(2**31)).otherwise(F.ceil(F.col("size") / TOGETHER)))
-        part = F.xxhash64("g", spread)
-        tested, tested_at = test(_possible(with_sketch(small).withColumn("root", F.lit(0)), percent, True))
-        stars, stars_at = cut(_shared(large.where("v != pivot").select(part.alias("part"), F.col("pivot").alias("a"), F.col("v").alias("b")).distinct(), sets), "stars")
-        label, label_at = _relabel(label, label_at, tested.unionByName(stars), percent)
-        forget(spark, tested_at)
-        # pairs that aren't joined yet
-        rooted, rooted_at = cut(with_root(shaped), "rooted")
-        open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g")
-        mixed = salted(rooted, open_, "g", "v")
-        tested, tested_at = test(_possible(with_sketch(mixed.where(F.col("size") <= SMALL)), percent, False))
-        label, label_at = _relabel(label, label_at, tested, percent)
-        forget(spark, tested_at)
-        # large groups: what their members have outside the pivot
-        apart = salted(with_root(large), shape.join(label.select(F.col("cid").alias("pivot"), F.col("root").alias("top")), "pivot").select("g", "top"), "g", "v")
-        known = apart.where("v != pivot").join(stars.select(F.col("u").alias("pivot"), "v", "shared").distinct(), ["pivot", "v"])
-        partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-        outside = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("shared"))
-        known, known_at = cut(known.select("g", "pivot", "v", "n", "size", "root", "top", "shared", outside.alias("outside")), "known")
-        needed = known.where("root != top").groupBy("g").agg(F.min("outside").alias("needed"))
-        first = F.col("n") - F.col("shared") - F.greatest("outside", "needed") + 1
-        asks, asks_at = cut(salted(known, needed, "g", "v").withColumns({"value": first.cast("long"), "part": part}).where("value > 0").select("part", "g", F.col("pivot").alias("a"), F.col("v").alias("b"), "n", "size", "value"), "asks")
-        for place in (shape_at, shaped_at, stars_at, rooted_at, known_at):
+        sizes, sizes_at = cut(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        small = groups.join(sizes.where(F.col("size") <= SMALL), "g")
+        large, large_at = cut(salted(groups, sizes.where(F.col("size") > SMALL), "g", "v"), "large")
+        links, links_at = linked(_possible(with_sketch(small).withColumn("root", F.col("v")), percent, True))
+        if large.isEmpty():
+            label, label_at = _relabel(label, label_at, links)
+        else:
+            some = large.where(F.pmod(F.xxhash64("g", "v"), F.col("size")) < SAMPLED)
+            each = sets.withColumnRenamed("cid", "v")
+            centres, centres_at = cut(_centres(some.join(each, "v").select("g", "features")), "centres")
+            spread = F.pmod(F.xxhash64("v"), F.when(F.col("n") > LONG, F.lit(2**31)).otherwise(F.ceil(F.col("size") / TOGETHER)))
+            large = large.withColumn("part", F.xxhash64("g", spread))
+            members = large.withColumn("first", F.lit(None).cast("long")).join(each, "v")
+            far, far_at = cut(_differences(members, centres, False), "far")
+            a = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+            far = far.join(large, ["g", "v"]).withColumn("a", a)
+            least, least_at = cut(far.groupBy("g").agg(F.min(F.struct("a", "v")).alias("x")).select("g", F.col("x.a").alias("least"), F.col("x.v").alias("u")), "least")
+            core = salted(far, least, "g", "v").where("a + least <= 0 and u != v").select("u", "v")
+            label, label_at = _relabel(label, label_at, links.unionByName(core))
+        forget(spark, links_at)
+        # small groups: pairs that aren't joined yet
+        rooted, rooted_at = cut(with_root(small), "rooted")
+        mixed = rooted.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
+        links, links_at = linked(_possible(with_sketch(rooted.join(mixed, "g")), percent, False))
+        label, label_at = _relabel(label, label_at, links)
+        for place in (links_at, rooted_at, groups_at, sizes_at):
             forget(spark, place)
-        if asks.isEmpty():
-            forget(spark, asks_at)
+        if large.isEmpty():
+            forget(spark, large_at)
             break
-        parts = asks.select("part", "g").distinct()
-        some = asks.where(F.pmod(F.xxhash64("g", "b"), F.col("size")) < SAMPLED).withColumn("value", F.lit(2**31 - 1).cast("long"))
-        times = _outside(some.select("part", "a", "b", "value"), sets, None).join(parts, "part").groupBy("g", "f").agg(F.count(F.lit(1)).alias("times"))
-        late = times.where(F.col("times") >= SAMPLED // 4).groupBy("g").agg(F.collect_list(F.lpad(F.hex("f"), 16, "0")).alias("fs"))
-        often, often_at = cut(late.select("g", F.unhex(F.array_join("fs", "")).alias("features")), "often")
-        seats = _outside(asks.select("part", "a", "b", "value"), sets, parts.join(often, "g").select("part", "features")).join(parts, "part")
-        own_size = sketches.select(F.col("cid").alias("v"), "n")
-        seats, seats_at = cut(with_root(seats.select(F.xxhash64("g", "f").alias("g"), "v").distinct().join(own_size, "v")), "seats")
-        forget(spark, often_at)
-        # those that more than one component has
-        unlike = seats.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g")
+        # large groups: the first differences of those that unlike components may share
+        tops = least.join(label.select(F.col("cid").alias("u"), F.col("root").alias("top")), "u").select("g", "least", "top")
+        known, known_at = cut(salted(with_root(far), tops, "g", "v"), "known")
+        needed = known.where("root != top").groupBy("g").agg(F.min("a").alias("needed"))
+        common = F.ceil((F.col("a") + F.when(F.col("root") == F.col("top"), F.col("needed")).otherwise(F.col("least"))) / (2 * (100 + percent)))
+        first = (F.col("d") - F.greatest(F.lit(1), common) + 1).cast("long")
+        asks, asks_at = cut(salted(known, needed, "g", "v").withColumn("first", first).where("first > 0").select("part", "g", "v", "first"), "asks")
+        seats = _differences(asks.join(each, "v"), centres, True).select(F.xxhash64("g", "f").alias("g"), "v").distinct()
+        seats, seats_at = cut(with_root(seats.join(sketches.select(F.col("cid").alias("v"), "n"), "v")), "seats")
+        unlike = seats.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
         groups, groups_at = cut(salted(seats, unlike, "g", "v").select("g", "v", "n"), "groups")
-        for place in (asks_at, seats_at):
+        for place in (large_at, centres_at, far_at, least_at, known_at, asks_at, seats_at):
             forget(spark, place)
         if groups.isEmpty():
             forget(spark, groups_at)
