@@ -9,10 +9,13 @@ solution for unigram features alone: smoothed counts within the class. Words
 never seen in training are one further word of their class, so the
 probabilities of all words of all classes add up to one.
 
-Training: in each round every task runs gradient steps over its part of a
-disjoint share of the training texts, from the same weights; the weights of a
-feature are averaged over the tasks, each by how often it saw the feature, in
-blocks of features that Spark deals out. All training texts are used.
+Training: the texts are dealt into lots by a hash of id and text, their number
+follows the tokens counted. In each round gradient steps run over every lot of
+a disjoint share of the texts, in a fixed order, from the same weights; the
+weights of a feature are averaged over the lots, each by how often it saw the
+feature, in blocks of features that Spark deals out. All training texts are
+used. Neither lots nor orders depend on how the input is partitioned, so the
+weights don't, nor do they change when a lost task runs again.
 
 Counts cover all words and stay in a table. The ``HEAD`` most frequent words go
 to every task (a fixed size); all other words of the texts meet their counts in
@@ -38,6 +41,10 @@ CLASSES, BUCKETS, FEATURES = 32, 1 << 15, 5
 BLOCK = 32
 #: Disjoint shares of the training texts, one for each round; tokens of a gradient step; its rate.
 ROUNDS, BATCH, RATE = 3, 1024, 0.25
+#: Tokens in a lot, about.
+LOT = 1 << 20
+#: Tokens whose features are made at a time; a context doesn't reach across.
+STEP = 64 * BATCH
 #: Most frequent words whose counts each task holds, 16 bytes each.
 HEAD = 500_000
 #: Distinct words that a task counts before it hands them on.
@@ -165,26 +172,31 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return part.groupBy("h").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
 
 
-def _train_round(docs: DataFrame, weights: np.ndarray, rate: float) -> np.ndarray:
-    """The weights after every task's gradient steps over its part of ``docs``, averaged."""
+def _train_round(docs: DataFrame, lots: int, weights: np.ndarray, rate: float) -> np.ndarray:
+    """The weights after the gradient steps over each lot of ``docs`` (row, id, text), averaged."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS x CLASSES, a fixed size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.copy()
-        scale, seen = np.ones(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-        for _, data, offsets in steps(batches, most=1 << 19):
-            tok, cls, at = tokens(data, offsets)
+        now, own, scale, seen = None, None, None, None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            own_ = own * seen[:, None]
+            block = np.flatnonzero(seen.reshape(-1, BLOCK).any(1))
+            for a in range(0, len(block), 64):
+                b = block[a : a + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.astype(np.int32)), pa.array(np.full(len(b), now, np.int64)), pa.array([own_[i * BLOCK : i * BLOCK + BLOCK].tobytes() for i in b], pa.binary()), pa.array([seen[i * BLOCK : i * BLOCK + BLOCK].tobytes() for i in b], pa.binary())],
+                    names=["block", "lot", "w", "n"],
+                )
+
+        for lot, tok, cls, at in _by_lot(batches):
+            if lot != now:
+                if now is not None:
+                    yield from give()
+                now, own, scale, seen = lot, shared.value.copy(), np.ones(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
             descend(own, scale, seen, contexts(tok, cls, at), cls, rate)
-        if not seen.any():
-            return
-        own *= seen[:, None]
-        block = np.flatnonzero(seen.reshape(-1, BLOCK).any(1))
-        for a in range(0, len(block), 64):
-            b = block[a : a + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b.astype(np.int32)), pa.array([own[i * BLOCK : i * BLOCK + BLOCK].tobytes() for i in b], pa.binary()), pa.array([seen[i * BLOCK : i * BLOCK + BLOCK].tobytes() for i in b], pa.binary())],
-                names=["block", "w", "n"],
-            )
+        if now is not None:
+            yield from give()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, w, n = None, None, None
@@ -193,7 +205,7 @@ def _train_round(docs: DataFrame, weights: np.ndarray, rate: float) -> np.ndarra
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["block", "w", "n"])
 
         for batch in batches:
-            for block, x, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for block, _, x, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if block != now:
                     if now is not None:
                         yield give()
@@ -203,8 +215,9 @@ def _train_round(docs: DataFrame, weights: np.ndarray, rate: float) -> np.ndarra
         if now is not None:
             yield give()
 
-    schema = "block int, w binary, n binary"
-    sums = docs.mapInArrow(learn, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema)
+    dealt = docs.withColumn("lot", F.pmod(F.shiftrightunsigned("row", 20), F.lit(lots)).cast("long")).repartition("lot").sortWithinPartitions("lot", "row", "id", "text")
+    learnt = dealt.select("lot", "text").mapInArrow(learn, "block int, lot long, w binary, n binary")
+    sums = learnt.repartition("block").sortWithinPartitions("block", "lot").mapInArrow(add, "block int, w binary, n binary")
     new = weights.copy()
     with arrow_rows(docs.sparkSession):
         got = sums.toArrow()  # the weights, a fixed size
@@ -216,11 +229,47 @@ def _train_round(docs: DataFrame, weights: np.ndarray, rate: float) -> np.ndarra
     return new
 
 
+def _by_lot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lot, tokens, classes, offsets) of whole gradient steps of a lot's texts, whatever the batches; the last step of a lot is short."""
+    now, held, count = None, [], 0
+
+    def close(final: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        nonlocal held, count
+        tok, cls = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        first = np.concatenate([h[2] for h in held])
+        z = len(tok) if final else len(tok) // STEP * STEP
+        for a in range(0, z, STEP):
+            e = min(z, a + STEP)
+            yield now, tok[a:e], cls[a:e], np.append(np.flatnonzero(first[a:e]) if first[a] else np.append(0, np.flatnonzero(first[a:e])), e - a)
+        held, count = [(tok[z:], cls[z:], first[z:])], len(tok) - z
+
+    for batch in batches:
+        lots = batch.column(0).to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, lots[1:] != lots[:-1])), len(lots))
+        for a, z in zip(edge[:-1], edge[1:]):
+            if lots[a] != now:
+                if count:
+                    yield from close(True)
+                now, held, count = int(lots[a]), [], 0
+            for _, data, offsets in steps(iter([batch.slice(a, z - a)]), most=1 << 19):
+                tok, cls, at = tokens(data, offsets)
+                first = np.zeros(len(tok), bool)
+                first[at[:-1]] = True
+                held.append((tok, cls, first))
+                count += len(tok)
+                if count >= 2 * STEP:
+                    yield from close(False)
+    if count:
+        yield from close(True)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame, str]:
     """Learn from all rows of ``docs``: the model, and the table (h, k, c) of counts with its place.
 
-    The rounds' shares are dealt by a hash of id and text. Without rows the
-    weights are zero.
+    The rounds' shares are dealt by a hash of id and text; the result doesn't
+    depend on partitions. Texts of any length are taken whole, in steps. Null
+    and empty texts are an end alone. Without rows the weights are zero. Runs
+    when called.
     """
     spark = docs.sparkSession
     slim = _schema_free(docs, id_col, text_col)
@@ -233,8 +282,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     if n.sum():
         weights[0] = np.log((n + 1.0) / (n.sum() + CLASSES))
         for r in range(ROUNDS):
-            share = slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == r).select("text")
-            weights = _train_round(share, weights, RATE / (1 + r))
+            share = slim.withColumn("row", F.xxhash64("id", "text")).where(F.pmod("row", F.lit(ROUNDS)) == r)
+            weights = _train_round(share, 1 + int(n.sum()) // (ROUNDS * LOT), weights, RATE / (1 + r))
     return Model(weights, n, v, int(n.sum()), int(v.sum())), counts, place
 
 

@@ -86,3 +86,24 @@ def test_empty_tables(spark):
     assert {(r.id, r.n_tokens, r.n_known, r.base_score) for r in out} == {(1, 3, 0, 0.0), (2, 1, 0, 0.0)}
     model, counts, _ = lm.train(docs)
     assert lm.score_documents(docs.limit(0), model, counts).count() == 0
+
+
+def test_partitions_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LOT", 700)
+    monkeypatch.setattr(lm, "STEP", 256)
+    monkeypatch.setattr(lm, "BATCH", 64)
+    docs = spark.createDataFrame([*corpus(3, 60), (950, "w1tion " * 5000)], "doc_id long, text string")
+    first = None
+    for parts in (1, 2, 7):
+        given = docs.repartition(parts)
+        model, counts, _ = lm.train(given)
+        got = sorted((str(r.id), r.n_tokens, r.score) for r in lm.score_documents(given, model, counts).collect())
+        first = first or got
+        assert got == first
+
+
+def test_words_that_a_polynomial_would_confuse(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    model, _, _ = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert model.vocabulary == 3
