@@ -29,8 +29,10 @@ The sets that share a signature form a group. Links are sought in rounds:
    least a, no test needed. Of all others, linked sets have (a(x) + a(y)) /
    (2 (100 + p)) or more of D(x) and D(y) in common, so both have one of their
    first |D| - that + 1 differences in common, in one order for all of the group
-   (those that many members have come last). Sets of unlike components that
-   share one form the groups of the next round.
+   (those that many members have come last). For the one of a pair with the
+   smaller a, of which the other's is no smaller, |D| - a / (100 + p) + 1 will
+   do. Sets of unlike components that share a difference, for one of them among
+   those, form the groups of the next round.
 
 A difference that a group of the next round shares is one that most of the
 sampled members don't have, so groups shrink and the rounds end; no pair that
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.llm.common import arrow_rows, cut, forget, mix, salted, steps, words
@@ -411,18 +413,18 @@ def _centres(some: DataFrame) -> DataFrame:
 
 
 def _differences(members: DataFrame, centres: DataFrame, firsts: bool) -> DataFrame:
-    """Of members (part, g, v, first, features), by their group's centre: (g, v, d), in how many features they differ from it;
-    or (g, v, f), the ``first`` differences, frequent ones last."""
+    """Of members (part, g, v, n, root, first, short, features), by their group's centre: (g, v, d), in how many features they differ from it;
+    or (g, v, n, root, f, early), the ``first`` differences, frequent ones last, and whether each is among the first ``short``."""
     none = F.lit(None)
-    rows = members.select("part", F.lit(1).alias("kind"), "g", "v", "first", "features", none.cast("binary").alias("often"))
+    rows = members.select("part", F.lit(1).alias("kind"), "g", "v", "n", "root", "first", "short", "features", none.cast("binary").alias("often"))
     parts = members.select("part", "g").distinct()
-    led = salted(parts, centres, "g", "part").select("part", F.lit(0).alias("kind"), "g", none.cast("long").alias("v"), none.cast("long").alias("first"), F.col("centre").alias("features"), "often")
+    led = salted(parts, centres, "g", "part").select("part", F.lit(0).alias("kind"), "g", *(none.cast("long").alias(c) for c in ("v", "n", "root", "first", "short")), F.col("centre").alias("features"), "often")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = late = rank = np.zeros(0, np.uint64)
         for batch in batches:
-            gs, vs, out, size = [], [], [], 0
-            for _, kind, g, v, first, features, often in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            held, size = [], 0
+            for _, kind, g, v, n, root, first, short, features, often in zip(*(batch.column(i).to_pylist() for i in range(10))):
                 f = np.frombuffer(features, np.uint64)
                 if kind == 0:
                     centre, often = f, np.frombuffer(often, np.uint64)
@@ -436,24 +438,24 @@ def _differences(members: DataFrame, centres: DataFrame, firsts: bool) -> DataFr
                         hit = late[at] == d
                         d = np.concatenate([d[~hit], d[hit][np.argsort(rank[at[hit]])]])
                     d = d[:first]
-                gs.append(g)
-                vs.append(v)
-                out.append(d if firsts else len(d))
-                size += len(d) if firsts else 1
+                held.append((g, v, n, root, short, d))
+                size += len(d)
                 if size >= 1 << 16:
-                    yield give(gs, vs, out)
-                    gs, vs, out, size = [], [], [], 0
-            if gs:
-                yield give(gs, vs, out)
+                    yield give(held)
+                    held, size = [], 0
+            if held:
+                yield give(held)
 
-    def give(gs: list[int], vs: list[int], out: list) -> pa.RecordBatch:
+    def give(held: list[tuple]) -> pa.RecordBatch:
+        size = np.array([len(h[5]) for h in held], np.int64)
         if not firsts:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gs, vs, out)], names=["g", "v", "d"])
-        times = [len(d) for d in out]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), times)) for x in (gs, vs)] + [pa.array(np.concatenate(out).view(np.int64))], names=["g", "v", "f"])
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.int64()) for i in (0, 1)] + [pa.array(size)], names=["g", "v", "d"])
+        columns = [np.repeat(np.array([h[i] for h in held], np.int64), size) for i in range(5)]
+        early = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) < columns[4]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:4]), pa.array(np.concatenate([h[5] for h in held]).view(np.int64)), pa.array(early)], names=["g", "v", "n", "root", "f", "early"])
 
     ready = rows.unionByName(led).repartition("part").sortWithinPartitions("part", "kind")
-    return ready.mapInArrow(run, "g long, v long, f long" if firsts else "g long, v long, d long")
+    return ready.mapInArrow(run, "g long, v long, n long, root long, f long, early boolean" if firsts else "g long, v long, d long")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -530,53 +532,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def with_sketch(g: DataFrame) -> DataFrame:
         return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
 
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    small, small_at = cut(groups.join(sizes.where(F.col("size") <= SMALL), "g", "left_semi"), "small")
+    large, large_at = cut(salted(groups, sizes.where(F.col("size") > SMALL), "g", "v"), "large")
+    forget(spark, groups_at)
+    # small groups: stars first, then pairs that aren't joined yet
+    links, links_at = linked(_possible(with_sketch(small).withColumn("root", F.col("v")), percent, True))
+    label, label_at = _relabel(label, label_at, links)
+    forget(spark, links_at)
+    rooted, rooted_at = cut(with_root(small), "rooted")
+    mixed = rooted.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
+    forget(spark, small_at)
+    small, small_at = rooted.join(mixed, "g", "left_semi"), rooted_at
+    each = sets.withColumnRenamed("cid", "v")
+    none = F.lit(None).cast("long")
     while True:
-        sizes, sizes_at = cut(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        small = groups.join(sizes.where(F.col("size") <= SMALL), "g")
-        large, large_at = cut(salted(groups, sizes.where(F.col("size") > SMALL), "g", "v"), "large")
-        links, links_at = linked(_possible(with_sketch(small).withColumn("root", F.col("v")), percent, True))
-        if large.isEmpty():
-            label, label_at = _relabel(label, label_at, links)
-        else:
-            some = large.where(F.pmod(F.xxhash64("g", "v"), F.col("size")) < SAMPLED)
-            each = sets.withColumnRenamed("cid", "v")
-            centres, centres_at = cut(_centres(some.join(each, "v").select("g", "features")), "centres")
-            spread = F.pmod(F.xxhash64("v"), F.when(F.col("n") > LONG, F.lit(2**31)).otherwise(F.ceil(F.col("size") / TOGETHER)))
-            large = large.withColumn("part", F.xxhash64("g", spread))
-            members = large.withColumn("first", F.lit(None).cast("long")).join(each, "v")
-            far, far_at = cut(_differences(members, centres, False), "far")
-            a = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
-            far = far.join(large, ["g", "v"]).withColumn("a", a)
-            least, least_at = cut(far.groupBy("g").agg(F.min(F.struct("a", "v")).alias("x")).select("g", F.col("x.a").alias("least"), F.col("x.v").alias("u")), "least")
-            core = salted(far, least, "g", "v").where("a + least <= 0 and u != v").select("u", "v")
-            label, label_at = _relabel(label, label_at, links.unionByName(core))
-        forget(spark, links_at)
-        # small groups: pairs that aren't joined yet
-        rooted, rooted_at = cut(with_root(small), "rooted")
-        mixed = rooted.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
-        links, links_at = linked(_possible(with_sketch(rooted.join(mixed, "g")), percent, False))
+        links, links_at = linked(_possible(with_sketch(small), percent, False))
         label, label_at = _relabel(label, label_at, links)
-        for place in (links_at, rooted_at, groups_at, sizes_at):
+        for place in (links_at, small_at):
             forget(spark, place)
         if large.isEmpty():
             forget(spark, large_at)
             break
-        # large groups: the first differences of those that unlike components may share
+        # large groups: those near the centre are linked
+        centres, centres_at = cut(_centres(large.where(F.pmod(F.xxhash64("g", "v"), F.col("size")) < SAMPLED).join(each, "v").select("g", "features")), "centres")
+        spread = F.pmod(F.xxhash64("v"), F.when(F.col("n") > LONG, F.lit(2**31)).otherwise(F.ceil(F.col("size") / TOGETHER)))
+        large = large.select("g", "v", "n", "size", F.xxhash64("g", spread).alias("part"))
+        d = _differences(large.withColumns({"root": none, "first": none, "short": none}).join(each, "v"), centres, False)
+        far, far_at = cut(d.join(large, ["g", "v"]).withColumn("a", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")), "far")
+        least, least_at = cut(far.groupBy("g").agg(F.min(F.struct("a", "v")).alias("x")).select("g", F.col("x.a").alias("least"), F.col("x.v").alias("u")), "least")
+        label, label_at = _relabel(label, label_at, salted(far, least, "g", "v").where("a + least <= 0 and u != v").select("u", "v"))
+        # the first differences of those that unlike components may share
         tops = least.join(label.select(F.col("cid").alias("u"), F.col("root").alias("top")), "u").select("g", "least", "top")
         known, known_at = cut(salted(with_root(far), tops, "g", "v"), "known")
         needed = known.where("root != top").groupBy("g").agg(F.min("a").alias("needed"))
-        common = F.ceil((F.col("a") + F.when(F.col("root") == F.col("top"), F.col("needed")).otherwise(F.col("least"))) / (2 * (100 + percent)))
-        first = (F.col("d") - F.greatest(F.lit(1), common) + 1).cast("long")
-        asks, asks_at = cut(salted(known, needed, "g", "v").withColumn("first", first).where("first > 0").select("part", "g", "v", "first"), "asks")
-        seats = _differences(asks.join(each, "v"), centres, True).select(F.xxhash64("g", "f").alias("g"), "v").distinct()
-        seats, seats_at = cut(with_root(seats.join(sketches.select(F.col("cid").alias("v"), "n"), "v")), "seats")
-        unlike = seats.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
-        groups, groups_at = cut(salted(seats, unlike, "g", "v").select("g", "v", "n"), "groups")
-        for place in (large_at, centres_at, far_at, least_at, known_at, asks_at, seats_at):
+        partner = F.when(F.col("root") == F.col("top"), F.col("needed")).otherwise(F.col("least"))
+
+        def length(other: Column) -> Column:
+            """Differences that are enough where the partner's a is ``other`` or more."""
+            common = F.ceil((F.col("a") + other) / (2 * (100 + percent)))
+            return (F.col("d") - F.greatest(F.lit(1), common) + 1).cast("long")
+
+        asks = salted(known, needed, "g", "v").withColumns({"first": length(partner), "short": length(F.greatest(partner, F.col("a")))}).where("first > 0")
+        asks, asks_at = cut(asks.select("part", "g", "v", "n", "root", "first", "short"), "asks")
+        seats = _differences(asks.join(each, "v"), centres, True).select(F.xxhash64("g", "f").alias("g"), "v", "n", "root", "early")
+        seats, seats_at = cut(seats, "seats")
+        unlike = seats.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("early").alias("early"), F.count(F.lit(1)).alias("size"))
+        unlike, unlike_at = cut(unlike.where("x != y and early").select("g", "size"), "unlike")
+        small, small_at = cut(seats.select("g", "v", "n", "root").join(unlike.where(F.col("size") <= SMALL), "g", "left_semi"), "small")
+        new, new_at = cut(salted(seats.select("g", "v", "n"), unlike.where(F.col("size") > SMALL), "g", "v"), "large")
+        for place in (large_at, centres_at, far_at, least_at, known_at, asks_at, seats_at, unlike_at):
             forget(spark, place)
-        if groups.isEmpty():
-            forget(spark, groups_at)
-            break
+        large, large_at = new, new_at
     for place in (sets_at, sketches_at):
         forget(spark, place)
 
