@@ -506,12 +506,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found, found_at = cut(_meet(rows, k, percent, buckets).distinct(), "met")
 
     named = slim.where("n > 0 and id is not null")
-    # groups by the id of a pivot: its own members, and those that met it by way of a task's pivot
-    own = found.where("not across").select(F.col("pivot").alias("g"), "id")
+    # groups by the id of a pivot; what met in a task goes where its own pivot met others, which holds all of them
     across = found.where("across").select(F.col("pivot").alias("g"), "id")
-    by_way = own.withColumnRenamed("g", "way").join(across.select("g", F.col("id").alias("way")), "way").select("g", "id")
-    pivots = found.select(F.col("pivot").alias("g"), F.col("pivot").alias("id"))
-    members = own.unionByName(across).unionByName(by_way).unionByName(pivots).distinct()
+    own = found.where("not across").select(F.col("pivot").alias("way"), "id")
+    by_way = own.join(across.select("g", F.col("id").alias("way")), "way", "left").select(F.coalesce("g", "way").alias("g"), "id")
+    members = across.unionByName(by_way)
+    members = members.unionByName(members.select("g", F.col("g").alias("id"))).distinct()
     of = named.select("id", F.col("cid").alias("v"), "n").distinct()
     groups, groups_at = cut(members.join(of, "id").select("g", "v", "n").distinct(), "groups")
     forget(spark, found_at)
