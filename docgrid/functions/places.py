@@ -276,6 +276,12 @@ def merge_boxes(boxes: DataFrame, image: str = "image_id") -> DataFrame:
     return boxes.groupBy(image).applyInPandas(run, f"{image} {kind}, x double, y double, w double, h double")
 
 
+def from_canvas(x: Column, y: Column, w: Column, h: Column, canvas_w: Column, canvas_h: Column, page_w: Column, page_h: Column) -> Column:
+    """struct<x, y, w, h>: a canvas box, its origin at the top left, on a page whose origin is at the bottom left."""
+    sx, sy = page_w / canvas_w, page_h / canvas_h
+    return F.struct((x * sx).alias("x"), (page_h - (y + h) * sy).alias("y"), (w * sx).alias("w"), (h * sy).alias("h"))
+
+
 def nearest_label(items: DataFrame, labels: DataFrame, page: str, x: str = "x", y: str = "y") -> DataFrame:
     """[O8, H6] Each item with the nearest label of its page."""
     l = labels.select(page, F.col("label"), F.col(x).alias("lx"), F.col(y).alias("ly"))

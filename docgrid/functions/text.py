@@ -248,56 +248,102 @@ def label_counts(c: Column, dictionary: Mapping[str, Sequence[str]]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("label"), sum((F.when(has_word(c, p), 1).otherwise(0) for p in v), zero).alias("n")) for k, v in dictionary.items()])
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; plain nesting would repeat it at every mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def labels(first: Column, second: Column | None, dictionary: Mapping[str, Sequence[str]]) -> Column:
-    """[X4-X7] Labels with a phrase in the first text; if there are none at all, in the second."""
-    pick = lambda c: F.transform(F.filter(label_counts(F.coalesce(c, F.lit("")), dictionary), lambda s: s["n"] > 0), lambda s: s["label"])
-    found = pick(first)
-    return found if second is None else F.when(F.size(found) > 0, found).otherwise(pick(second))
+    """[X4-X7] Labels with a phrase in the first text; if there are none at all, in the second. One alternation for each label."""
+    some = {k: v for k, v in dictionary.items() if v}
 
+    def pick(c: Column) -> Column:
+        hits = lambda x: [F.when(x.rlike(r"\b(?:" + "|".join(v) + r")\b"), F.lit(k)) for k, v in some.items()]
+        return once(c, lambda x: F.array_compact(F.array(*hits(x)))) if some else F.array().cast("array<string>")
 
-_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-DATE = re.compile(rf"\b(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{1,2}}\s+{_MONTH}\.?,?\s+\d{{4}})\b", re.I)
+    found = pick(F.coalesce(first, F.lit("")))
+    if second is None:
+        return found
+    return once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(pick(F.coalesce(second, F.lit("")))))
 
 
-def find_date(text: str) -> tuple[str, int]:
-    """The first full date in a text and how many there are; month names, ISO and slashed forms."""
-    found = DATE.findall(text)
-    return (found[0], len(found)) if found else ("", 0)
+def unclassified(df: DataFrame, label: str, text: str, done: str = "generic") -> DataFrame:
+    """[X2] The queue for new keywords: distinct texts without a label, most frequent first; rows labelled ``done`` are skipped."""
+    open_ = df.where((F.coalesce(F.col(label), F.lit("")) == "") & (F.coalesce(F.col(label), F.lit("")) != done))
+    return open_.groupBy(text).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), text)
 
 
-def split_issue(text: str) -> list[str]:
-    """[X11] A status text as its issues.
+def dictionary_to_json(dictionary: DataFrame) -> DataFrame:
+    """[X3] (label, phrases) of (label, phrase): a backup, each label's sorted phrases as a JSON list."""
+    return dictionary.groupBy("label").agg(F.to_json(F.array_sort(F.collect_set("phrase"))).alias("phrases"))
 
-    Sentences end at full stops. One that begins with a dash is an issue of its
-    own under the current date; a long one with a date and an early dash begins
-    a new issue and date; any other goes on with the issue before it.
-    """
-    sentences = text.split(".")
-    current, (date, _) = sentences[0], find_date(sentences[0])
-    done: list[str] = []
-    kind = ""
-    close = lambda s: (s + ".").strip()
-    for s in sentences[1:]:
-        kind, head = "", s.strip()
-        if any(d in head[:2] for d in "-–"):
-            kind = "dash"
-            done.append(close(current))
-            current = date + " " + s
-        if len(s) > 25 and any(d in head[:21] for d in "-–"):
-            found, n = find_date(s)
-            if n:
-                kind = "date"
-                done.append(close(current))
-                current, date = s, found
-        if not kind and s:
-            current += ". " + head
-    last = {"date": current + ".", "dash": (date + " " + current + ".").strip()}.get(kind, close(current))
-    return [*done, last]
+
+def dictionary_from_json(backup: DataFrame) -> DataFrame:
+    """[X3] The (label, phrase) rows of a backup."""
+    return backup.select("label", F.explode(F.from_json("phrases", "array<string>")).alias("phrase"))
+
+
+def odd_one_out(groups: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """[N12] (by, key): of each group the vector least like the group's mean of unit vectors; ties by key."""
+    unit = lambda c: once(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)), lambda r: F.transform(c, lambda x: x / r))
+    rows = groups.select(by, key, unit(F.col(vector).cast("array<double>")).alias("u"))
+    mean = rows.select(by, F.posexplode("u").alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("m"))
+    scored = rows.select(by, key, F.posexplode("u").alias("i", "x")).join(mean, [by, "i"]).groupBy(by, key).agg(F.round(F.sum(F.col("x") * F.col("m")), 9).alias("s"))
+    return scored.groupBy(by).agg(F.min(F.struct("s", key)).alias("z")).select(by, F.col(f"z.{key}").alias(key))
+
+
+#: A full date: ISO, slashed, or with the month's name before or after the day.
+_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+DATE = rf"(?i)\b(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{1,2}}\s+{_MONTH}\.?,?\s+\d{{4}})\b"
+
+
+def first_date(c: Column) -> Column:
+    """The first full date in a text, or ''."""
+    return F.regexp_extract(c, DATE, 0)
+
+
+def date_count(c: Column) -> Column:
+    """How many full dates a text has."""
+    return F.regexp_count(c, F.lit(DATE))
 
 
 def split_issues(c: Column) -> Column:
-    """[X11, X12] Null for null."""
-    return by_value(split_issue, "array<string>")(c)
+    """[X11, X12] A status text as its issues; null for null. Built-in functions only.
+
+    Sentences end at full stops and are marked first: ``dash`` begins with one
+    (in its first 2 characters), ``dated`` is long, names a date and has an
+    early dash (in its first 21). A fold over the marks keeps the issues so
+    far, the last of them open, and the date in force: a dash opens an issue
+    under that date, a dated sentence opens one and sets the date, any other
+    goes on with the open one.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    any_dash = "[-\u2013]"
+
+    def mark(x: Column) -> Column:
+        head = strip(x)
+        long = (F.length(x) > 25) & F.left(head, F.lit(21)).rlike(any_dash)
+        return F.struct(x.alias("said"), head.alias("head"), F.left(head, F.lit(2)).rlike(any_dash).alias("dash"), F.when(long, first_date(x)).otherwise("").alias("found"))
+
+    def follow(state: Column, m: Column) -> Column:
+        dated = m["found"] != ""
+        opened = F.concat(F.when(m["dash"], F.array(F.concat(state["date"], F.lit(" "), m["said"]))).otherwise(none), F.when(dated, F.array(m["said"])).otherwise(none))
+        size = F.size(state["issues"])
+        longer = F.concat(F.slice(state["issues"], F.lit(1), size - 1), F.array(F.concat(F.element_at(state["issues"], -1), F.lit(". "), m["head"])))
+        issues = F.when(F.size(opened) > 0, F.concat(state["issues"], opened)).when(m["said"] != "", longer).otherwise(state["issues"])
+        return F.struct(issues.alias("issues"), F.when(dated, m["found"]).otherwise(state["date"]).alias("date"), F.when(dated, "date").when(m["dash"], "dash").otherwise("").alias("last"))
+
+    def finish(state: Column) -> Column:
+        size, last = F.size(state["issues"]), F.element_at(state["issues"], -1)
+        before = F.transform(F.slice(state["issues"], F.lit(1), size - 1), lambda x: strip(F.concat(x, F.lit("."))))
+        end = F.when(state["last"] == "date", F.concat(last, F.lit("."))).when(state["last"] == "dash", strip(F.concat(state["date"], F.lit(" "), last, F.lit(".")))).otherwise(strip(F.concat(last, F.lit("."))))
+        return F.concat(before, F.array(end))
+
+    none = F.array().cast("array<string>")
+    sentences = F.split(c, r"\.", -1)
+    start = F.struct(F.array(sentences[0]).alias("issues"), first_date(sentences[0]).alias("date"), F.lit("").alias("last"))
+    marked = F.transform(F.slice(sentences, F.lit(2), F.greatest(F.size(sentences) - 1, F.lit(0))), mark)
+    return F.when(c.isNotNull(), F.aggregate(marked, start, follow, finish))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

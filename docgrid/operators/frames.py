@@ -48,10 +48,16 @@ def merge_runs(df: DataFrame, by: Sequence[str], order: str, change: Column, nam
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """[O6, O7] The first k rows of each group."""
+    """[O6] The first k rows of each group."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
 
+def top_values(df: DataFrame, by: Sequence[str], column: str, k: int) -> DataFrame:
+    """[O7] The k largest distinct values of each group, in ``column``."""
+    values = df.select(*by, column).where(F.col(column).isNotNull()).distinct()
+    return values.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(column)))).where(F.col("__r") <= k).drop("__r")
+
+
 def string_sets(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """[A13] Of each column the sorted distinct values as one string."""
     return df.groupBy(*by).agg(*[F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ", ").alias(c) for c in columns])

@@ -159,7 +159,12 @@ def next_status(s, d):
     return view(s, d, "csvs").select("table_id", F.lead("append_status", 1, 0).over(w).alias("next_status"))
 
 
-@_put("topk_per_group", "O6 O7 O1 O3 O11", "select c_nationkey, c_custkey, c_acctbal from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) c where r <= 3")
+@_put("top_two_heights", "O7", "select l_orderkey, l_quantity from (select distinct l_orderkey, l_quantity, dense_rank() over (partition by l_orderkey order by l_quantity desc) as r from lineitem) x where r <= 2")
+def top_two_heights(s, d):
+    return f.top_values(table(s, d, "lineitem"), ["l_orderkey"], "l_quantity", 2)
+
+
+@_put("topk_per_group", "O6 O1 O3 O11", "select c_nationkey, c_custkey, c_acctbal from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) c where r <= 3")
 def topk_per_group(s, d):
     return f.top_k(table(s, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
 

@@ -20,9 +20,10 @@ def _sql(text: str) -> str:
     return with_views(f"with parts as ({_PARTS}) {text}")
 
 
-@register("dls_parse", _sql("select table_id, concat(case when lsd <> 10 then concat(cast(lsd as varchar), '-') else '' end, cast(section as varchar), '-', cast(township as varchar), '-', cast(rng as varchar), '-W', cast(meridian as varchar), 'M') as place from parts where lsd <> 10"), "L5 F20 F19")
+#: The fixed patterns don't know LSD 10: a survey place is read without it, a map sheet as 1.
+@register("dls_parse", _sql("select table_id, concat(case when lsd <> 10 then concat(cast(lsd as varchar), '-') else '' end, cast(section as varchar), '-', cast(township as varchar), '-', cast(rng as varchar), '-W', cast(meridian as varchar), 'M') as place from parts"), "L5 F20 F19")
 def dls_parse(s, d):
-    c = _parts(s, d).where("lsd <> 10").withColumn("t", F.format_string("at %02d- %d-%d-%d W%dM now", "lsd", "section", "township", "rng", "meridian"))
+    c = _parts(s, d).withColumn("t", F.format_string("at %02d- %d-%d-%d W%dM now", "lsd", "section", "township", "rng", "meridian"))
     return c.select("table_id", F.get(p.dls(F.col("t")), F.lit(0))["text"].alias("place"))
 
 
@@ -42,11 +43,11 @@ def dls_to_latlong(s, d):
     return c.select("table_id", at.alias("at")).select("table_id", F.round("at.n", 6).alias("n"), F.round("at.w", 6).alias("w"))
 
 
-@register("nts_parse", _sql("select table_id, concat(chr(cast(97 + lsd % 4 as int)), '-', cast(township % 100 + 1 as varchar), '-', chr(cast(65 + rng % 12 as int)), '/', cast(80 + section % 20 as varchar), '-', chr(cast(65 + lsd % 16 as int)), '-', cast(lsd as varchar)) as place from parts where lsd <> 10"), "L6 L9 F23")
+@register("nts_parse", _sql("select table_id, concat(chr(cast(97 + lsd % 4 as int)), '-', cast(township % 100 + 1 as varchar), '-', chr(cast(65 + rng % 12 as int)), '/', cast(80 + section % 20 as varchar), '-', chr(cast(65 + lsd % 16 as int)), '-', cast(case when lsd = 10 then 1 else lsd end as varchar)) as place from parts"), "L6 L9 F23")
 def nts_parse(s, d):
     letter = lambda a, k, n: F.char(F.lit(a) + F.col(k) % n)
     t = F.format_string("%s-%d-%s/%d-%s-%d.", letter(97, "lsd", 4), F.col("township") % 100 + 1, letter(65, "rng", 12), F.col("section") % 20 + 80, letter(65, "lsd", 16), F.col("lsd"))
-    return _parts(s, d).where("lsd <> 10").select("table_id", F.get(p.nts(t), F.lit(0))["text"].alias("place"))
+    return _parts(s, d).select("table_id", F.get(p.nts(t), F.lit(0))["text"].alias("place"))
 
 
 @register("mlv_parse", _sql("select table_id, concat('MLV ', cast(section as varchar), ' + ', cast(rng as varchar), '.', cast(lsd as varchar), 'km') as place from parts"), "L7")
@@ -108,12 +109,13 @@ def bbox_merge(s, d):
     return p.merge_boxes(run_sql(s, d, _BOX).select("image_id", "x", "y", "w", "h"))
 
 
-@register("bbox_arithmetic", f"with b as ({_BOX}) select image_id, n, least(x, w) as x1, greatest(x, w) as x2, cast(trunc(x * 612 / 1700) as int) as points, sqrt(power(x - w, 2) + power(y - h, 2)) as far from b", "F36 F38 F40 F42 F43")
+@register("bbox_arithmetic", f"with b as ({_BOX}) select image_id, n, least(x, w) as x1, greatest(x, w) as x2, cast(trunc(x * 612 / 1700) as int) as points, sqrt(power(x - w, 2) + power(y - h, 2)) as far, round(x * 612 / 1700, 6) as cx, round(792 - (y + h) * 792 / 2200, 6) as cy from b", "F36 F38 F40 F42 F43")
 def bbox_arithmetic(s, d):
     c = F.col
     r = p.rectangle(c("x"), c("y"), c("w"), c("h"))
+    at = p.from_canvas(c("x"), c("y"), c("w"), c("h"), F.lit(1700.0), F.lit(2200.0), F.lit(612.0), F.lit(792.0))
     far = F.sqrt(F.pow(c("x") - c("w"), F.lit(2)) + F.pow(c("y") - c("h"), F.lit(2)))
-    return run_sql(s, d, _BOX).select("image_id", "n", r["x1"].alias("x1"), r["x2"].alias("x2"), p.to_points(c("x"), F.lit(612), F.lit(1700)).alias("points"), far.alias("far"))
+    return run_sql(s, d, _BOX).select("image_id", "n", r["x1"].alias("x1"), r["x2"].alias("x2"), p.to_points(c("x"), F.lit(612), F.lit(1700)).alias("points"), far.alias("far"), F.round(at["x"], 6).alias("cx"), F.round(at["y"], 6).alias("cy"))
 
 
 @register("nearest_labels", f"with b as ({_BOX}) select image_id, n, min_by(label, (far, label)) as label from (select a.image_id, a.n, a.x, a.y, c.n as label, sqrt(power(a.x - c.x, 2) + power(a.y - c.y, 2)) as far from (select distinct image_id, n, x, y from b where n % 2 = 0) a join b c on c.image_id = a.image_id and c.n % 2 = 1) z group by image_id, n, x, y", "O8 H6")

@@ -46,7 +46,7 @@ report("chain_tables", "Q2 Q4 Q6 P3 O1 O3", "select head_id, table_id, level, pa
 report("csvs_of_locked_pdfs", "Q3 J5 P5 P21", "select csv_id, table_id, method from csvs where table_id in (select table_id from doc_tables where pdf_name in (select pdf_name from pdfs where status = 'locked'))")
 report("tag_matrix", "Q5 J6 P8", """
     select t.table_id, g.tag_id, g.tag_name, case when b.tag_id is null then 'false' else 'true' end as has_tag
-    from (select table_id from doc_tables where level = 3) t cross join tags g left join table_tags b on b.table_id = t.table_id and b.tag_id = g.tag_id""")
+    from doc_tables t cross join tags g left join table_tags b on b.table_id = t.table_id and b.tag_id = g.tag_id""")
 report("csv_by_method", "Q7 J7 P5", "select t.head_id, t.level, c.csv_id, c.method from doc_tables t join csvs c on c.table_id = t.table_id where c.method in ('lattice-v', 'manual') order by t.head_id, t.level")
 report("tags_of_tables", "Q8 P3", "select b.table_id, g.tag_id, g.tag_name from table_tags b join tags g on g.tag_id = b.tag_id")
 report("processing_index", "Q9 P24 J1 J3 A1 A2 A6 P8 P9 O1", f"""
@@ -133,10 +133,12 @@ report("complete_issues", "Q44 J13 P7", """
     left join parsed s on s.table_id = i.table_id and s.row_index = i.row_index left join word_labels w on w.table_id = i.table_id and w.row_index = i.row_index
     left join locations l on l.table_id = i.table_id and l.row_index = i.row_index left join land_use u on u.table_id = l.table_id and u.row_index = l.row_index and u.loc_no = l.loc_no
     where i.issue_pri not in ('-', '?', 'ESC') and concat(i.issue_pri, coalesce(i.status, '')) <> ''""")
-report("viz_join_or", "Q47 J9 P11", """
-    select i.table_id, i.row_index, p.row_counter, s.sub_vec, w.vec from issues i join word_labels p on p.table_id = i.table_id and p.row_index = i.row_index
-    left join sub_labels s on s.table_id = i.table_id and s.row_index = i.row_index and (p.row_counter = s.row_counter or p.row_counter is null) join word_labels w on w.table_id = i.table_id and w.row_index = i.row_index and coalesce(w.row_counter, 0) = coalesce(p.row_counter, 0)
-    where not (w.vec = 'Soils' and s.sub_vec is null)""")
+VIZ = """
+    select i.table_id, i.row_index, p.row_counter, s.sub_vec, w.vec from issues i join (select * from word_labels where row_counter is {some}) p on p.table_id = i.table_id and p.row_index = i.row_index
+    left join sub_labels s on s.table_id = p.table_id and s.row_index = p.row_index {also} join word_labels w on w.table_id = p.table_id and w.row_index = p.row_index and coalesce(w.row_counter, 0) = {counter}
+    where not (w.vec = 'Soils' and s.sub_vec is null)"""
+# an OR in a join's condition can't be hashed: two equi joins, one for each side of it
+report("viz_join_or", "Q47 J9 P11", VIZ.format(some="not null", also="and s.row_counter = p.row_counter", counter="p.row_counter") + " union all " + VIZ.format(some="null", also="", counter="0"))
 report("orphan_ids", "Q50 K13 U3 J15", "select csv_id from csvs where method = 'manual' except select correct_csv from doc_tables where correct_csv is not null")
 report("classifier_inputs", "Q51 P3 O1", "select l.vec, l.short_name, l.test_order, k.phrase from labels_list l left join keywords k on k.vec = l.vec order by l.test_order, k.phrase")
 report("chain_headers", "Q52 J2 J4", "select h.table_id, h.header_idx, h.title, t.level from headers h join doc_tables t on t.table_id = h.table_id left join table_tags b on b.table_id = t.table_id and b.tag_id = 1 where b.tag_id is null")

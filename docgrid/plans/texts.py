@@ -43,10 +43,10 @@ def token_counts(s, d):
     return _docs(s, d).select(F.explode(t.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stopwords", r"select item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) between 2 and 15 and not list_contains(['the', 'and', 'of', 'to', 'in', 'that', 'on', 'an', 'it', 'is', 'as', 'are', 'at', 'by', 'be', 'for', 'from', 'this', 'was', 'with'], w)), ' ') as kept from benchmark where text not like '%a%b%c%d%'", "N5 N6")
+@register("stopwords", r"select item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) between 2 and 15 and not list_contains(['the', 'and', 'of', 'to', 'in', 'that', 'on', 'an', 'it', 'is', 'as', 'are', 'at', 'by', 'be', 'for', 'from', 'this', 'was', 'with'], w)), ' ') as kept from benchmark", "N5 N6")
 def stopwords(s, d):
     few = ["the", "and", "of", "to", "in", "that", "on", "an", "it", "is", "as", "are", "at", "by", "be", "for", "from", "this", "was", "with"]
-    return table(s, d, "benchmark").where("text not like '%a%b%c%d%'").select("item_id", F.array_join(t.without(t.tokens(F.col("text")), few), " ").alias("kept"))
+    return table(s, d, "benchmark").select("item_id", F.array_join(t.without(t.tokens(F.col("text")), few), " ").alias("kept"))
 
 
 @register("normalise_corpora", None, "N1 N2 N3 N7 F7 F14 F15 F16")
@@ -74,7 +74,7 @@ def _first(texts: str) -> str:
     return "case " + " ".join(f"when regexp_matches({texts}, '\\b{p}\\b') then '{k}:{p}'" for k, ps in TOPICS for p in ps) + " else ':' end"
 
 
-@register("keyword_first_match", f"select doc_id, {_first('c')} as hit from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9\\-'']+', ' ', 'g')) as c from documents) x", "X1 X2 X3 J17 F21 O9")
+@register("keyword_first_match", f"select doc_id, {_first('c')} as hit from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9\\-'']+', ' ', 'g')) as c from documents) x", "X1 J17 F21 O9")
 def keyword_first_match(s, d):
     hit = t.first_label([F.col("text")], TOPICS)
     return _docs(s, d).select("doc_id", hit.alias("h")).select("doc_id", F.concat_ws(":", "h.label", "h.phrase").alias("hit"))
@@ -84,11 +84,38 @@ def _many(texts: str) -> str:
     return "concat_ws(',', " + ", ".join("case when " + " or ".join(f"regexp_matches({texts}, '\\b{p}\\b')" for p in ps) + f" then '{k}' end" for k, ps in TOPICS if ps) + ")"
 
 
-@register("keyword_multilabel", f"select doc_id, case when {_many('c')} <> '' then {_many('c')} else {_many('right(c, 400)')} end as labels from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9\\-'']+', ' ', 'g')) as c from documents) x", "X4 X5 X6 X7 J17")
+_SECOND = "lower(concat(coalesce(source, ''), ' in the minor ', coalesce(lang, '')))"
+
+
+@register("keyword_multilabel", f"select doc_id, case when {_many('c')} <> '' then {_many('c')} else {_many('e')} end as labels from (select doc_id, {_SECOND} as e, trim(regexp_replace(lower(text), '[^a-z0-9\\-'']+', ' ', 'g')) as c from documents) x", "X4 X5 X6 X7 J17")
 def keyword_multilabel(s, d):
-    clean = t.classifier_text(F.col("text"))
-    found = t.labels(clean, F.right(clean, F.lit(400)), {k: v for k, v in TOPICS if v})
-    return _docs(s, d).select("doc_id", F.array_join(found, ",").alias("labels"))
+    docs = table(s, d, "documents").select("doc_id", t.classifier_text(F.col("text")).alias("c"), F.expr(_SECOND).alias("e"))
+    return docs.select("doc_id", F.array_join(t.labels(F.col("c"), F.col("e"), {k: v for k, v in TOPICS if v}), ",").alias("labels"))
+
+
+@register("unclassified_queue", "select title, count(*) as n from (select coalesce(concat(event_type, '-', cast(user_id % 7 as varchar)), '') as title, case when user_id % 3 = 0 then 'generic' when user_id % 3 = 1 then 'x' else '' end as label from events) x where label = '' group by title", "X2")
+def unclassified_queue(s, d):
+    k = F.col("user_id") % 3
+    rows = table(s, d, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 7).alias("title"), F.when(k == 0, "generic").when(k == 1, "x").otherwise("").alias("label"))
+    return t.unclassified(rows, "label", "title")
+
+
+@register("dictionary_backup", with_views("select distinct vec as label, phrase from keywords"), "X3")
+def dictionary_backup(s, d):
+    """A dictionary written as JSON lists and restored."""
+    return t.dictionary_from_json(t.dictionary_to_json(run_sql(s, d, with_views("select vec as label, phrase from keywords"))))
+
+
+@register(
+    "odd_one_out",
+    """with u as (select vec_id % 50 as g, vec_id, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[])))) as v from embeddings),
+    e as (select g, vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select g, i, avg(x) as m from e group by g, i),
+    s as (select e.g, vec_id, round(sum(x * m), 9) as s from e join m on m.g = e.g and m.i = e.i group by e.g, vec_id)
+    select g, vec_id from s qualify row_number() over (partition by g order by s, vec_id) = 1""",
+    "N12",
+)
+def odd_one_out(s, d):
+    return t.odd_one_out(table(s, d, "embeddings").withColumn("g", F.col("vec_id") % 50), "g")
 
 
 @register("name_in_text", "select d.doc_id, b.lang as name from documents d join (select distinct lang from documents) b on contains(lower(d.text), b.lang)", "J18 X9")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -45,23 +48,23 @@ def without_index(df: DataFrame) -> DataFrame:
     return df.drop(first) if first in ("_c0", "", "Unnamed: 0") else df
 
 
-def csv_grids(spark: SparkSession, paths: str | Sequence[str], encoding: str = CP1252, columns: int = 64) -> DataFrame:
+def csv_grids(spark: SparkSession, paths: str | Sequence[str], encoding: str = CP1252) -> DataFrame:
     """[S7] (path, grid): each headerless file as one grid, rows in the file's order.
 
-    A file is read whole and its lines parsed by the built-in CSV parser, up to
-    ``columns`` cells; a captured table is small.
+    A file is read whole, in Arrow batches, and parsed as CSV: quoted cells may
+    hold line breaks, rows may have any number of cells, blank lines are no
+    rows. A captured table is small.
     """
-    schema = ", ".join(f"c{i} string" for i in range(columns))
-    files = spark.read.format("binaryFile").load(paths)
-    allow(spark, encoding)
-    text = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.length(x) > 0)
-    rows = files.select("path", F.posexplode(lines).alias("at", "line")).select("path", "at", "line", F.from_csv("line", F.lit(schema)).alias("r"))
-    cells = F.array(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")) for i in range(columns)])
-    used = F.greatest(*[F.when(F.col(f"r.c{i}").isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i in range(columns)])
-    row = rows.select("path", "at", F.slice(cells, F.lit(1), F.greatest(used, F.lit(1))).alias("cells"))
-    grid = F.transform(F.array_sort(F.collect_list(F.struct("at", "cells"))), lambda s: s["cells"])
-    return row.groupBy("path").agg(grid.alias("grid"))
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = content.decode(encoding, "replace").lstrip("\ufeff")
+                grid = [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([grid], pa.list_(pa.list_(pa.string())))], names=["path", "grid"])
+
+    return files.mapInArrow(run, "path string, grid array<array<string>>")
 
 
 def json_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_csv(spark, tmp_path):
 def test_grids(spark, tmp_path):
     (tmp_path / "g1.csv").write_bytes('A,B,C\r\n"1,5",,z\r\n'.encode("cp1252"))
     (tmp_path / "g2.csv").write_bytes("xé,y\n".encode("cp1252"))
-    got = {r.path.rsplit("/", 1)[1]: r.grid for r in files.csv_grids(spark, str(tmp_path / "*.csv"), columns=6).collect()}
+    got = {r.path.rsplit("/", 1)[1]: r.grid for r in files.csv_grids(spark, str(tmp_path / "*.csv")).collect()}
     assert got == {"g1.csv": [["A", "B", "C"], ["1,5", "", "z"]], "g2.csv": [["xé", "y"]]}
     assert sorted(r.id for r in files.file_ids(spark, str(tmp_path / "*.csv")).collect()) == ["g1", "g2"]
 
@@ -57,3 +57,9 @@ def test_increment(spark, tmp_path):
 def test_windows(spark):
     df = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as event_type, 1.5d as value union all select timestamp'2024-01-01 00:50:00', 'a', 2d")
     assert [(r.n, r.total) for r in counts_by_window(df).collect()] == [(2, 3.5)]
+
+
+def test_grids_with_line_breaks_in_quotes_and_many_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'"x\r\ny",2\r\n' + b",".join(b"%d" % i for i in range(80)) + b"\r\n")
+    grid = files.csv_grids(spark, str(tmp_path / "a.csv")).first().grid
+    assert grid == [["x\r\ny", "2"], [str(i) for i in range(80)]]

@@ -45,11 +45,19 @@ def test_first_label_and_labels(spark):
     assert both == [["fish", "soil"], ["soil"], [], []]
 
 
-def test_split_issue():
+def test_split_issues(spark):
     text = "Issue. Sept 17, 2016 - 65-75% vegetation cover seen. More of it. - second point. plain"
-    assert t.split_issue(text) == ["Issue.", "Sept 17, 2016 - 65-75% vegetation cover seen. More of it.", "Sept 17, 2016  - second point. plain."]
-    assert t.split_issue("one") == ["one."]
-    assert t.split_issue("") == ["."]
+    cases = {
+        text: ["Issue.", "Sept 17, 2016 - 65-75% vegetation cover seen. More of it.", "Sept 17, 2016  - second point. plain."],
+        "one": ["one."],
+        "": ["."],
+        "Seen 2016-05-02. - a": ["Seen 2016-05-02.", "2016-05-02 2016-05-02  - a."],
+        "a. - b.": ["a.", "- b."],
+        None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r.x: r.y for r in df.select("x", t.split_issues(F.col("x")).alias("y")).collect()} == cases
+    assert one(spark, t.first_date(F.col("x")), "on 3 May 2016 and 5/6/17") == "3 May 2016" and one(spark, t.date_count(F.col("x")), "on 3 May 2016 and 5/6/17") == 2
 
 
 def test_phrases(spark):
