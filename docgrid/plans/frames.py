@@ -211,7 +211,7 @@ def corr_matrix(s, d):
     return one.unpivot([], list(one.columns), "pair", "r").select(F.split_part("pair", F.lit(","), F.lit(1)).alias("a"), F.split_part("pair", F.lit(","), F.lit(2)).alias("b"), "r").orderBy(F.desc("r"))
 
 
-@_put("systemops_export", "Q45 Q46 U1 A13 J14", "select table_id, row_index, cast(null as int) as row_counter, issue_pri as issue, status from issues union all select table_id, row_index, row_counter, issue_parsed, status from parsed")
+@_put("systemops_export", "U1 A13", "select table_id, row_index, cast(null as int) as row_counter, issue_pri as issue, status from issues union all select table_id, row_index, row_counter, issue_parsed, status from parsed")
 def systemops_export(s, d):
     issues = view(s, d, "issues").select("table_id", "row_index", F.col("issue_pri").alias("issue"), "status")
     return m.insert(issues, view(s, d, "parsed").select("table_id", "row_index", "row_counter", F.col("issue_parsed").alias("issue"), "status")).select("table_id", "row_index", "row_counter", "issue", "status")

@@ -17,7 +17,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 #: Modules that register queries.
-MODULES = ("relational", "frames", "grids", "texts", "places")
+MODULES = ("relational", "tags", "frames", "grids", "texts", "places")
 
 
 def load() -> None:

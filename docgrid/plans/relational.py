@@ -42,7 +42,9 @@ CHAIN_MANUALS = """
     group by t.head_id"""
 ALL_MANUAL = f"select * from ({CHAIN_MANUALS.format(where='')}) c where n_manual > 0 and n_manual = n_tables"
 
-report("chain_tables", "Q2 Q4 Q6 P3 O1 O3", "select head_id, table_id, level, page, relevancy from doc_tables where relevancy = 1 order by head_id, level")
+report("pdf_tables", "Q2 P3", "select t.pdf_name, p.status, t.table_id, t.page, t.level, t.relevancy, t.parent_id from doc_tables t join pdfs p on p.pdf_name = t.pdf_name")
+report("pdf_tables_ordered", "Q4 O1", "select pdf_name, table_id, head_id, level, page from doc_tables where relevancy = 1 order by pdf_name, page, table_id")
+report("chain_tables", "Q6 P3 O1 O3", "select head_id, table_id, level, page, relevancy from doc_tables where relevancy = 1 order by head_id, level")
 report("csvs_of_locked_pdfs", "Q3 J5 P5 P21", "select csv_id, table_id, method from csvs where table_id in (select table_id from doc_tables where pdf_name in (select pdf_name from pdfs where status = 'locked'))")
 report("tag_matrix", "Q5 J6 P8", """
     select t.table_id, g.tag_id, g.tag_name, case when b.tag_id is null then 'false' else 'true' end as has_tag
@@ -57,11 +59,6 @@ report("processing_index", "Q9 P24 J1 J3 A1 A2 A6 P8 P9 O1", f"""
       count(case when c.append_status > 0 then 1 end) as appended
     from doc_tables t join csvs c on c.csv_id = t.correct_csv left join manual_heads m on m.head_id = t.head_id
     where t.relevancy = 1 group by t.head_id order by n_tables desc, t.head_id""")
-report("processing_sequence", "Q10 J1 J2 A9", """
-    select t.head_id, t.table_id, t.level, c.csv_text, c.processed, coalesce(concat_ws(',', case when b.t1 > 0 then '1' end, case when b.t2 > 0 then '2' end, case when b.t5 > 0 then '5' end, case when b.t13 > 0 then '13' end), '') as tag_ids
-    from doc_tables t join csvs c on c.csv_id = t.correct_csv left join (
-      select table_id, count(case when tag_id = 1 then 1 end) as t1, count(case when tag_id = 2 then 1 end) as t2, count(case when tag_id = 5 then 1 end) as t5, count(case when tag_id = 13 then 1 end) as t13
-      from table_tags group by table_id) b on b.table_id = t.table_id where t.relevancy = 1""")
 report("concat_sequence", "Q11 J3 P10 F28 W13", """
     select t.head_id, t.table_id, t.level, case when b.tag_id is null then 'headers' else 'no headers' end as header_row, coalesce(c.accepted, c.processed, '[]') as grid, c.append_status,
       lead(c.append_status, 1, 0) over (partition by t.head_id order by t.level) as next_status
@@ -95,16 +92,7 @@ report("stream_not_manual", "Q24 J4", "select c.csv_id, t.head_id from csvs c jo
 report("relevant_with_text", "Q25 Q49 J1", "select t.table_id, c.csv_text from doc_tables t join csvs c on c.csv_id = t.correct_csv where t.relevancy = 1 and c.csv_text is not null")
 report("null_tags", "Q26 P4 O1", "select t.table_id, b.tag_id from doc_tables t left join table_tags b on b.table_id = t.table_id where b.tag_id is null order by t.table_id")
 report("distinct_heads", "Q27 A8", "select distinct head_id from doc_tables where relevancy = 1")
-TAG_LISTS = """
-    with own as (select t.table_id, min(b.tag_id) as low, max(b.tag_id) as high, count(b.tag_id) as n, cast(sum(b.tag_id) as bigint) as total from doc_tables t left join table_tags b on b.table_id = t.table_id group by t.table_id),
-    whole as (select t.head_id, count(distinct b.tag_id) as n_all, min(b.tag_id) as low_all, max(b.tag_id) as high_all from doc_tables t left join table_tags b on b.table_id = t.table_id where t.relevancy = 1 group by t.head_id)"""
-report("chain_and_own_tags", "Q28 A7 A9", TAG_LISTS + " select t.table_id, o.n, o.low, o.high, o.total, w.n_all, w.low_all, w.high_all from doc_tables t left join own o on o.table_id = t.table_id left join whole w on w.head_id = t.head_id where t.relevancy = 1")
-report("pipeline_input", "Q29 A9 P8", TAG_LISTS + f""", manual_heads as (select * from ({CHAIN_MANUALS.format(where="where t.relevancy = 1")}) k where n_manual > 0 and n_manual = n_tables)
-    select t.table_id, t.head_id, t.correct_csv, c.csv_text, o.total, w.n_all, case when m.head_id is null then 'false' else 'true' end as all_manual
-    from doc_tables t left join whole w on w.head_id = t.head_id left join csvs c on c.csv_id = t.correct_csv left join own o on o.table_id = t.table_id left join manual_heads m on m.head_id = t.head_id
-    where t.relevancy = 1 and c.accepted is null""")
 report("processed_count", "Q30 A1", "select count(*) as n from csvs where processed is not null")
-report("tables_by_tag", "Q12 Q31 A9", TAG_LISTS + " select t.table_id, t.pdf_name, c.csv_text, o.n, w.n_all from (select table_id from table_tags where tag_id = 6) g left join doc_tables t on t.table_id = g.table_id left join csvs c on c.csv_id = t.correct_csv left join own o on o.table_id = g.table_id left join whole w on w.head_id = t.head_id")
 report("flat_file", "Q32 J12 P8 P1", """
     select p.short_title, p.application_title, d.pdf_id, d.filing_id, d.filed, d.company, t.table_id, t.page, t.combined as table_content,
       case when a.tag_id is null then '' else 'true' end as eil_one, case when b.tag_id is null then '' else 'true' end as eil_several, case when e.tag_id is null then '' else 'true' end as rating_coding
