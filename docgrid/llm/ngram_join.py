@@ -507,13 +507,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = slim.where("n > 0 and id is not null")
     # groups by the id of a pivot; what met in a task goes where its own pivot met others, which holds all of them
-    across = found.where("across").select(F.col("pivot").alias("g"), "id")
-    own = found.where("not across").select(F.col("pivot").alias("way"), "id")
-    by_way = own.join(across.select("g", F.col("id").alias("way")), "way", "left").select(F.coalesce("g", "way").alias("g"), "id")
-    members = across.unionByName(by_way)
-    members = members.unionByName(members.select("g", F.col("g").alias("id"))).distinct()
     of = named.select("id", F.col("cid").alias("v"), "n").distinct()
-    groups, groups_at = cut(members.join(of, "id").select("g", "v", "n").distinct(), "groups")
+    met = found.join(of, "id")
+    across = met.where("across").select(F.col("pivot").alias("g"), "id", "v", "n")
+    own = met.where("not across").select(F.col("pivot").alias("way"), "v", "n")
+    by_way = own.join(across.select("g", F.col("id").alias("way")), "way", "left").select(F.coalesce("g", "way").alias("g"), "v", "n")
+    members = across.select("g", "v", "n").unionByName(by_way)
+    pivots = members.select(F.col("g").alias("id")).distinct().join(of, "id").select(F.col("id").alias("g"), "v", "n")
+    groups, groups_at = cut(members.unionByName(pivots).distinct(), "groups")
     forget(spark, found_at)
     classes = named.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     met = groups.select(F.col("v").alias("cid")).distinct()
