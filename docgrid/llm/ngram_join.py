@@ -56,7 +56,7 @@ BAND = 1.5
 #: Signatures that a task holds before it hands them on.
 HOLD = 1 << 19
 #: Members up to which a group is paired out, by sketches, in one task.
-SMALL = 512
+SMALL = 2048
 #: Members of a large group that are brought together with its centre at a time; sets of more features come alone.
 TOGETHER, LONG = 256, 50_000
 #: Members of a large group, about, from which its centre and the order of differences are taken, and how many of these make a difference frequent; they decide how much work there is, not the result.
@@ -315,14 +315,16 @@ def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
                 meet[i, some] = difference.sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[some]) * (100 - percent)
         if star:
             both, bare, meet = meet | meet.T, np.ones(len(v), bool), np.zeros_like(meet)
+            reach = both.sum(1)
             while True:
-                reach = (both & bare).sum(1) * bare
-                i = int(reach.argmax())
-                if not reach[i]:
+                i = int((reach * bare).argmax())
+                if not reach[i] or not bare[i]:
                     break
                 meet[i] = both[i] & bare
-                bare &= ~both[i]
-                bare[i] = False
+                gone = meet[i].copy()
+                gone[i] = True
+                bare &= ~gone
+                reach -= both[:, gone].sum(1)
         i, j = np.nonzero(meet)
         return np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
 
@@ -534,16 +536,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    small, small_at = cut(groups.join(sizes.where(F.col("size") <= SMALL), "g", "left_semi"), "small")
-    large, large_at = cut(salted(groups, sizes.where(F.col("size") > SMALL), "g", "v"), "large")
+    sized, sized_at = cut(salted(groups, sizes, "g", "v"), "sized")
     forget(spark, groups_at)
+    small = sized.where(F.col("size") <= SMALL).drop("size")
+    large, large_at = cut(sized.where(F.col("size") > SMALL), "large")
     # small groups: stars first, then pairs that aren't joined yet
     links, links_at = linked(_possible(with_sketch(small).withColumn("root", F.col("v")), percent, True))
     label, label_at = _relabel(label, label_at, links)
     forget(spark, links_at)
     rooted, rooted_at = cut(with_root(small), "rooted")
     mixed = rooted.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
-    forget(spark, small_at)
+    forget(spark, sized_at)
     small, small_at = rooted.join(mixed, "g", "left_semi"), rooted_at
     each = sets.withColumnRenamed("cid", "v")
     none = F.lit(None).cast("long")
