@@ -314,11 +314,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte goes that lies in a string of ``length`` bytes that also starts
     anywhere else, in the same text or another; strings are judged on the
-    input. ``length`` is 32 to 2000. Null counts as the empty text; texts
+    input. ``length`` is 32 to 256 (longer strings could be built that the
+    fingerprints confuse); another raises ValueError. Null counts as the empty text; texts
     shorter than ``length`` stay whole. Repeated rows are texts of their own,
     so all their strings repeat. Ids may be null or repeated: rows are told
     apart by id and text. Other columns are ignored. Empty input: no rows.
     """
+    if not 32 <= length <= 256:
+        raise ValueError("length is 32 to 256")
     spark = docs.sparkSession
     gram = gram or max(8, length * GRAM // 200)
     reach = length - gram + 1
