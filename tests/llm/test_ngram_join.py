@@ -156,3 +156,25 @@ def test_sketches_lose_no_link():
         w = min(len(x), len(y))
         apart = np.abs(x.reshape(w, -1).sum(1) - y.reshape(w, -1).sum(1)).sum()
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_merged_groups_lose_no_pair(spark):
+    from docgrid.llm.ngram_join import _merged
+
+    rng = np.random.default_rng(21)
+    groups = {}
+    for pivot in range(0, 400, 3):  # overlapping, nested, equal and lonely groups; a set's name is its id and 1,000
+        family = range(0, 120) if pivot < 90 else range(pivot - 6, min(400, pivot + 7))
+        groups[pivot] = {pivot} | {int(x) for x in rng.choice(list(family), int(rng.integers(1, len(family) + 1)), replace=False)}
+    groups[33] = set(groups[30]) | {33}
+    groups[30] = set(groups[33])
+    groups = {g: m for g, m in groups.items() if len(m) > 1}
+    sized = spark.createDataFrame([(g, x + 1000, 7, len(m)) for g, m in groups.items() for x in m], "g long, v long, n long, size long")
+    of = spark.createDataFrame([(i, i + 1000, 7) for i in range(400)], "id long, v long, n long")
+    rows = _merged(sized, of).collect()
+    now = {}
+    for r in rows:
+        now.setdefault(r.g, set()).add(r.v - 1000)
+    assert len(rows) == sum(map(len, now.values())) < sum(map(len, groups.values()))
+    assert all(any(m <= other for other in now.values()) for m in groups.values())
+    assert _merged(sized.limit(0), of).count() == 0
