@@ -473,8 +473,8 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "cid long, features binary")
 
 
-def _merged(sized: DataFrame, of: DataFrame) -> DataFrame:
-    """Groups ``sized`` (g, v, n, size) as (g, v, n), those that overlap put together.
+def _merged(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """Groups (g, v, n), those that overlap put together.
 
     A group is held against one other, the largest that its pivot's set
     (``of``: id, v) is in, and goes into it if pairing the members that this
@@ -482,15 +482,17 @@ def _merged(sized: DataFrame, of: DataFrame) -> DataFrame:
     that one goes too. All pairs of a group stay pairs of one group, so no link
     is lost.
     """
-    heads = sized.select("g", "size").distinct().join(of.select(F.col("id").alias("g"), "v"), "g")
-    others = sized.select(F.col("g").alias("h"), F.col("v").alias("w"), F.col("size").alias("over"))
-    above = heads.join(others, (F.col("v") == F.col("w")) & ((F.col("over") > F.col("size")) | ((F.col("over") == F.col("size")) & (F.col("h") < F.col("g")))))
-    best = above.groupBy("g").agg(F.max(F.struct("over", -F.col("h"), "h")).alias("x")).select("g", F.col("x.h").alias("h"), F.col("x.over").alias("over"))
-    both = salted(sized.select("g", "v", "size"), best, "g", "v").join(sized.select(F.col("g").alias("h"), "v"), ["h", "v"])
-    inside = both.groupBy("g", "h", "over").agg(F.count(F.lit(1)).alias("inside"), F.first("size").alias("size"))
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = sizes.join(of.select(F.col("id").alias("g"), "v"), "g")
+    others = groups.select(F.col("g").alias("h"), F.col("v").alias("w"))
+    above = heads.join(others, (F.col("v") == F.col("w")) & (F.col("h") != F.col("g"))).select("g", "size", "h")
+    above = salted(above, sizes.select(F.col("g").alias("h"), F.col("size").alias("over")), "h", "g").where("over > size or (over = size and h < g)")
+    best = above.groupBy("g", "size").agg(F.max(F.struct("over", -F.col("h"), "h")).alias("x")).select("g", "size", "x.over", "x.h")
+    both = salted(groups.select("g", "v"), best, "g", "v").join(groups.select(F.col("g").alias("h"), "v"), ["h", "v"])
+    inside = both.groupBy("g", "h", "over", "size").agg(F.count(F.lit(1)).alias("inside"))
     moves = inside.where("(size - inside) * over <= size * size").select("g", "h")
     moves = moves.join(moves.select(F.col("g").alias("h")), "h", "left_anti")
-    return salted(sized, moves, "g", "v", "left").select(F.coalesce("h", "g").alias("g"), "v", "n").distinct()
+    return salted(groups, moves, "g", "v", "left").select(F.coalesce("h", "g").alias("g"), "v", "n").distinct()
 
 
 def _relabel(label: DataFrame, label_at: str, links: DataFrame) -> tuple[DataFrame, str]:
@@ -557,16 +559,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def with_sketch(g: DataFrame) -> DataFrame:
         return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
 
-    def with_size(g: DataFrame) -> tuple[DataFrame, str]:
-        sizes = g.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return cut(salted(g, sizes, "g", "v"), "sized")
-
-    sized, sized_at = with_size(groups)
-    forget(spark, groups_at)
-    groups, groups_at = cut(_merged(sized, of), "groups")
-    forget(spark, sized_at)
-    sized, sized_at = with_size(groups)
+    merged, merged_at = cut(_merged(groups, of), "merged")
     forget(spark, groups_at)
+    sizes = merged.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized, sized_at = cut(salted(merged, sizes, "g", "v"), "sized")
+    forget(spark, merged_at)
     small = sized.where(F.col("size") <= SMALL).drop("size")
     large, large_at = cut(sized.where(F.col("size") > SMALL), "large")
     # small groups: stars first, then pairs that aren't joined yet

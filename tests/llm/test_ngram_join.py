@@ -169,12 +169,12 @@ def test_merged_groups_lose_no_pair(spark):
     groups[33] = set(groups[30]) | {33}
     groups[30] = set(groups[33])
     groups = {g: m for g, m in groups.items() if len(m) > 1}
-    sized = spark.createDataFrame([(g, x + 1000, 7, len(m)) for g, m in groups.items() for x in m], "g long, v long, n long, size long")
+    members = spark.createDataFrame([(g, x + 1000, 7) for g, m in groups.items() for x in m], "g long, v long, n long")
     of = spark.createDataFrame([(i, i + 1000, 7) for i in range(400)], "id long, v long, n long")
-    rows = _merged(sized, of).collect()
+    rows = _merged(members, of).collect()
     now = {}
     for r in rows:
         now.setdefault(r.g, set()).add(r.v - 1000)
     assert len(rows) == sum(map(len, now.values())) < sum(map(len, groups.values()))
     assert all(any(m <= other for other in now.values()) for m in groups.values())
-    assert _merged(sized.limit(0), of).count() == 0
+    assert _merged(members.limit(0), of).count() == 0
