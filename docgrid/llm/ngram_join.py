@@ -473,26 +473,38 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "cid long, features binary")
 
 
-def _merged(groups: DataFrame, of: DataFrame) -> DataFrame:
-    """Groups (g, v, n), those that overlap put together.
-
-    A group is held against one other, the largest that its pivot's set
-    (``of``: id, v) is in, and goes into it if pairing the members that this
-    lacks with all of its own takes no more pairs than the group itself, unless
-    that one goes too. All pairs of a group stay pairs of one group, so no link
-    is lost.
+def _merged(groups: DataFrame) -> DataFrame:
+    """Groups (g, id), each with its pivot g as a member, those that overlap put together.
+
+    A group is held against one other, the largest that its pivot is in, and
+    goes into it if pairing the members that this lacks with all of its own
+    takes no more pairs than the group itself, unless that one goes too. All
+    pairs of a group stay pairs of one group, so no link is lost.
     """
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    heads = sizes.join(of.select(F.col("id").alias("g"), "v"), "g")
-    others = groups.select(F.col("g").alias("h"), F.col("v").alias("w"))
-    above = heads.join(others, (F.col("v") == F.col("w")) & (F.col("h") != F.col("g"))).select("g", "size", "h")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    above = groups.where("g != id").select(F.col("g").alias("h"), F.col("id").alias("g")).join(sizes, "g")
     above = salted(above, sizes.select(F.col("g").alias("h"), F.col("size").alias("over")), "h", "g").where("over > size or (over = size and h < g)")
     best = above.groupBy("g", "size").agg(F.max(F.struct("over", -F.col("h"), "h")).alias("x")).select("g", "size", "x.over", "x.h")
-    both = salted(groups.select("g", "v"), best, "g", "v").join(groups.select(F.col("g").alias("h"), "v"), ["h", "v"])
+    both = salted(groups, best, "g", "id").join(groups.select(F.col("g").alias("h"), "id"), ["h", "id"])
     inside = both.groupBy("g", "h", "over", "size").agg(F.count(F.lit(1)).alias("inside"))
     moves = inside.where("(size - inside) * over <= size * size").select("g", "h")
     moves = moves.join(moves.select(F.col("g").alias("h")), "h", "left_anti")
-    return salted(groups, moves, "g", "v", "left").select(F.coalesce("h", "g").alias("g"), "v", "n").distinct()
+    return salted(groups, moves, "g", "id", "left").select(F.coalesce("h", "g").alias("g"), "id").distinct()
+
+
+def _groups(found: DataFrame) -> DataFrame:
+    """(g, id) of what ``_meet`` found: two texts that share a signature are in one group.
+
+    What met in a task goes wherever its pivot met others, that pivot's own
+    group included; groups of these pivots are merged before that.
+    """
+    across = found.where("across").select(F.col("pivot").alias("g"), "id")
+    merged, _ = cut(_merged(across.unionByName(across.select("g", F.col("g").alias("id"))).distinct()), "merged")
+    own = found.where("not across").select(F.col("pivot").alias("way"), "id")
+    ways = merged.select("g", F.col("id").alias("way"))
+    by_way = own.join(ways, "way", "left").select(F.coalesce("g", "way").alias("g"), "id")
+    lone = own.select("way").distinct().join(ways, "way", "left_anti").select(F.col("way").alias("g"), F.col("way").alias("id"))
+    return merged.unionByName(by_way).unionByName(lone).distinct()
 
 
 def _relabel(label: DataFrame, label_at: str, links: DataFrame) -> tuple[DataFrame, str]:
@@ -532,16 +544,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found, found_at = cut(_meet(rows, k, percent, buckets).distinct(), "met")
 
     named = slim.where("n > 0 and id is not null")
-    # groups by the id of a pivot; what met in a task goes where its own pivot met others, which holds all of them
-    of = named.select("id", F.col("cid").alias("v"), "n").distinct()
-    met = found.join(of, "id")
-    across = met.where("across").select(F.col("pivot").alias("g"), "id", "v", "n")
-    own = met.where("not across").select(F.col("pivot").alias("way"), "v", "n")
-    by_way = own.join(across.select("g", F.col("id").alias("way")), "way", "left").select(F.coalesce("g", "way").alias("g"), "v", "n")
-    members = across.select("g", "v", "n").unionByName(by_way)
-    pivots = members.select(F.col("g").alias("id")).distinct().join(of, "id").select(F.col("id").alias("g"), "v", "n")
-    groups, groups_at = cut(members.unionByName(pivots).distinct(), "groups")
+    of = named.select("id", F.col("cid").alias("v")).distinct()
+    met = found.join(of, "id").join(of.select(F.col("id").alias("pivot"), F.col("v").alias("p")), "pivot").where("v != p")
+    members, members_at = cut(_groups(met.select(F.col("v").alias("id"), F.col("p").alias("pivot"), "across").distinct()), "members")
     forget(spark, found_at)
+    counted = named.select(F.col("cid").alias("v"), "n").distinct()
+    groups, groups_at = cut(_merged(members).withColumnRenamed("id", "v").join(counted, "v").select("g", "v", "n"), "groups")
+    forget(spark, members_at)
     classes = named.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     met = groups.select(F.col("v").alias("cid")).distinct()
     sketches, sketches_at = cut(classes.join(met, "cid", "left_semi"), "sketches")
@@ -559,11 +568,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def with_sketch(g: DataFrame) -> DataFrame:
         return g.join(sketches.select(F.col("cid").alias("v"), "sketch"), "v")
 
-    merged, merged_at = cut(_merged(groups, of), "merged")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized, sized_at = cut(salted(groups, sizes, "g", "v"), "sized")
     forget(spark, groups_at)
-    sizes = merged.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized, sized_at = cut(salted(merged, sizes, "g", "v"), "sized")
-    forget(spark, merged_at)
     small = sized.where(F.col("size") <= SMALL).drop("size")
     large, large_at = cut(sized.where(F.col("size") > SMALL), "large")
     # small groups: stars first, then pairs that aren't joined yet

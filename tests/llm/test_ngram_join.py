@@ -158,23 +158,38 @@ def test_sketches_lose_no_link():
         assert apart <= len(np.setxor1d(a, b))
 
 
-def test_merged_groups_lose_no_pair(spark):
-    from docgrid.llm.ngram_join import _merged
+def test_groups_lose_no_pair(spark):
+    from docgrid.llm.ngram_join import _groups
 
     rng = np.random.default_rng(21)
-    groups = {}
-    for pivot in range(0, 400, 3):  # overlapping, nested, equal and lonely groups; a set's name is its id and 1,000
-        family = range(0, 120) if pivot < 90 else range(pivot - 6, min(400, pivot + 7))
-        groups[pivot] = {pivot} | {int(x) for x in rng.choice(list(family), int(rng.integers(1, len(family) + 1)), replace=False)}
-    groups[33] = set(groups[30]) | {33}
-    groups[30] = set(groups[33])
-    groups = {g: m for g, m in groups.items() if len(m) > 1}
-    members = spark.createDataFrame([(g, x + 1000, 7) for g, m in groups.items() for x in m], "g long, v long, n long")
-    of = spark.createDataFrame([(i, i + 1000, 7) for i in range(400)], "id long, v long, n long")
-    rows = _merged(members, of).collect()
-    now = {}
-    for r in rows:
-        now.setdefault(r.g, set()).add(r.v - 1000)
-    assert len(rows) == sum(map(len, now.values())) < sum(map(len, groups.values()))
-    assert all(any(m <= other for other in now.values()) for m in groups.values())
-    assert _merged(members.limit(0), of).count() == 0
+    for tasks in (1, 3, 40):
+        holders = []  # of each signature; families whose members share many
+        for s in range(300):
+            family = np.arange(0, 90) if s < 120 else np.arange(s % 250, s % 250 + 12)
+            holders.append(sorted({int(x) for x in rng.choice(family, int(rng.integers(1, len(family) + 1)), replace=False)}))
+        task = rng.integers(0, tasks, 300)
+        found = set()
+        for ids in holders:
+            heads = {}
+            for i in ids:
+                head = heads.setdefault(task[i], i)
+                if head != i:
+                    found.add((i, head, False))
+            least = min(heads.values())
+            found |= {(h, least, True) for h in heads.values() if h != least}
+        rows = _groups(spark.createDataFrame(sorted(found), "id long, pivot long, across boolean")).collect()
+        now = {}
+        for r in rows:
+            now.setdefault(r.g, set()).add(r.id)
+        assert len(rows) == sum(map(len, now.values()))
+        assert all(any(set(ids) <= g for g in now.values()) for ids in holders if len(ids) > 1)
+
+
+def test_what_met_in_a_task_goes_to_its_own_pivots_group(spark):
+    from docgrid.llm.ngram_join import _groups
+
+    # 10 is the pivot of 20 across tasks and a member of 1's group; 11 met it in its task, 21 met 20
+    found = [(20, 10, True), (10, 1, True), (11, 10, False), (21, 20, False)]
+    rows = _groups(spark.createDataFrame(found, "id long, pivot long, across boolean")).collect()
+    assert {r.g for r in rows if r.id == 11} & {r.g for r in rows if r.id == 21}
+    assert not _groups(spark.createDataFrame([], "id long, pivot long, across boolean")).collect()
