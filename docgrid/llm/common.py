@@ -129,6 +129,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             j = min(j, n)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no batches
 
 
 #: Fixed seeds: hashes must be the same in every worker and session.

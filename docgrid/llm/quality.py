@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import IS_SPACE, cut, forget, prefix_hash, steps, sub_hash, words
+from docgrid.llm.common import IS_SPACE, cut, forget, steps, string_hash, words
 
 #: Labelled rows of each class that the ranker is fitted on, at most (the lowest hashes of the id).
 SAMPLE_PER_CLASS = 8000
@@ -25,6 +24,8 @@ SAMPLE_PER_CLASS = 8000
 PAIRS, STEPS = 4096, 400
 #: Buckets of hashed pairs of neighbouring bytes.
 HASHED = 64
+#: Bytes that are counted at a time; bounds the memory that a very long text takes.
+CHUNK = 1 << 17
 NAMES = ("length", "letters", "digits", "spaces", "upper", "high", "stops", "marks", "lines", "mean_word", "long_words", "distinct", "most", "repeats", "line_repeats", "ends_mark", "short_words")
 N_FEATURES = len(NAMES) + HASHED
 
@@ -37,23 +38,43 @@ _CLASS[128:] = 5
 _CLASS[list(b".,;:!?'\"")] = 6
 
 
+def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the bytes of each class, and the hashed pairs of neighbouring bytes."""
+    n = len(offsets) - 1
+    kinds, pairs = np.zeros((n, 8), np.int64), np.zeros((n, HASHED), np.int64)
+    for a in range(0, len(data), CHUNK):
+        z = min(a + CHUNK, len(data))
+        low, high = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, z, "left"))
+        texts = high - low
+        doc = np.repeat(np.arange(texts), np.diff(np.clip(offsets[low : high + 1], a, z)))
+        kinds[low:high] += np.bincount(doc * 8 + _CLASS[data[a:z]], minlength=8 * texts).reshape(texts, 8)
+        inner = np.ones(z - a, bool)
+        ends = offsets[low : high + 1]
+        inner[ends[(ends > a) & (ends <= z)] - 1 - a] = False
+        at = np.flatnonzero(inner)
+        pair = ((data[at + a].astype(np.uint32) * 40503 + data[at + (a + 1)] * np.uint32(60493)) >> np.uint32(5)) % HASHED
+        pairs[low:high] += np.bincount(doc[at] * HASHED + pair, minlength=HASHED * texts).reshape(texts, HASHED)
+    return kinds, pairs
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of ``N_FEATURES`` numbers for each text; the empty text has zeros only."""
     n = len(offsets) - 1
     out = np.zeros((n, N_FEATURES), np.float32)
     size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    kinds = np.bincount(doc * 8 + _CLASS[data], minlength=8 * n).reshape(n, 8)
+    kinds, hashed = _byte_counts(data, offsets)
     share = kinds / np.maximum(size, 1)[:, None]
     out[:, 0] = np.log1p(size)
     for column, kind in ((1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7)):
         out[:, column] = share[:, kind]
+    out[:, len(NAMES) :] = np.sqrt(hashed / np.maximum(size, 1)[:, None])
     h, start, end, at = words(data, offsets)
     count = np.diff(at)
     some = np.maximum(count, 1)
     of = np.repeat(np.arange(n), count)
     length = end - start
-    out[:, 8] = np.bincount(doc[data == 10], minlength=n) / some
+    breaks = np.flatnonzero(data == 10)
+    out[:, 8] = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=n) / some
     out[:, 9] = np.log1p(np.bincount(of, length, n) / some)
     out[:, 10] = np.bincount(of[length > 12], minlength=n) / some
     order = np.lexsort((h, of))
@@ -71,21 +92,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, 13] = np.bincount(of[1:][same], minlength=n) / some
         out[:, 15] = np.bincount(of[_CLASS[data[end - 1]] == 7], minlength=n) / some
         out[:, 16] = np.bincount(of[length == 1], minlength=n) / some
-    breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([offsets[:-1][size > 0], breaks[breaks + 1 < len(data)] + 1]))
     if len(line_start):
         line_end = np.append(line_start[1:], len(data))
-        line_hash = sub_hash(prefix_hash(data), line_start, np.maximum(line_start, line_end - 1))
-        owner = doc[line_start]
-        pairs = np.unique(np.stack([owner.astype(np.uint64), line_hash]), axis=1)[0].astype(np.int64)
+        line_hash = string_hash(data, line_start, np.maximum(line_start, line_end - 1))
+        owner = np.searchsorted(offsets, line_start, "right") - 1
+        order = np.lexsort((line_hash, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (line_hash[order][1:] != line_hash[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         lines = np.bincount(owner, minlength=n)
-        out[:, 14] = 1 - np.bincount(pairs, minlength=n) / np.maximum(lines, 1)
+        out[:, 14] = 1 - np.bincount(owner[order][new], minlength=n) / np.maximum(lines, 1)
         out[lines == 0, 14] = 0
-    if len(data) > 1:
-        pair = ((data[:-1].astype(np.uint32) * 40503 + data[1:] * np.uint32(60493)) >> np.uint32(5)) % HASHED
-        inner = doc[1:] == doc[:-1]
-        hashed = np.bincount(doc[1:][inner] * HASHED + pair[inner], minlength=n * HASHED).reshape(n, HASHED)
-        out[:, len(NAMES) :] = np.sqrt(hashed / np.maximum(size, 1)[:, None])
     return out
 
 
@@ -220,12 +237,12 @@ def score_documents(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", tex
     older ``score`` or ``predicted`` column is replaced. Empty input: no rows.
     """
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = pa.RecordBatch.from_arrays([pa.array(part, pa.large_string())], names=["text"])
+            texts = pa.RecordBatch.from_arrays([part], names=["text"])
             out = [ranker.score(features(data, offsets).astype(np.float64)) for _, data, offsets in steps(iter([texts]))]
-            yield pd.Series(np.concatenate([np.zeros(0), *out]))
+            yield pa.array(np.concatenate([np.zeros(0), *out]))
 
     scored = docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

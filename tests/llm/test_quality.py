@@ -1,5 +1,6 @@
 import numpy as np
 
+from docgrid.llm import quality
 from docgrid.llm.quality import fit, score_documents, train
 
 
@@ -46,3 +47,18 @@ def test_threshold_is_over_all_labelled_rows(spark):
         ranker = train(docs, labels, per_class=cap)
         raw = np.sort([np.log(r.score / (1 - r.score)) for r in score_documents(docs, ranker).collect()])
         assert raw[119] <= 1e-9 and raw[120] >= -1e-9, cap  # 120 of 600 are poor
+
+
+def test_counts_in_pieces_and_lines(monkeypatch):
+    texts = ["", "ab\nab\n\u00e9x", "", "z" * 40, "one two\n" * 30, ""]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    whole = quality.features(np.frombuffer(b"".join(data), np.uint8), offsets)
+    for size in (1, 7, 40):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        assert np.array_equal(whole, quality.features(np.frombuffer(b"".join(data), np.uint8), offsets))
+    for row, t in zip(whole, data):
+        lone = quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert np.array_equal(row, lone[0])
+        lines = t[:-1].split(b"\n") if t else []
+        assert np.isclose(row[quality.NAMES.index("line_repeats")], 1 - len(set(lines)) / len(lines) if lines else 0)
