@@ -93,8 +93,17 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docgrid.llm.pack import pack_documents
+
+    out = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe, op10_lm)}
+    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe, op10_lm, op11_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
