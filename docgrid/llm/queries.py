@@ -102,8 +102,24 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(x.cast("double") * 256).cast("double")))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return mine(rows)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrid.llm.conversation import audit_conversations, damage, replay
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return replay(*audit_conversations(damage(rows), rows), digest=True).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe, op10_lm, op11_pack)}
+    return {f.__name__: f for f in (op1_pii, op2_decontam, op3_exact_dedup, op4_quality, op5_ngram_join, op6_shard, op7_url_filter, op8_suffix_dedup, op9_bpe, op10_lm, op11_pack, op12_hard_negatives, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
