@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -268,8 +267,9 @@ def labels(first: Column, second: Column | None, dictionary: Mapping[str, Sequen
 
 
 def unclassified(df: DataFrame, label: str, text: str, done: str = "generic") -> DataFrame:
-    """[X2] The queue for new keywords: distinct texts without a label, most frequent first; rows labelled ``done`` are skipped."""
-    open_ = df.where((F.coalesce(F.col(label), F.lit("")) == "") & (F.coalesce(F.col(label), F.lit("")) != done))
+    """[X2] The queue for new keywords: distinct texts of rows without a label, most frequent first; a text that some row labels ``done`` was looked at and is skipped."""
+    seen = df.where(F.col(label) == done).select(text).distinct()
+    open_ = df.where(F.coalesce(F.col(label), F.lit("")) == "").join(seen, text, "left_anti")
     return open_.groupBy(text).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), text)
 
 
@@ -346,32 +346,6 @@ def split_issues(c: Column) -> Column:
     return F.when(c.isNotNull(), F.aggregate(marked, start, follow, finish))
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """A built-in metric beside ``fuzzy_ratio``: 100 (1 - edits / longer length), rounded."""
-    return F.round(100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))).cast("int")
-
-
-def ratio(x: str | None, y: str | None) -> int:
-    return int(round(100 * SequenceMatcher(None, x or "", y or "").ratio()))
-
-
-def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: twice the matched characters over all characters."""
-
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ratio(p, q) for p, q in zip(x, y)], dtype="int32")
-
-    return F.pandas_udf(run, "int")(a, b)
-
-
-def similar_pairs(df: DataFrame, key: str, text: str, least: float, metric=edit_similarity) -> DataFrame:
-    """[J16, X14] (a, b, score): each pair once, smaller key first; pairs whose lengths rule ``least`` out aren't compared."""
-    left = df.select(F.col(key).alias("a"), F.col(text).alias("x"), F.length(text).alias("n"))
-    right = df.select(F.col(key).alias("b"), F.col(text).alias("y"), F.length(text).alias("m"))
-    met = left.join(right, (F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= least * F.greatest("n", "m")))
-    return met.select("a", "b", metric(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
-
-
 def curate(dictionary: DataFrame, merged: Mapping[str, str], added: Mapping[str, Sequence[str]], removed: Mapping[str, Sequence[str]]) -> DataFrame:
     """[U5, X8] (label, phrase): labels renamed or merged, phrases added, phrases removed, each once."""
     spark = dictionary.sparkSession
@@ -381,17 +355,6 @@ def curate(dictionary: DataFrame, merged: Mapping[str, str], added: Mapping[str,
     return out.union(rows(added)).join(rows(removed), ["label", "phrase"], "left_anti").distinct()
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """[N11, O6] (q, id, similarity): the k nearest of each query, itself left out; ties by id."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
-    a = queries.select(F.col(key).alias("q"), unit(F.col(vector).cast("array<double>")).alias("x"))
-    b = vectors.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, r: p * r), F.lit(0.0), lambda s, v: s + v)
-    scored = b.join(F.broadcast(a), F.col("q") != F.col("id")).select("q", "id", dot.alias("similarity"))
-    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
 def train_embeddings(df: DataFrame, words: str, size: int = 100, window: int = 10, min_count: int = 36, iterations: int = 20, seed: int = 1):
     """[N10] Spark's Word2Vec (hierarchical softmax)."""
     from pyspark.ml.feature import Word2Vec

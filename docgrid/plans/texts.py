@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions import text as t
+from docgrid.operators import nearest, phrases, similarity
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register, table
 from docgrid.plans.relational import run_sql
@@ -93,10 +94,11 @@ def keyword_multilabel(s, d):
     return docs.select("doc_id", F.array_join(t.labels(F.col("c"), F.col("e"), {k: v for k, v in TOPICS if v}), ",").alias("labels"))
 
 
-@register("unclassified_queue", "select title, count(*) as n from (select coalesce(concat(event_type, '-', cast(user_id % 7 as varchar)), '') as title, case when user_id % 3 = 0 then 'generic' when user_id % 3 = 1 then 'x' else '' end as label from events) x where label = '' group by title", "X2")
+@register("unclassified_queue", "select title, count(*) as n from (select concat(event_type, '-', cast(user_id % 7 as varchar)) as title, case when user_id % 3 = 0 then 'x' when user_id % 11 = 1 and user_id % 7 < 3 then 'generic' else '' end as label from events) x where label = '' and title not in (select concat(event_type, '-', cast(user_id % 7 as varchar)) from events where user_id % 3 <> 0 and user_id % 11 = 1 and user_id % 7 < 3 and event_type is not null) group by title", "X2")
 def unclassified_queue(s, d):
-    k = F.col("user_id") % 3
-    rows = table(s, d, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 7).alias("title"), F.when(k == 0, "generic").when(k == 1, "x").otherwise("").alias("label"))
+    user = F.col("user_id")
+    label = F.when(user % 3 == 0, "x").when((user % 11 == 1) & (user % 7 < 3), "generic").otherwise("")
+    rows = table(s, d, "events").select(F.concat("event_type", F.lit("-"), user % 7).alias("title"), label.alias("label"))
     return t.unclassified(rows, "label", "title")
 
 
@@ -118,11 +120,38 @@ def odd_one_out(s, d):
     return t.odd_one_out(table(s, d, "embeddings").withColumn("g", F.col("vec_id") % 50), "g")
 
 
-@register("name_in_text", "select d.doc_id, b.lang as name from documents d join (select distinct lang from documents) b on contains(lower(d.text), b.lang)", "J18 X9")
+@register("name_in_text", "select d.doc_id, b.lang as name from documents d join (select distinct lang from documents) b on contains(lower(d.text), b.lang)", "J18")
 def name_in_text(s, d):
     docs = table(s, d, "documents")
-    names = docs.select(F.col("lang").alias("name")).distinct()
-    return docs.select("doc_id", F.lower("text").alias("low")).join(names, F.col("low").contains(F.col("name"))).select("doc_id", "name")
+    return phrases.phrase_hits(docs.select("doc_id", F.lower("text").alias("low")), docs, "doc_id", "low", "lang", bounds=False).select("doc_id", F.col("phrase").alias("name"))
+
+
+_CLEAN = "trim(regexp_replace(lower(text), '[^a-z0-9\\-'']+', ' ', 'g'))"
+#: A dictionary as large as the table: the first two words of each turn, labelled by who spoke.
+_OPENINGS = f"(select distinct role as label, regexp_extract({_CLEAN}, '^[a-z0-9]+ [a-z0-9]+') as phrase from conversations) o where phrase <> ''"
+
+
+@register("openings_in_text", f"with c as (select doc_id, {_CLEAN} as c from documents) select distinct doc_id, phrase from c join (select * from {_OPENINGS}) o on contains(c, phrase) and regexp_matches(c, '\\b' || phrase || '\\b')", "J17 F21")
+def openings_in_text(s, d):
+    """Which openings of a turn stand in which documents."""
+    return phrases.phrase_hits(_cleaned(s, d), _openings(s, d), "doc_id", "c").select("doc_id", "phrase")
+
+
+@register("openings_first_label", f"with c as (select doc_id, {_CLEAN} as c from documents) select doc_id, label, phrase from c join (select * from {_OPENINGS}) o on contains(c, phrase) and regexp_matches(c, '\\b' || phrase || '\\b') qualify row_number() over (partition by doc_id order by label, phrase) = 1", "X1 J17 O9")
+def openings_first_label(s, d):
+    """Of a document's openings the first by label, then phrase."""
+    words = _openings(s, d)
+    hits = phrases.phrase_hits(_cleaned(s, d), words, "doc_id", "c")
+    return phrases.first_phrase(hits, words.withColumn("label_ord", F.col("label")).withColumn("phrase_ord", F.col("phrase")), "doc_id")
+
+
+def _cleaned(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", t.classifier_text(F.col("text")).alias("c"))
+
+
+def _openings(s: SparkSession, d: str) -> DataFrame:
+    turns = table(s, d, "conversations")
+    return turns.select(F.col("role").alias("label"), F.regexp_extract(t.classifier_text(F.col("text")), "^[a-z0-9]+ [a-z0-9]+", 0).alias("phrase")).where("phrase <> ''").distinct()
 
 
 @register("status_norm", r"select event_id, case when regexp_matches(x, '\bno issues\b') then 'Resolved' when regexp_matches(x, '\b(unresolved|u)\b') then 'Unresolved' when regexp_matches(x, '\b(resolved|r|no issue)\b') then 'Resolved' else y end as status from (select event_id, lower(y) as x, y from (select event_id, case user_id % 5 when 0 then 'No issues' when 1 then 'U - open' when 2 then 'R (closed)' when 3 then 'Unresolved r' else event_type end as y from events) a) b", "F47 P9")
@@ -151,22 +180,32 @@ def issue_split(s, d):
 
 @register("fuzzy_pairs", None, "F22 J16 X14")
 def fuzzy_pairs(s, d):
-    return t.similar_pairs(table(s, d, "benchmark"), "item_id", "text", 40, t.fuzzy_ratio)
+    return similarity.similar_pairs(table(s, d, "benchmark"), "item_id", "text", 40, similarity.FUZZY)
 
 
 _SCORE = "cast(round(100 * (1 - cast(levenshtein(a.x, b.x) as double) / greatest(length(a.x), length(b.x), 1))) as int)"
 
 
-@register("levenshtein_pairs", f"with t as (select item_id, regexp_replace(text, '[^ -~]', '?', 'g') as x from benchmark) select a.item_id as a, b.item_id as b, {_SCORE} as score from t a join t b on a.item_id < b.item_id and 100 * least(length(a.x), length(b.x)) >= 25 * greatest(length(a.x), length(b.x)) where {_SCORE} >= 25", "F22 J16")
+def _edit_sql(rows: str, least: int) -> str:
+    return f"with t as ({rows}) select a.k as a, b.k as b, {_SCORE} as score from t a join t b on a.k < b.k and 100 * least(length(a.x), length(b.x)) >= {least - 1} * greatest(length(a.x), length(b.x)) where {_SCORE} >= {least}"
+
+
+@register("levenshtein_pairs", _edit_sql("select item_id as k, regexp_replace(text, '[^ -~]', '?', 'g') as x from benchmark", 25), "F22 J16")
 def levenshtein_pairs(s, d):
     plain = table(s, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("x"))
-    return t.similar_pairs(plain, "item_id", "x", 25)
+    return similarity.similar_pairs(plain, "item_id", "x", 25)
+
+
+@register("near_names", _edit_sql("select p_partkey as k, concat(p_name, ' ', lower(p_type), ' ', p_brand) as x from part", 90), "J16 F22 X14")
+def near_names(s, d):
+    """Parts whose names, types and brands differ by a few characters."""
+    return similarity.similar_pairs(table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand").alias("x")), "p_partkey", "x", 90)
 
 
-@register("cosine_topk", "select q.vec_id as q, e.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as similarity, cast(row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) desc, e.vec_id) as int) as place from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0 qualify place <= 18", "N11 N12 O6 N16")
+@register("cosine_topk", "select q.vec_id as q, e.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as similarity, cast(row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) desc, e.vec_id) as int) as place from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0 qualify place <= 18", "N11 N12 O6")
 def cosine_topk(s, d):
     e = table(s, d, "embeddings")
-    return t.cosine_top(e, e.where("vec_id % 100 = 0"), 18).withColumn("similarity", F.round("similarity", 5))
+    return nearest.cosine_top(e, e.where("vec_id % 100 = 0"), 18).withColumn("similarity", F.round("similarity", 5))
 
 
 @register("dictionary_curation", with_views("select distinct * from (select case vec when 'ASIA' then 'EUROPE' else vec end as label, phrase from keywords union all select 'AFRICA', 'kenya' union all select 'NEW', 'fresh') x where not (label = 'EUROPE' and phrase = 'nation_7')"), "U5 X8")

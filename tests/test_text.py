@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrid.functions import text as t
+from docgrid.operators import similarity
 
 
 def one(spark, column, value="x"):
@@ -70,7 +71,7 @@ def test_phrases(spark):
 
 def test_pairs_and_curation(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, "abce"), (3, "zz"), (4, None)], "id int, x string")
-    assert [tuple(r) for r in t.similar_pairs(df, "id", "x", 70, t.fuzzy_ratio).collect()] == [(1, 2, 75)]
+    assert [tuple(r) for r in similarity.similar_pairs(df, "id", "x", 70, similarity.FUZZY).collect()] == [(1, 2, 75)]
     words = spark.createDataFrame([("a", "p"), ("b", "q"), ("b", "r")], "label string, phrase string")
     got = sorted(tuple(r) for r in t.curate(words, {"a": "b"}, {"c": ["s"]}, {"b": ["r"]}).collect())
     assert got == [("b", "p"), ("b", "q"), ("c", "s")]
