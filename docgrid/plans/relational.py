@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docgrid.plans import store
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import QUERIES, Query
 
@@ -31,9 +32,10 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(_TABLE.sub(scan, sql))
 
 
-def report(name: str, covers: str, sql: str) -> None:
+def report(name: str, covers: str, sql: str, stored: bool = False) -> None:
+    """Register a report; a ``stored`` one has the views that it reads repeatedly written once."""
     whole = with_views(sql)
-    QUERIES[name] = Query(lambda spark, sf_dir: run_sql(spark, sf_dir, whole), whole, tuple(covers.split()))
+    QUERIES[name] = Query(lambda spark, sf_dir: store.query(spark, sf_dir, sql) if stored else run_sql(spark, sf_dir, whole), whole, tuple(covers.split()))
 
 
 CHAIN_MANUALS = """
@@ -98,7 +100,7 @@ report("flat_file", "Q32 J12 P8 P1", """
       case when a.tag_id is null then '' else 'true' end as eil_one, case when b.tag_id is null then '' else 'true' end as eil_several, case when e.tag_id is null then '' else 'true' end as rating_coding
     from doc_tables t join csvs c on c.csv_id = t.correct_csv join pdfs d on d.pdf_name = t.pdf_name join projects p on p.application_id = d.application_id
     left join table_tags a on a.table_id = t.table_id and a.tag_id = 2 left join table_tags b on b.table_id = t.table_id and b.tag_id = 3 left join table_tags e on e.table_id = t.table_id and e.tag_id = 4
-    where t.combined is not null""")
+    where t.combined is not null""", stored=True)
 report("issue_stats_median", "Q33 A4 A10 P23", """
     with counts as (select table_id, count(*) as n from issues group by table_id)
     select cast(round(avg(n), 0) as int) as mean, cast(sum(n) as bigint) as total, min(n) as low, max(n) as high, count(*) as tables,
@@ -120,13 +122,13 @@ report("complete_issues", "Q44 J13 P7", """
     from issues i join doc_tables t on i.table_id = t.head_id join pdfs d on d.pdf_name = t.pdf_name join projects p on p.application_id = d.application_id
     left join parsed s on s.table_id = i.table_id and s.row_index = i.row_index left join word_labels w on w.table_id = i.table_id and w.row_index = i.row_index
     left join locations l on l.table_id = i.table_id and l.row_index = i.row_index left join land_use u on u.table_id = l.table_id and u.row_index = l.row_index and u.loc_no = l.loc_no
-    where i.issue_pri not in ('-', '?', 'ESC') and concat(i.issue_pri, coalesce(i.status, '')) <> ''""")
+    where i.issue_pri not in ('-', '?', 'ESC') and concat(i.issue_pri, coalesce(i.status, '')) <> ''""", stored=True)
 VIZ = """
     select i.table_id, i.row_index, p.row_counter, s.sub_vec, w.vec from issues i join (select * from word_labels where row_counter is {some}) p on p.table_id = i.table_id and p.row_index = i.row_index
     left join sub_labels s on s.table_id = p.table_id and s.row_index = p.row_index {also} join word_labels w on w.table_id = p.table_id and w.row_index = p.row_index and coalesce(w.row_counter, 0) = {counter}
     where not (w.vec = 'Soils' and s.sub_vec is null)"""
 # an OR in a join's condition can't be hashed: two equi joins, one for each side of it
-report("viz_join_or", "Q47 J9 P11", VIZ.format(some="not null", also="and s.row_counter = p.row_counter", counter="p.row_counter") + " union all " + VIZ.format(some="null", also="", counter="0"))
+report("viz_join_or", "Q47 J9 P11", VIZ.format(some="not null", also="and s.row_counter = p.row_counter", counter="p.row_counter") + " union all " + VIZ.format(some="null", also="", counter="0"), stored=True)
 report("orphan_ids", "Q50 K13 U3 J15", "select csv_id from csvs where method = 'manual' except select correct_csv from doc_tables where correct_csv is not null")
 report("classifier_inputs", "Q51 P3 O1", "select l.vec, l.short_name, l.test_order, k.phrase from labels_list l left join keywords k on k.vec = l.vec order by l.test_order, k.phrase")
 report("chain_headers", "Q52 J2 J4", "select h.table_id, h.header_idx, h.title, t.level from headers h join doc_tables t on t.table_id = h.table_id left join table_tags b on b.table_id = t.table_id and b.tag_id = 1 where b.tag_id is null")

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrid.plans import store
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register
-from docgrid.plans.relational import run_sql
 
 #: Tag of tables that are processed by hand.
 BY_HAND = 13
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: str = "*") -> DataFrame:
-    return run_sql(spark, sf_dir, with_views(f"select {columns} from {name}"))
+    return store.view(spark, sf_dir, name).selectExpr(*columns.split(", "))
 
 
 def _listed(values: Column) -> Column:
