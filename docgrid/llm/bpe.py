@@ -21,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from docgrid.llm.common import release
+
 #: Pre-tokens whose ids a worker remembers, and the longest that it does.
-CACHE_SIZE, CACHE_LONGEST = 1_000_000, 64
+CACHE_SIZE, CACHE_LONGEST = 400_000, 64
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -164,5 +166,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                     columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(kept))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return slim.mapInArrow(run, schema)

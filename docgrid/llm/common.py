@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -14,40 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrid.shared import forget, shared_dir
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
 STEP_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Unset, a folder in the warehouse serves, which driver and executors share
-    too. There is no machine-local fallback.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_docgrid"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _path(spark: SparkSession, where: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def forget(spark: SparkSession, where: str) -> None:
-    """Remove a cut that no plan reads any more."""
-    try:
-        fs, path = _path(spark, where)
-        fs.delete(path, True)
-    except Exception:  # the session may have ended
-        return
-
-
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: object):
     """Session settings (dots written as ``__``) while a table is written; the old values come back."""
@@ -119,6 +94,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task, of whatever job, holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in runs of whole rows of about ``most`` bytes of text: (rows, bytes, offsets)."""
     for batch in batches:
@@ -129,7 +111,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             j = min(j, n)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
-    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no batches
+    release()
 
 
 #: Fixed seeds: hashes must be the same in every worker and session.
@@ -186,27 +168,51 @@ def sub_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
 _SHORT = 64
 
 
+class Lanes:
+    """A hash of sequences of 64-bit words, many at a time: two lanes of state, each stirred by every word.
+
+    A lane alone could be steered: for any change of one word there is a change
+    of the next that undoes it. No single word undoes a change in both, so a
+    collision takes the search that any 64-bit hash does, some 2**32 trials.
+    """
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.a = mix(start * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+        self.b = mix(start ^ np.uint64(0xA0761D6478BD642F))
+
+    def add(self, word: np.ndarray, live=slice(None)) -> None:
+        self.a[live] = mix(self.a[live] * np.uint64(0xD1342543DE82EF95) + word)
+        self.b[live] = mix((self.b[live] ^ mix(word)) * np.uint64(0xE7037ED1A0B428DB))
+
+    def end(self) -> np.ndarray:
+        return mix(self.a + mix(self.b * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(0x589965CC75374CC3)))
+
+
 def string_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the strings [start, end).
 
-    Eight bytes at a time go through ``mix``, which isn't linear: no family of
-    strings collides by construction, and strings of up to eight bytes and
-    equal length never do. Longer strings than ``_SHORT`` take blake2b.
+    Strings of up to seven bytes have hashes of their own, a bijection of bytes
+    and size. Longer ones go through ``Lanes``, those above ``_SHORT`` through
+    blake2b.
     """
     size = end - start
-    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
     if not len(start):
-        return h
+        return np.zeros(0, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
-    live = np.flatnonzero(size <= _SHORT)
-    for at in range(0, _SHORT, 8):
-        live = live[size[live] > at]
-        if not len(live):
-            break
-        left = np.minimum(size[live] - at, 8).astype(np.uint64)
-        chunk = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-        h[live] = mix(h[live] * np.uint64(0xD1342543DE82EF95) + chunk)
+    left = np.clip(size, 0, 7).astype(np.uint64)
+    chunk = eight[start] & ((np.uint64(1) << (np.uint64(8) * left)) - np.uint64(1))
+    h = mix(chunk | size.astype(np.uint64) << np.uint64(56))
+    mid = np.flatnonzero((size > 7) & (size <= _SHORT))
+    if len(mid):
+        lanes, at, n = Lanes(size[mid].astype(np.uint64)), start[mid], size[mid]
+        for k in range(0, _SHORT, 8):
+            live = np.flatnonzero(n > k)
+            if not len(live):
+                break
+            left = np.minimum(n[live] - k, 8).astype(np.uint64)
+            lanes.add(eight[at[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)), live)
+        h[mid] = lanes.end()
     for i in np.flatnonzero(size > _SHORT):
         h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return h

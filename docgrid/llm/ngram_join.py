@@ -43,6 +43,7 @@ may link is left out, and no large group is paired out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import arrow_rows, cut, forget, mix, salted, steps, words
+from docgrid.llm.common import Lanes, arrow_rows, cut, forget, mix, salted, steps, words
 from docgrid.llm.components import components
 
 #: Growth of the size bands.
@@ -65,13 +66,12 @@ TOGETHER, LONG = 256, 50_000
 SAMPLED, FREQUENT = 48, 3
 
 
-
 def _fold(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k words from each start."""
-    x = np.full(len(start), k, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    lanes = Lanes(np.full(len(start), k, np.uint64))
     for i in range(k):
-        x = mix(x * np.uint64(0xD1342543DE82EF95) + h[start + i])
-    return x
+        lanes.add(h[start + i])
+    return lanes.end()
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -93,9 +93,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
 
 
 def set_hash(features: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = 3 * int(mix(features ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) + int(features.sum(dtype=np.uint64)) + len(features)
-    return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
+    """A 64-bit name of a set of sorted features."""
+    return int.from_bytes(hashlib.blake2b(features.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sketch(features: np.ndarray) -> bytes:

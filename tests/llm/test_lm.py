@@ -107,3 +107,9 @@ def test_words_that_a_polynomial_would_confuse(spark):
     texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
     model, _, _ = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert model.vocabulary == 3
+
+
+def test_words_that_one_lane_would_confuse(spark):
+    rows = [(1, "abcdefghijklmnop x y"), (2, "p9jqf07o<$p2y+<y x y")]
+    model, _, _ = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.vocabulary == 5

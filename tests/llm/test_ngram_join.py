@@ -145,6 +145,27 @@ def test_words_that_a_polynomial_would_confuse(spark):
         assert {(r.id, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()} == {(i, i) for i in (1, 2, 3, 4)}
 
 
+def test_words_that_one_lane_would_confuse(spark):
+    docs = spark.createDataFrame([(1, "abcdefghijklmnop"), (2, "p9jqf07o<$p2y+<y"), (3, "q abcdefghijklmnop r s"), (4, "q p9jqf07o<$p2y+<y r s")], "doc_id long, text string")
+    assert {(r.id, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+
+
+def test_hashes_tell_words_and_shingles_apart():
+    import itertools
+
+    from docgrid.llm.common import string_hash
+    from docgrid.llm.ngram_join import _fold
+
+    every = ["".join(x).encode() for n in range(1, 5) for x in itertools.product("ab\x01\x07", repeat=n)] + [b"a" * n for n in range(5, 80)] + [b"a" * n + b"\x07" for n in range(4, 80)]
+    data, size = np.frombuffer(b"".join(every), np.uint8), np.array([len(x) for x in every])
+    end = np.cumsum(size)
+    h = string_hash(data, end - size, end)
+    assert len(np.unique(h)) == len(every)
+    assert (string_hash(np.concatenate([data[7:9], data]), end - size + 2, end + 2) == h).all()  # wherever they stand
+    pairs = np.array(list(itertools.product(h[:150], repeat=2)), np.uint64).ravel()
+    assert len(np.unique(_fold(pairs, np.arange(0, len(pairs), 2), 2))) == 150 * 150
+
+
 def test_sketches_lose_no_link():
     from docgrid.llm.ngram_join import sketch
 
