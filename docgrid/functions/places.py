@@ -249,33 +249,6 @@ def contains(a: Column, b: Column) -> Column:
     return (a["x"] <= b["x"]) & (a["y"] <= b["y"]) & (a["x"] + a["w"] >= b["x"] + b["w"]) & (a["y"] + a["h"] >= b["y"] + b["h"])
 
 
-def merge_boxes(boxes: DataFrame, image: str = "image_id") -> DataFrame:
-    """[F39, H7] (image, x, y, w, h): overlapping boxes of an image as the box around them, until none overlap; contained ones are gone then.
-
-    One image's boxes come to one task; they are few.
-    """
-    kind = boxes.schema[image].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        todo = [(r.x, r.y, r.x + r.w, r.y + r.h) for r in frame.itertuples()]
-        changed = True
-        while changed:
-            changed, done = False, []
-            for b in todo:
-                for i, o in enumerate(done):
-                    if b[0] <= o[2] and o[0] <= b[2] and b[1] <= o[3] and o[1] <= b[3]:
-                        done[i] = (min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3]))
-                        changed = True
-                        break
-                else:
-                    done.append(b)
-            todo = done
-        name = frame[image].iloc[0]
-        return pd.DataFrame([(name, a, b, c - a, d - b) for a, b, c, d in sorted(todo)], columns=[image, "x", "y", "w", "h"])
-
-    return boxes.groupBy(image).applyInPandas(run, f"{image} {kind}, x double, y double, w double, h double")
-
-
 def from_canvas(x: Column, y: Column, w: Column, h: Column, canvas_w: Column, canvas_h: Column, page_w: Column, page_h: Column) -> Column:
     """struct<x, y, w, h>: a canvas box, its origin at the top left, on a page whose origin is at the bottom left."""
     sx, sy = page_w / canvas_w, page_h / canvas_h

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.functions import places as p
+from docgrid.operators import layout
+from docgrid.operators.companies import writing_companies as resolve
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register, table
 from docgrid.plans.relational import run_sql
@@ -104,9 +106,120 @@ def bbox_overlap(s, d):
     return b.join(other, "image_id").where("n < m").where(p.overlaps(F.col("box"), F.col("other"))).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("bbox_merge", None, "F39 H7")
+@register(
+    "bbox_merge",
+    f"""with recursive b as (select row_number() over () as id, * from ({_BOX}) z), o as (select a.image_id, a.id as i, c.id as j from b a join b c on a.image_id = c.image_id and a.x <= c.x + c.w and c.x <= a.x + a.w and a.y <= c.y + c.h and c.y <= a.y + a.h),
+    r as (select image_id, i, j from o union select r.image_id, r.i, o.j from r join o on o.i = r.j), g as (select i, min(j) as c from r group by i),
+    m as (select image_id, c, min(x) as x, min(y) as y, max(x + w) as x1, max(y + h) as y1 from b join g on g.i = b.id group by image_id, c)
+    select image_id, x, y, x1 - x as w, y1 - y as h from m where not exists (select 1 from m n where n.image_id = m.image_id and n.c <> m.c and n.x <= m.x and n.y <= m.y and n.x1 >= m.x1 and n.y1 >= m.y1)""",
+    "F39",
+)
 def bbox_merge(s, d):
-    return p.merge_boxes(run_sql(s, d, _BOX).select("image_id", "x", "y", "w", "h"))
+    return layout.merge_boxes(run_sql(s, d, _BOX).select("image_id", "x", "y", "w", "h"))
+
+
+_PICTURES = "select o_orderkey as image_id, 900 as w, 700 as h from orders"
+
+
+@register(
+    "picture_parts",
+    f"""with recursive b as (select row_number() over () as id, image_id // 3 as image_id, x, y, w, h, count(*) over (partition by image_id // 3) as n from ({_BOX}) z),
+    k as (select * from b where n < 10 and w > 20 and h > 20), o as (select a.id as i, c.id as j from k a join k c on a.image_id = c.image_id and a.x <= c.x + c.w and c.x <= a.x + a.w and a.y <= c.y + c.h and c.y <= a.y + a.h),
+    r as (select i, j from o union select r.i, o.j from r join o on o.i = r.j), g as (select i, min(j) as c from r group by i),
+    m as (select image_id, c, min(x) as x, min(y) as y, max(x + w) as x1, max(y + h) as y1 from k join g on g.i = k.id group by image_id, c)
+    select image_id, x, y, x1 - x as w, y1 - y as h from m where not exists (select 1 from m n where n.image_id = m.image_id and n.c <> m.c and n.x <= m.x and n.y <= m.y and n.x1 >= m.x1 and n.y1 >= m.y1)
+    union all select image_id, 0.0, 0.0, 900.0, 700.0 from (select distinct image_id from b where n >= 10) x join (select o_orderkey from orders) q on q.o_orderkey = x.image_id""",
+    "H7",
+)
+def picture_parts(s, d):
+    boxes = run_sql(s, d, _BOX).select(F.floor(F.col("image_id") / 3).alias("image_id"), "x", "y", "w", "h")
+    return layout.picture_parts(boxes, run_sql(s, d, _PICTURES))
+
+
+#: Pages of lines made from the captured tables: labels, leaders, text between, raised signs.
+_LINES = """
+    select l_orderkey // 40 as doc_id, l_orderkey // 8 % 5 as page, l_orderkey * 10 + l_linenumber as line, case part % 9 when 0 then concat('Table ', cast(part % 20 as varchar(9)), ' Soils of') when 1 then 'erosion, wind'
+      when 2 then concat('continued ..... ', cast(part % 90 as varchar(9))) when 3 then concat('Figure ', cast(part % 7 as varchar(9)), '.', cast(supp % 3 as varchar(9)), ': Map ........ ', cast(supp % 80 as varchar(9)))
+      when 4 then 'plain text' when 5 then 'Appendix B List' when 6 then '12' when 7 then 'see Table 4' end as text, cast(supp % 4 as double) / 4 + 10 as height from captured"""
+
+
+def _lines(s, d):
+    return run_sql(s, d, with_views(_LINES).replace("//", "div"))
+
+
+_ROWS = f"""with l as ({_LINES}), m as (select doc_id, page, line, coalesce(text, '') as t, regexp_matches(coalesce(text, ''), '\\.{{2,}}') as d, regexp_matches(coalesce(text, ''), '{p.LABEL}') as b from l),
+    s as (select *, coalesce(max(case when b and not d then line end) over w, -1) > coalesce(max(case when d then line end) over w, -1) as o from m window w as (partition by doc_id, page order by line rows between unbounded preceding and 1 preceding)),
+    k as (select *, sum(case when d and not o or b and not d then 1 else 0 end) over (partition by doc_id, page order by line) as r from s where d or b or o),
+    rows_ as (select doc_id, page, r as row, string_agg(t, ' ' order by line) as text from k group by doc_id, page, r)"""
+
+
+@register("contents_rows", with_views(_ROWS + " select doc_id, page, cast(row as bigint) as row, text from rows_"), "H3")
+def contents_rows(s, d):
+    return layout.contents_rows(_lines(s, d))
+
+
+@register(
+    "contents_labels",
+    with_views(
+        _ROWS
+        + f""" select doc_id, label, title, shown_page from (select doc_id, page, row, concat(lower(regexp_extract(text, '{p.LABEL}', 2)), lower(coalesce(nullif(regexp_extract(text, '{p.LABEL}', 3), ''), regexp_extract(text, '{p.LABEL}', 4)))) as label,
+        trim(regexp_replace(split_part(text, regexp_extract(text, '{p.LABEL}', 1), 2), '(?:\\.{{2,}})+.*', '')) as title, try_cast(nullif(regexp_extract(text, '\\.{{2,}}\\s*(\\d+)\\s*$', 1), '') as int) as shown_page
+        from rows_ where regexp_matches(text, '{p.LABEL}')) x qualify row_number() over (partition by doc_id, label order by page desc, row desc) = 1"""
+    ),
+    "H3",
+)
+def contents_labels(s, d):
+    return layout.contents_labels(layout.contents_rows(_lines(s, d)))
+
+
+@register(
+    "captions_whole",
+    with_views(
+        f"""with l as ({_LINES}), m as (select doc_id, page, line, coalesce(text, '') as t, height, max(case when regexp_matches(coalesce(text, ''), '^(?:{p.LABEL})') then line end) over (partition by doc_id, page order by line) as head from l),
+        n as (select a.*, length(a.t) > 3 and a.height <> b.height as x from m a join m b on b.doc_id = a.doc_id and b.page = a.page and b.line = a.head)
+        select doc_id, page, head as line, trim(string_agg(t, ' ' order by line)) as text, count(*) as lines from n where line < coalesce((select min(z.line) from n z where z.doc_id = n.doc_id and z.page = n.page and z.head = n.head and z.x), line + 1) group by doc_id, page, head"""
+    ),
+    "H5 W11",
+)
+def captions_whole(s, d):
+    return layout.captions(_lines(s, d))
+
+
+@register("tagged_pictures", None, "H6")
+def tagged_pictures(s, d):
+    """Pictures of the pages with their captions; boxes, captions and large writing all come from the captured tables."""
+    lines = _lines(s, d)
+    label = layout.captions(lines).withColumn("cx", F.lit(200.0) + F.col("line") % 5).withColumn("cy", (F.col("line") % 700).cast("double")).withColumn("label", F.col("line"))
+    spots = run_sql(s, d, with_views("select l_orderkey div 40 as doc_id, l_orderkey div 8 % 5 as page, l_orderkey * 10 + l_linenumber as image, cast(supp % 300 as double) as x, cast(part % 600 as double) as y, case when part % 11 = 0 then 600.0 else cast(100 + supp % 9 as double) end as w, case when part % 11 = 0 then 790.0 else 80.0 end as h, part % 3 = 0 as is_table from captured where part % 4 = 1"))
+    writing = lines.select("*", F.lit(50.0).alias("y"), (F.col("height") + F.col("line") % 3).alias("font"))
+    return layout.tag_images(spots.withColumns({"page_w": F.lit(612.0), "page_h": F.lit(792.0)}), label, layout.contents_labels(layout.contents_rows(lines)), writing)
+
+
+_PAGES = """select concat('p', cast(l_orderkey as varchar(20))) as pdf_id, pos - 1 as page, case when part % 11 = 0 then '' when part % 13 = 0 then cast(null as varchar(9)) else concat(case part % 4 when 0 then 'Table  of Contents, ' when 1 then 'RE: ' else 'report ' end,
+      case when supp % 9 = 0 then concat('by SUPPLIER#', lpad(cast(supp as varchar(9)), 9, '0'), '!') when supp % 8 = 1 then concat('supplier ', lpad(cast(supp as varchar(9)), 9, '0'), ' Ltd') else 'nobody' end) end as text from spots"""
+_NAMES = "select case when s_suppkey % 2 = 0 then s_name else replace(s_name, '#', ' ') end as name from supplier"
+_FORCED, _FRONT = {5: ["Zeta", "Alpha"], 17: []}, {"p7": ["Front"]}
+
+
+@register(
+    "writing_companies",
+    with_views(
+        f"""with g as ({_PAGES}), n as (select distinct name from ({_NAMES}) z), d as (select pdf_name, filing_id, company from pdfs),
+        f as (select d.filing_id, list(distinct n.name order by n.name) as found from d join g on g.pdf_id = d.pdf_name and g.page = 0 join n on contains(replace(lower(g.text), chr(10) || chr(10), ' '), lower(n.name)) group by d.filing_id),
+        a as (select d.*, case d.filing_id when 5 then ['Alpha', 'Zeta'] when 17 then [] else f.found end as n2 from d left join f using (filing_id)),
+        w as (select pdf_id, trim(regexp_replace(string_agg(lower(coalesce(text, '')), '' order by page), '[^a-zA-Z0-9\\-&]+', ' ', 'g')) as whole, max(case when page = 1 then coalesce(text, '') end) as p1, max(case when page = 2 then coalesce(text, '') end) as p2 from g group by pdf_id),
+        k as (select pdf_id, third, trim(regexp_replace(lower(coalesce(case when third then p2 else p1 end, '')), '[^a-zA-Z0-9\\-&]+', ' ', 'g')) as t from (select *, not contains(whole, 'table of contents') or coalesce(p1, '') = '' as third from w) x),
+        h as (select k.pdf_id, k.third, list(distinct n.name order by n.name) as n3 from k join n on contains(k.t, lower(n.name)) group by k.pdf_id, k.third)
+        select a.pdf_name as pdf_id, case when a.pdf_name = 'p7' then 'prefix' when len(n2) > 0 and a.filing_id in (5, 17) then 'filing' when len(n2) > 0 then 'page 1' when h.n3 is null then 'own' when h.third then 'page 3' else 'page 2' end as step,
+          array_to_string(case when a.pdf_name = 'p7' then ['Front'] when len(n2) > 0 then n2 else coalesce(h.n3, ['In-house Consulting: ' || coalesce(a.company, '')]) end, '; ') as companies
+        from a left join h on h.pdf_id = a.pdf_name"""
+    ),
+    "X9 J18 A15 K8",
+)
+def writing_companies(s, d):
+    pdfs = run_sql(s, d, with_views("select pdf_name as pdf_id, pdf_name, filing_id, company from pdfs"))
+    out = resolve(pdfs, run_sql(s, d, with_views(_PAGES)), run_sql(s, d, _NAMES), _FORCED, _FRONT)
+    return out.withColumn("companies", F.array_join("companies", "; "))
 
 
 @register("bbox_arithmetic", f"with b as ({_BOX}) select image_id, n, least(x, w) as x1, greatest(x, w) as x2, cast(trunc(x * 612 / 1700) as int) as points, sqrt(power(x - w, 2) + power(y - h, 2)) as far, round(x * 612 / 1700, 6) as cx, round(792 - (y + h) * 792 / 2200, 6) as cy from b", "F36 F38 F40 F42 F43")

@@ -59,8 +59,3 @@ def test_record_places():
     assert p.record_places("B-027-J/094-I-11") == [(1, "NTS", "B-027-J/094-I-11", None)]
     assert p.record_places("94I-14-E11") == [(1, "NTS2", "NA-E-11/94-I-14", None)]
     assert p.record_places("nothing here") == []
-
-
-def test_boxes(spark):
-    df = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("a", 1.0, 1.0, 2.0, 2.0), ("a", 9.0, 9.0, 1.0, 1.0), ("b", 0.0, 0.0, 5.0, 5.0), ("b", 1.0, 1.0, 1.0, 1.0)], "image_id string, x double, y double, w double, h double")
-    assert sorted(tuple(r) for r in p.merge_boxes(df).collect()) == [("a", 0, 0, 3, 3), ("a", 9, 9, 1, 1), ("b", 0, 0, 5, 5)]
