@@ -206,18 +206,68 @@ def heading(line: Column) -> Column:
     return F.when(kind != "", F.struct(F.lower(kind).alias("kind"), ident.alias("id")))
 
 
+#: How a caption begins, and what keeps a line from being one.
+CAPTION_WORDS = ("Table", "TABLE", "FIGURE", "FIGURES", "Figure", "Figures", "IMAGE", "IMAGES", "Image", "Images", "PHOTO", "PHOTOS", "Photo", "Photos")
+NO_CAPTION = ("...", "Table of Content", "TABLE OF CONTENTS", "Table des matières", "TABLE DES MATIÈRES")
+#: Titles of contents pages.
+CONTENTS_TITLES = ("table of contents", "list of plates", "list of figures", "list of photos", "list of images", "list of tables", "list of appendices")
+
+
 def captions(lines: DataFrame, doc: str, page: str, line: str, text: str) -> DataFrame:
-    """[L13] Lines that begin like a caption, with the line after them."""
-    w = Window.partitionBy(doc, page).orderBy(line)
-    out = lines.withColumn("following", F.lead(text).over(w))
-    return out.where(F.col(text).rlike(r"(?i)^\s*(table|figure|image|photo)s?\b"))
+    """[L13] Lines that begin like a caption, with the line after them, on the next page too.
+
+    Line breaks don't count, nor do words of up to two characters at the front.
+    """
+    flat = F.regexp_replace(F.col(text), r"[\n\r]", "")
+    words = F.array_join(F.filter(F.split(flat, " "), lambda t: F.length(t) > 2), " ")
+    out = lines.withColumn("following", F.lead(F.regexp_replace(F.regexp_replace(F.col(text), "\n", " "), "\r", "")).over(Window.partitionBy(doc).orderBy(page, line)))
+    begins, barred = F.lit(False), F.lit(False)
+    for word in CAPTION_WORDS:
+        begins = begins | words.startswith(word)
+    for word in NO_CAPTION:
+        barred = barred | F.col(text).contains(word)
+    return out.where(begins & ~barred)
 
 
 def contents_pages(lines: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """[H2, W9] Pages of a table of contents: the first run of pages with many dotted lines or with its title."""
-    stats = lines.groupBy(doc, page).agg(F.avg(F.col(text).rlike(r"\.{4,}").cast("int")).alias("dotted"), F.max(F.lower(text).contains("table of contents")).alias("titled"))
-    hit = stats.where("dotted > 0.3 or titled").withColumn("gap", F.col(page) - F.row_number().over(Window.partitionBy(doc).orderBy(page)))
-    return hit.withColumn("first", F.min("gap").over(Window.partitionBy(doc))).where("gap = first").select(doc, page)
+    """[H2, W9] (doc, page): the pages of the table of contents.
+
+    A page with a title of such a table, or with a line that is dots for more
+    than 0.3 of it, is certain. From the first of these on, a page also counts
+    if it has more than ten lines and more than 0.3 of them end in a number.
+    The first run of consecutive pages is the table.
+    """
+    low = F.trim(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    titled = F.lit(False)
+    for title in CONTENTS_TITLES:
+        titled = titled | low.contains(title)
+    dots = F.length(low) - F.length(F.regexp_replace(low, r"\.{2,}", ""))
+    sure = F.coalesce((F.length(low) > 0) & (titled | (dots > 0.3 * F.length(low))), F.lit(False))
+    stats = lines.groupBy(doc, page).agg(F.max(sure).alias("sure"), F.count(F.lit(1)).alias("n"), F.count_if(low.rlike(r"\d+\z")).alias("ends"))
+    w = Window.partitionBy(doc).orderBy(page)
+    begun = stats.withColumn("begun", F.max("sure").over(w)).where("begun and (sure or (n > 10 and ends > 0.3 * n))")
+    runs = begun.withColumn("gap", F.col(page) - F.row_number().over(w))
+    return runs.withColumn("first", F.min("gap").over(Window.partitionBy(doc))).where("gap = first").select(doc, page)
+
+
+def outline_rows(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """[S19] (doc, title, page, level, place): a document's outline as rows, in reading order.
+
+    ``nodes`` has doc, node, parent (null at the top), position among its
+    siblings, title, page. Levels count from 0. A recursive query, one step for
+    each level; nodes that hang on nothing, or on each other, don't appear.
+    """
+    nodes.select(F.col(doc).alias("doc"), "node", "parent", F.format_string("%09d", F.col("position").cast("long")).alias("at"), "title", "page").createOrReplaceTempView("__outline")
+    try:
+        out = nodes.sparkSession.sql(
+            """with recursive tree(doc, node, title, page, level, path) as (
+              select doc, node, title, page, 0, at from __outline where parent is null
+              union all select n.doc, n.node, n.title, n.page, t.level + 1, concat(t.path, '.', n.at) from tree t join __outline n on n.doc = t.doc and n.parent = t.node)
+            select doc, title, page, level, path from tree"""
+        )
+    finally:
+        nodes.sparkSession.catalog.dropTempView("__outline")
+    return out.select(F.col("doc").alias(doc), "title", "page", "level", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))
 
 
 # boxes: struct<x, y, w, h>

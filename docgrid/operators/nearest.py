@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.shared import forget, written
+
 #: Bytes of a block of queries with the rows kept for them: what the driver sends, and a task holds beside a batch.
 BLOCK_BYTES = 32 << 20
 #: Rows and values on which an index is fitted, at most.
@@ -139,6 +141,21 @@ def _first(table: pa.Table, k: int) -> pa.Table:
     return table.filter(pa.array(place < k))
 
 
+class SimilarityCache:
+    """[N16] The nearest of every vector, found once and written sorted by vector; a look-up reads the row groups that hold it."""
+
+    def __init__(self, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> None:
+        top = cosine_top(vectors, vectors, k, key, vector)
+        self.table, self._where = written(top.repartitionByRange("q", "place").sortWithinPartitions("q", "place"), "similar")
+
+    def of(self, *keys: object) -> DataFrame:
+        """(q, id, similarity, place) of these vectors; none for one that isn't there."""
+        return self.table.where(F.col("q").isin(*keys)) if keys else self.table
+
+    def forget(self) -> None:
+        forget(self.table.sparkSession, self._where)
+
+
 def recall(vectors: DataFrame, queries: DataFrame, k: int, lists: Lists, key: str = "vec_id", vector: str = "embedding") -> float:
     """The share of the exact k nearest that the index finds."""
     exact, found = (cosine_top(vectors, queries, k, key, vector, x).select("q", "id") for x in (None, lists))

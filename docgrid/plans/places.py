@@ -84,16 +84,39 @@ def caption_labels(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", p.heading(line).alias("h")).select("l_orderkey", "l_linenumber", "h.kind", "h.id")
 
 
-@register("caption_lines", "select conv_id, turn, nxt as following from (select *, lead(turn) over (partition by conv_id order by turn) as nxt from conversations) c where role = 'user'", "L13 W10")
+_TURNS = "concat(case turn % 4 when 0 then 'a Table' when 1 then 'of Figures' when 2 then 'Photo...' else 'TABLE OF CONTENTS' end, ' ', cast(turn as varchar(9)), chr(10), role)"
+
+
+@register("caption_lines", f"select conv_id, turn, replace(nxt, chr(10), ' ') as following from (select *, lead({_TURNS}) over (partition by conv_id order by turn) as nxt from conversations) c where turn % 4 < 2", "L13 W10")
 def caption_lines(s, d):
-    lines = table(s, d, "conversations").select("conv_id", F.lit(1).alias("page"), "turn", F.when(F.col("role") == "user", "Table 1").otherwise("x").alias("t"))
-    return p.captions(lines.withColumn("turn_text", F.concat("t", F.lit(" "), "turn")), "conv_id", "page", "turn", "turn_text").select("conv_id", "turn", F.regexp_extract("following", r"(\d+)$", 1).try_cast("long").alias("following"))
+    lines = table(s, d, "conversations").select("conv_id", F.floor(F.col("turn") / 3).alias("page"), "turn", F.expr(_TURNS.replace("varchar(9)", "string")).alias("t"))
+    return p.captions(lines, "conv_id", "page", "turn", "t").select("conv_id", "turn", "following")
+
 
+#: Pages with many short lines; some have leaders, some a title, most lines of some end in a number.
+_CONTENTS = """
+    select l_orderkey // 40 as doc_id, l_orderkey // 8 % 5 as page, case when part % 97 = 0 then 'List of Tables' when part % 41 = 0 then 'Soils ......... 12' when l_orderkey // 8 % 2 = 0 and supp % 3 > 0 then concat('Soils ', cast(part as varchar(9))) when supp % 7 = 0 then '  ' else 'end of line. ' end as text
+    from captured"""
 
-@register("toc_pages", "select l_orderkey, l_linenumber as page from (select l_orderkey, l_linenumber, g, min(g) over (partition by l_orderkey) as m from (select l_orderkey, l_linenumber, l_linenumber - row_number() over (partition by l_orderkey order by l_linenumber) as g from (select distinct l_orderkey, l_linenumber from lineitem group by l_orderkey, l_linenumber having avg(case when l_returnflag = 'R' then 1.0 else 0.0 end) > 0.3) a) b) c where g = m", "H2 H3 W9")
+
+@register(
+    "toc_pages",
+    with_views(
+        f"""with l as (select doc_id, page, trim(lower(text)) as t from ({_CONTENTS}) z), g as (select doc_id, page, bool_or(t <> '' and (contains(t, 'list of tables') or (length(t) - length(regexp_replace(t, '\\.{{2,}}', '', 'g'))) > 0.3 * length(t))) as sure, count(*) as n, count(case when regexp_matches(t, '[0-9]$') then 1 end) as ends from l group by doc_id, page),
+        b as (select *, page - row_number() over (partition by doc_id order by page) as gap from g where (sure or (n > 10 and ends > 0.3 * n)) and page >= (select min(x.page) from g x where x.doc_id = g.doc_id and x.sure))
+        select doc_id, page from b where gap = (select min(c.gap) from b c where c.doc_id = b.doc_id)"""
+    ),
+    "H2 W9",
+)
 def toc_pages(s, d):
-    lines = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") == "R", "Soils ..... 12").otherwise("text").alias("t"))
-    return p.contents_pages(lines, "l_orderkey", "page", "t")
+    return p.contents_pages(run_sql(s, d, with_views(_CONTENTS).replace("//", "div")), "doc_id", "page", "text")
+
+
+@register("outline_rows", with_views("select pdf_name as doc_id, table_id as title, page, level - 1 as level, row_number() over (partition by pdf_name order by pos) as place from doc_tables"), "S19")
+def outline_rows(s, d):
+    """Chains of tables as an outline: a chain's head on top, each page below the one before."""
+    nodes = run_sql(s, d, with_views("select pdf_name as doc_id, table_id as node, parent_id as parent, pos as position, table_id as title, page from doc_tables"))
+    return p.outline_rows(nodes)
 
 
 _BOX = "select l_orderkey as image_id, l_linenumber as n, cast(l_partkey % 50 as double) as x, cast(l_suppkey % 40 as double) as y, cast(l_quantity as double) as w, cast(l_quantity / 2 as double) as h from lineitem"

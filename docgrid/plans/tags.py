@@ -116,7 +116,29 @@ def systemops_flat(s, d):
     return out.select("short_title", "company", "filed", "head_id", "row_index", "content", "grain", "row_counter", "status", "loc_text", "nrcan")
 
 
-@register("merge_suffixes", with_views("select a.table_id, a.row_index, a.status as status_x, b.status as status_y, a.content, b.issue_parsed from issues a left join parsed b on b.table_id = a.table_id and b.row_index = a.row_index"), "J14 Q46")
+def _without(spark: SparkSession, sf_dir: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """[Q46] ``rows`` that have no sub-label by ``keys``, once each, with all their labels in one text."""
+    bare = rows.join(_view(spark, sf_dir, "sub_labels").where("sub_vec is not null").select(*keys), keys, "left_anti")
+    vecs = _view(spark, sf_dir, "word_labels").select(*keys, F.coalesce("vec", F.lit("")).alias("vec")).distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("vec")), ", ").alias("vecs"))
+    return bare.dropDuplicates(keys).join(vecs, keys, "left").withColumn("vecs", F.coalesce("vecs", F.lit("")))
+
+
+_BARE = """with r as (select distinct {keys}, {rest}, coalesce(w.vec, '') as vec from {of} left join sub_labels s on {s} left join word_labels w on {w} where s.sub_vec is null {more})
+    select {plain}, string_agg(vec, ', ' order by vec) as vecs from r group by {plain}"""
+_ROW = "{0}.table_id = i.table_id and {0}.row_index = i.row_index"
+
+
+@register("without_sublabels", with_views(_BARE.format(keys="i.table_id, i.row_index", rest="i.vec_pri, i.issue_pri", of="issues i left join parsed p on p.table_id = i.table_id and p.row_index = i.row_index", s=_ROW.format("s"), w=_ROW.format("w"), more="and i.status is not null", plain="table_id, row_index, vec_pri, issue_pri")), "Q46 A14 W4")
+def without_sublabels(s, d):
+    return _without(s, d, _view(s, d, "issues", "table_id, row_index, vec_pri, issue_pri, status").where("status is not null").drop("status"), ["table_id", "row_index"])
+
+
+@register("without_sublabels_parsed", with_views(_BARE.format(keys="i.table_id, i.row_index, i.row_counter", rest="i.issue_parsed", of="parsed i", s=_ROW.format("s") + " and s.row_counter = i.row_counter", w=_ROW.format("w") + " and w.row_counter = i.row_counter", more="", plain="table_id, row_index, row_counter, issue_parsed")), "Q46 A14 W4")
+def without_sublabels_parsed(s, d):
+    return _without(s, d, _view(s, d, "parsed", "table_id, row_index, row_counter, issue_parsed"), ["table_id", "row_index", "row_counter"])
+
+
+@register("merge_suffixes", with_views("select a.table_id, a.row_index, a.status as status_x, b.status as status_y, a.content, b.issue_parsed from issues a left join parsed b on b.table_id = a.table_id and b.row_index = a.row_index"), "J14")
 def merge_suffixes(s, d):
     """A left merge on keys; columns of both sides of one name get _x and _y."""
     left, right, on = _view(s, d, "issues", "table_id, row_index, status, content"), _view(s, d, "parsed", "table_id, row_index, status, issue_parsed"), ["table_id", "row_index"]

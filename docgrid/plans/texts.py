@@ -208,6 +208,11 @@ def cosine_topk(s, d):
     return nearest.cosine_top(e, e.where("vec_id % 100 = 0"), 18).withColumn("similarity", F.round("similarity", 5))
 
 
+@register("similarity_cache", "select q.vec_id as q, e.vec_id as id, cast(row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) desc, e.vec_id) as int) as place from embeddings q join embeddings e on q.vec_id <> e.vec_id qualify place <= 3", "N16 O6")
+def similarity_cache(s, d):
+    return nearest.SimilarityCache(table(s, d, "embeddings"), 3).of().select("q", "id", "place")
+
+
 @register("dictionary_curation", with_views("select distinct * from (select case vec when 'ASIA' then 'EUROPE' else vec end as label, phrase from keywords union all select 'AFRICA', 'kenya' union all select 'NEW', 'fresh') x where not (label = 'EUROPE' and phrase = 'nation_7')"), "U5 X8")
 def dictionary_curation(s, d):
     words = run_sql(s, d, with_views("select vec as label, phrase from keywords"))

@@ -59,3 +59,22 @@ def test_record_places():
     assert p.record_places("B-027-J/094-I-11") == [(1, "NTS", "B-027-J/094-I-11", None)]
     assert p.record_places("94I-14-E11") == [(1, "NTS2", "NA-E-11/94-I-14", None)]
     assert p.record_places("nothing here") == []
+
+
+def test_contents_pages(spark):
+    pages = {0: ["cover", "12"], 1: ["x", "List of Figures"], 2: [f"soils {i}" for i in range(11)], 3: [f"soils {i}" for i in range(10)], 4: ["a ...."], 6: ["b ......"]}
+    df = spark.createDataFrame([("d", p_, i, t) for p_, ts in pages.items() for i, t in enumerate(ts)] + [("e", 0, 0, "soils 1"), ("e", 1, 0, None)], "doc_id string, page int, line int, text string")
+    assert sorted(tuple(r) for r in p.contents_pages(df, "doc_id", "page", "text").collect()) == [("d", 1), ("d", 2)]
+
+
+def test_captions(spark):
+    lines = [(1, 0, "A Table 4\nof soils"), (1, 1, "Figure ... 2"), (2, 0, "to Photos\nfrom"), (2, 1, "Table of Contents"), (2, 2, "a table"), (2, 3, None)]
+    df = spark.createDataFrame([("d", *x) for x in lines], "doc string, page int, line int, text string")
+    assert [(r.page, r.line, r.following) for r in p.captions(df, "doc", "page", "line", "text").collect()] == [(1, 0, "Figure ... 2"), (2, 0, "Table of Contents")]
+
+
+def test_outline(spark):
+    nodes = [("d", 1, None, 2, "two", 9), ("d", 2, None, 1, "one", 3), ("d", 3, 2, 10, "late", 5), ("d", 4, 2, 2, "early", 4), ("d", 5, 4, 1, "deep", 4), ("d", 6, 99, 1, "lost", 1), ("e", 1, None, 1, "own", 1)]
+    df = spark.createDataFrame(nodes, "doc_id string, node int, parent int, position int, title string, page int")
+    got = [tuple(r) for r in p.outline_rows(df).orderBy("doc_id", "place").collect()]
+    assert got == [("d", "one", 3, 0, 1), ("d", "early", 4, 1, 2), ("d", "deep", 4, 2, 3), ("d", "late", 5, 1, 4), ("d", "two", 9, 0, 5), ("e", "own", 1, 0, 1)]
