@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +12,24 @@ NAMED = r"(?i)(lat|long|latitude|longitude)[:\s]+(-?\d{1,3}(?:\.\d+))"
 DMS = r"(\d{1,3}(?:\.\d+)?)[°](\d+(?:\.\d+)?)['’](\d+(?:\.\d+)?)['\"’”]+([NWSE])"
 DLS = r"(?<lsd>(?:1[1-6]|0?[1-9])(?=[^a-zA-Z0-9])|(?:NW|NE|SW|SE))?[^a-zA-Z0-9]?(?<section>\d{1,3})(?<delim>[^a-zA-Z0-9])(?<township>\d{1,3})\k<delim>(?<range>\d{1,3})\s*[^a-zA-Z0-9]?W[^a-zA-Z0-9]?(?<meridian>[0-9P])M?"
 NTS = r"([a-dA-D])(?<delim>[^a-zA-Z0-9])(\d{1,3})\k<delim>([a-lA-L])[^a-zA-Z0-9](\d{1,3})\k<delim>([a-pA-P])\k<delim>(1[1-6]|0?[1-9])"
+#: Fixed forms of a record's places, in the order in which they are read: kind, shown format, pattern.
+RECORD_FORMS = (
+    ("NTS", "NTS", r"([a-dA-D])([^a-zA-Z0-9])(\d{1,3})([^a-zA-Z0-9])([a-lA-L])([^a-zA-Z0-9])(\d{1,3})([^a-zA-Z0-9])([a-pA-P])([^a-zA-Z0-9])(1[1-6]|0?[1-9])"),
+    ("NTS1_2", "NTS", r"([a-dA-D])(\d{1,3})([a-lA-L])([^a-zA-Z0-9])(\d{1,3})([a-pA-P])(\d{1,3})"),
+    ("NTS1_3", "NTS2", r"(\d{1,3})([^a-zA-Z0-9])([a-lA-L])([^a-zA-Z0-9])(\d{1,3})([^a-zA-Z0-9])([a-pA-P])([^a-zA-Z0-9])(\d{1,3})"),
+    ("NTS2", "NTS2", r"(\d{1,3})([a-zA-Z])([^a-zA-Z0-9])(\d{1,3})([^a-zA-Z0-9])([a-zA-Z])(\d{1,3})"),
+    ("NTS3", "NTS", r"([a-z])([^a-zA-Z0-9])(\d{1,3})([^a-zA-Z0-9])([A-Z])([^a-zA-Z0-9])(\d{1,3})([A-Z])(\d{1,3})"),
+    ("DLS", "DLS", DLS.replace(r"W[^a-zA-Z0-9]?(?<meridian>[0-9P])M?", r"(W[^a-zA-Z0-9]?(?<meridian>[0-9P])M?|\s*)")),
+)
+#: How many groups a form has, and its text: group numbers (# as a whole number), = before plain characters.
+RECORD_GROUPS = {"NTS": 11, "NTS1_2": 7, "NTS1_3": 9, "NTS2": 7, "NTS3": 9, "DLS": 7}
+RECORD_TEXT = {
+    "NTS": ("1", "=-", "#3", "=-", "5", "=/", "#7", "=-", "9", "=-", "#11"),
+    "NTS1_2": ("1", "=-", "#2", "=-", "3", "=/", "#5", "=-", "6", "=-", "#7"),
+    "NTS1_3": ("=NA-", "#1", "=-", "3", "=/", "#5", "=-", "7", "=-", "#9"),
+    "NTS2": ("=NA-", "6", "=-", "#7", "=/", "#1", "=-", "2", "=-", "#4"),
+    "NTS3": ("1", "=-", "#3", "=-", "5", "=/", "#7", "=-", "8", "=-", "#9"),
+}
 MLV = r"MLV\)?(\d+)(?:\+(\d+(?:\.\d+)?)(km|m)?)?"
 HEADINGS = ("plate", "figure", "photo", "image", "table", "appendix")
 LABEL = r"(?i)((" + "|".join(HEADINGS) + r"):?(?:(?:\s*((?:\d+(?:[.\-]?\d+)*)|(?:[a-z](?:[.\-]?\d+)+)))|(?:\s+([a-z])(?:$|[^a-z]))))"
@@ -159,44 +173,76 @@ def histogram(places: DataFrame, doc: str, text: str, page: str) -> DataFrame:
     return places.groupBy(doc, text).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(page)).alias("pages"))
 
 
-_RECORD = [
-    ("DLS", re.compile(r"(?P<lsd>(?:1[1-6]|0?[1-9])(?=[^a-zA-Z0-9])|(?:NW|NE|SW|SE))?[^a-zA-Z0-9]?(?P<section>\d{1,3})(?P<delim>[^a-zA-Z0-9])(?P<township>\d{1,3})(?P=delim)(?P<range>\d{1,3})\s*[^a-zA-Z0-9]?(?:W[^a-zA-Z0-9]?(?P<meridian>[0-9P])M?)?"), lambda m, d: "-".join(x for x in (m["lsd"], m["section"], m["township"], m["range"], "W" + (m["meridian"] or d or "?") + "M") if x)),
-    ("NTS", re.compile(r"([a-dA-D])[^a-zA-Z0-9](\d{1,3})[^a-zA-Z0-9]([a-lA-L])[^a-zA-Z0-9](\d{1,3})[^a-zA-Z0-9]?([a-pA-P])[^a-zA-Z0-9]?(1[1-6]|0?[1-9])"), lambda m, d: f"{m[1]}-{m[2]}-{m[3]}/{m[4]}-{m[5]}-{m[6]}"),
-    ("NTS2", re.compile(r"(\d{1,3})([a-pA-P])[^a-zA-Z0-9](\d{1,3})[^a-zA-Z0-9]([a-lA-L])(\d{1,3})"), lambda m, d: f"NA-{m[4]}-{m[5]}/{m[1]}-{m[2]}-{m[3]}"),
-    ("NTS2", re.compile(r"(?<![a-dA-D][^a-zA-Z0-9])(\d{1,3})[^a-zA-Z0-9]([a-lA-L])[^a-zA-Z0-9](\d{1,3})[^a-zA-Z0-9]?([a-pA-P])[^a-zA-Z0-9]?(\d{1,3})"), lambda m, d: f"NA-{m[1]}-{m[2]}/{m[3]}-{m[4]}-{m[5]}"),
-]
-
+def _formatted(kind: str, found: Column, form: str, meridian: Column) -> tuple[Column, Column, Column]:
+    """(text, whether it is too little for a place, whether it should be looked at) of a match of a record's form."""
+    g = lambda i: F.regexp_extract(found, form, i)
+    n = lambda i: g(i).cast("int").cast("string")
+    no = F.lit(False)
+    if kind == "DLS":
+        w = F.when(g(7) != "", g(7)).otherwise(F.coalesce(F.nullif(F.substring(meridian, 2, 1), F.lit("")), F.lit("?")))
+        return F.concat_ws("-", g(1), n(2), n(4), n(5), F.concat(F.lit("W"), w, F.lit("M"))), (g(1) == "") & (g(7) == ""), F.length(g(1)) != 2
+    return F.concat(*(F.lit(x[1:]) if x[0] == "=" else n(int(x[1:])) if x[0] == "#" else g(int(x)) for x in RECORD_TEXT[kind])), no, no
 
-def record_places(text: str, meridian: str | None = None) -> list[tuple[int, str, str, str | None]]:
-    """[L10] (number, format, start, end) of the places of one record; 'A to B' and 'A:B' are a range.
 
-    '1/4 Sec' reads as a dash. ``meridian`` stands in where a survey place has none.
-    """
-    raw = re.sub(r"\s+", "", text).replace("1/4Sec", "-")
-    out = []
-    for kind, pattern, form in _RECORD:
-        found = list(pattern.finditer(raw))
-        i = 0
-        while i < len(found):
-            start, end = form(found[i], meridian), None
-            between = raw[found[i].end() - 1 : found[i].end() + 4]
-            if i + 1 < len(found) and ("to" in between or ":" in between):
-                i += 1
-                end = form(found[i], meridian)
-            out.append((len(out) + 1, kind, start, end))
-            i += 1
-        raw = pattern.sub(lambda m: " " * len(m[0]), raw)
-    return out
+def _entry(kind: str, shown: str, pattern: str, rests: Column, meridian: Column):
+    """What the i-th match of a form comes to; ``rests`` has the text behind each."""
 
+    def entry(m: Column, i: Column) -> Column:
+        rest = F.concat(F.right(m, F.lit(1)), F.get(rests, i))
+        near, after = F.substring(rest, 1, 6), F.regexp_extract(rest, f"({pattern})", 1)
+        start, little, odd = _formatted(kind, m, pattern, meridian)
+        end, _, odd_end = _formatted(kind, after, pattern, meridian)
+        ranged = (near.contains("to") | near.contains(":")) & (after != "")
+        return F.struct((i + 1).alias("no"), F.lit(shown).alias("format"), start.alias("start"), F.when(ranged, end).alias("end"), (odd | (ranged & odd_end)).alias("odd"), little.alias("little"))
 
-def extract_places(text: Column, meridian: Column) -> Column:
-    """[L10, L11] array<struct<no, format, start, end>>; empty where a text has no known form."""
+    return entry
 
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, meridians in parts:
-            yield pd.Series([[{"no": n, "format": k, "start": a, "end": b} for n, k, a, b in record_places(x or "", m)] for x, m in zip(texts, meridians)], dtype=object)
 
-    return F.pandas_udf(run, "array<struct<no:int,format:string,start:string,end:string>>")(text, meridian)
+def extract_places(text: Column, meridian: Column) -> Column:
+    """[L10] array<struct<no, format, start, end, check>>: the places of a record, form by form; null: none.
+
+    White space doesn't count; in a survey place '1/4Sec' reads as a dash. 'to'
+    or a colon in the last character of a place and the five after it make a
+    range: the next place is its end and has no entry of its own (if none of its
+    form follows, the next one of whatever form is passed over). ``no`` counts
+    all places of a form. Sheets without a quarter unit are looked for only
+    where no whole place is. A survey place needs a subdivision or a meridian;
+    the second character of ``meridian`` stands in for a missing one. ``check``
+    marks survey places from the first on whose subdivision isn't of two letters.
+    """
+    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    entries, whole = [], None
+    for kind, shown, pattern in RECORD_FORMS:
+        source = F.regexp_replace(raw, "1/4Sec", "-") if kind == "DLS" else raw
+        both = f"({pattern})(?=(.*))"
+        found = F.regexp_extract_all(source, F.lit(both), F.lit(1))
+        rests = F.regexp_extract_all(source, F.lit(both), F.lit(RECORD_GROUPS[kind] + 2))
+        if kind == "NTS":
+            whole = found
+        if kind == "NTS1_3":
+            found = F.when(F.size(whole) == 0, found).otherwise(F.array().cast("array<string>"))
+
+        entries.append(F.transform(found, _entry(kind, shown, pattern, rests, meridian)))
+    empty = F.array().cast("array<struct<no:int,format:string,start:string,end:string,check:boolean>>")
+    first = F.struct(F.lit(False).alias("skip"), F.lit(False).alias("check"), empty.alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        check = state["check"] | x["odd"]
+        one = F.struct(x["no"].alias("no"), x["format"].alias("format"), x["start"].alias("start"), x["end"].alias("end"), check.alias("check"))
+        taken = F.struct(x["end"].isNotNull().alias("skip"), check.alias("check"), F.concat(state["out"], F.array(one)).alias("out"))
+        skipped = F.struct(F.lit(False).alias("skip"), state["check"].alias("check"), state["out"].alias("out"))
+        return F.when(state["skip"], skipped).when(x["little"], state).otherwise(taken)
+
+    return F.aggregate(F.concat(*entries), first, step, lambda state: state["out"])
+
+
+def unknown_place(text: Column) -> Column:
+    """[L11] Whether a text of more than two characters has none of the forms."""
+    raw = F.regexp_replace(text, r"\s+", "")
+    none = F.lit(True)
+    for kind, _, pattern in RECORD_FORMS:
+        none = none & ~(F.regexp_replace(raw, "1/4Sec", "-") if kind == "DLS" else raw).rlike(pattern)
+    return F.coalesce(none & (F.length(text) > 2) & (text != "None"), F.lit(False))
 
 
 def heading(line: Column) -> Column:

@@ -63,11 +63,30 @@ def latlong_parse(s, d):
     return _parts(s, d).select("table_id", F.get(p.lat_longs(t), F.lit(0)).alias("at")).select("table_id", F.round("at.n", 4).alias("n"), F.round("at.w", 4).alias("w"))
 
 
-@register("location_ranges", None, "L10 L11")
+_Q, _TO = "case supp % 4 when 0 then 'NW' when 1 then 'NE' when 2 then 'SW' else 'SE' end", "section % 30 + 1"
+
+
+@register(
+    "location_ranges",
+    _sql(
+        f""", sheets as (select *, case when lsd = 10 then 1 else lsd end as sheet from parts) select table_id, 1 as no, case when k = 2 then 'NTS' else 'DLS' end as format, case when k = 2 then concat('b-', rng, '-J/', township, '-I-', sheet) else concat('SW-', section, '-', township, '-', rng, '-W', meridian, 'M') end as start,
+          case when k = 1 then concat('NE-', {_TO}, '-', township, '-', rng, '-W', meridian, 'M') when k = 2 and lsd % 3 = 0 then concat('C-', section, '-A/', rng, '-P-', sheet) end as "end", false as check from (select *, lsd % 4 as k from sheets) a where k < 3
+        union all select table_id, 2, 'NTS', concat('C-', section, '-A/', rng, '-P-', sheet), null, false from sheets where lsd % 4 = 2 and lsd % 3 <> 0
+        union all select table_id, 1, 'NTS2', concat('NA-E-', section, '/', rng, '-I-', lsd), null, false from parts where lsd % 4 = 3"""
+    ),
+    "L10 L11",
+)
 def location_ranges(s, d):
-    t = F.concat(F.format_string("SW 1/4 Sec %d-%d-%d-W%d", "section", "township", "rng", "meridian"), F.when(F.col("lsd") % 2 == 0, F.format_string(" to NE-%d-%d-%d-W%d", F.col("section") % 30 + 1, F.col("township"), F.col("rng"), F.col("meridian"))).otherwise(F.lit("")))
-    found = _parts(s, d).withColumn("x", p.extract_places(t, F.lit(None).cast("string")))
-    return found.select("table_id", F.explode("x").alias("x")).select("table_id", "x.no", "x.format", "x.start", "x.end")
+    k, c = F.col("lsd") % 4, F.col
+    survey = F.format_string("SW 1/4 Sec %d-%d-%d-W%d", "section", "township", "rng", "meridian")
+    text = (
+        F.when(k == 0, survey)
+        .when(k == 1, F.concat(survey, F.format_string(" to NE-%d-%d-%d-W%d", c("section") % 30 + 1, c("township"), c("rng"), c("meridian"))))
+        .when(k == 2, F.concat(F.format_string("b-%03d-J/%d-I-%02d", "rng", "township", "lsd"), F.when(c("lsd") % 3 == 0, " : ").otherwise(" and so it goes "), F.format_string("C-%d-A/%d-P-%d", "section", "rng", "lsd")))
+        .otherwise(F.format_string("%dI-%02d-E%d", "rng", "lsd", "section"))
+    )
+    found = _parts(s, d).select("table_id", F.explode(p.extract_places(text, F.lit("W5M"))).alias("x"))
+    return found.select("table_id", "x.*")
 
 
 @register("location_histogram", with_views("select loc_format as doc, loc_text as txt, count(*) as n, string_agg(cast(loc_no as varchar), ',' order by loc_no) as pages from locations group by 1, 2"), "L12 A20 K18")

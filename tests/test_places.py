@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,12 +54,54 @@ def test_survey_place_on_the_map(spark):
     assert math.isclose(got.n, 56 + 0.5 / 120) and math.isclose(got.w, 120 + 0.25 / 160)
 
 
-def test_record_places():
-    assert p.record_places("SW 1/4 Sec 14-78-23 W6M") == [(1, "DLS", "SW-14-78-23-W6M", None)]
-    assert p.record_places("NW-8-30-4-W4 to NE-9-30-4-W4") == [(1, "DLS", "NW-8-30-4-W4M", "NE-9-30-4-W4M")]
-    assert p.record_places("B-027-J/094-I-11") == [(1, "NTS", "B-027-J/094-I-11", None)]
-    assert p.record_places("94I-14-E11") == [(1, "NTS2", "NA-E-11/94-I-14", None)]
-    assert p.record_places("nothing here") == []
+def plain_places(text, meridian):
+    """Match after match with ``re``, as a reader would."""
+    raw = re.sub(r"\s+", "", text or "")
+    out, skip, check = [], False, False
+    for kind, shown, pattern in p.RECORD_FORMS:
+        pattern = re.compile(re.sub(r"\\k<(\w+)>", r"(?P=\1)", re.sub(r"\(\?<(\w)", r"(?P<\1", pattern)))
+        source = raw.replace("1/4Sec", "-") if kind == "DLS" else raw
+        if kind == "NTS1_3" and re.search(p.RECORD_FORMS[0][2], raw):
+            continue
+
+        def form(m):
+            if kind == "DLS":
+                return f"{m[1] or ''}-{int(m[2])}-{int(m[4])}-{int(m[5])}-W{m[7] or (meridian or '')[1:2] or '?'}M"
+            g = {"NTS": (1, 3, 5, 7, 9, 11), "NTS1_2": (1, 2, 3, 5, 6, 7), "NTS1_3": (0, 1, 3, 5, 7, 9), "NTS2": (0, 6, 7, 1, 2, 4), "NTS3": (1, 3, 5, 7, 8, 9)}[kind]
+            v = ["NA" if i == 0 else str(int(m[i])) if m[i].isdigit() else m[i] for i in g]
+            return f"{v[0]}-{v[1]}-{v[2]}/{v[3]}-{v[4]}-{v[5]}"
+
+        for no, m in enumerate(pattern.finditer(source), 1):
+            if skip:
+                skip = False
+                continue
+            if kind == "DLS" and not m[1] and not m[7]:
+                continue
+            near, end = source[m.end() - 1 : m.end() + 5], None
+            check = check or kind == "DLS" and len(m[1] or "") != 2
+            if ("to" in near or ":" in near) and (then := pattern.search(source[m.end() - 1 :])):
+                end, skip = form(then), True
+                check = check or kind == "DLS" and len(then[1] or "") != 2
+            out.append((no, shown, form(m), end, check))
+    return out
+
+
+def test_record_places(spark):
+    import random
+
+    rng = random.Random(6)
+    samples = [
+        "SW 1/4 Sec 14-78-23 W6M", "NW-8-30-4-W4 to NE-9-30-4-W4", "B-027-J/094-I-11", "94I-14-E11", "a‑90‑I/94O11", "a1A/94H8", "B 025 K/094 I 11", "41-H/94-I-9", "b-1-C/94-H-2 : c-2-D/94-H-3", "41-H/94-I-9 to 42-H/94-I-10",
+        "017-838-967", "12-5-30-4 W4: 3-6-30-4", "5-30-4-W5M", "P 42+134) NW-8-30-4-W4<s>2</s>ite #42 on Figure 2 014-925-681 (SW 1/4 Sec 14-78-23 W6M)", "a-1-B/2-C-3 to", "94I-14-E11:NE-5-30-4-W5", "nothing here", "", "1-1-1", "to:to",
+    ]
+    texts = samples + ["".join(rng.choice([*samples[:12], " to ", ":", " ", "x", "; "]) for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    rows = [(i, t, rng.choice(["W5M", None, "", "W"])) for i, t in enumerate(texts)] + [(900, None, None)]
+    df = spark.createDataFrame(rows, "i int, t string, m string")
+    got = {r.i: ([tuple(x) for x in r.x], r.u) for r in df.select("i", p.extract_places(F.col("t"), F.col("m")).alias("x"), p.unknown_place(F.col("t")).alias("u")).collect()}
+    for i, t, m in rows:
+        assert got[i][0] == plain_places(t, m), (t, m)
+    assert got[5][0] == [(1, "NTS", "a-1-A/94-H-8", None, False)]
+    assert [r[0] for r in rows if got[r[0]][1]][:2] == [16, 19]
 
 
 def test_contents_pages(spark):
