@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.llm.common import cut
+
 #: Buckets that number the rows; each is sorted in one task. Raise it with the table.
 BUCKETS = 1024
+#: Tasks that the rows of one key are dealt to.
+SALTS = 32
 ROUNDS = 6
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -56,25 +60,34 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     return out
 
 
-def number_rows(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """``df`` with ``row_no``, gapless from 0, and the number of rows.
+def number_rows(df: DataFrame, keys: list[str], buckets: int = BUCKETS, name: str = "row_no") -> tuple[DataFrame, int]:
+    """``df`` with ``name``, gapless from 0, and the number of rows.
 
-    Rows are numbered by bucket (a hash of ``keys``), then by ``keys``: the
-    same rows get the same numbers however they are partitioned. Rows equal in
-    all keys may change places with each other. Only the buckets' counts, a
-    number fixed by ``buckets``, leave the executors.
+    Distinct keys are numbered by bucket (a hash of them), then by themselves,
+    and hold as many numbers as they have rows: the same rows get the same
+    numbers however they are partitioned. Rows that repeat a key may change
+    places with each other; they are dealt to ``SALTS`` tasks, so that a bucket's
+    task sorts distinct keys alone. The rows are written first, as two plans
+    must deal them alike. Only the buckets' counts, a number fixed by
+    ``buckets``, leave the executors.
     """
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    counted = {r["b"]: r["n"] for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bucket = F.pmod(F.xxhash64(*[F.col(f"r.{k}") for k in keys]), F.lit(buckets)).cast("int")
+    rows, _ = cut(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")), "rows")
+    rows = rows.select("r", F.struct(*[F.col(f"r.{k}") for k in keys]).alias("k"), bucket.alias("b"), "salt")
+    parts, _ = cut(rows.groupBy("b", "k", "salt").agg(F.count(F.lit(1)).alias("n")), "keys")
+    counted = {r["b"]: r["n"] for r in parts.groupBy("b").agg(F.sum("n").alias("n")).collect()}
     total, first = 0, []
     for b in range(buckets):
         first.append((b, total))
         total += counted.get(b, 0)
-    at = F.broadcast(spark.createDataFrame(first, "__b int, __first long"))  # `buckets` rows
-    order = Window.partitionBy("__b").orderBy(*keys)
-    out = df.withColumn("__b", bucket).withColumn("__r", F.row_number().over(order))
-    return out.join(at, "__b").withColumn("row_no", F.col("__first") + F.col("__r") - 1).drop("__b", "__r", "__first"), total
+    at = F.broadcast(spark.createDataFrame(first, "b int, first long"))  # `buckets` rows
+    groups = parts.groupBy("b", "k").agg(F.sum("n").alias("n")).withColumn("low", F.sum("n").over(Window.partitionBy("b").orderBy("k")) - F.col("n"))
+    inner = F.sum("n").over(Window.partitionBy("b", "k").orderBy("salt")) - F.col("n")  # `SALTS` rows
+    lows = parts.withColumn("inner", inner).select("b", "k", "salt", "inner").join(groups.where("n > 0").select("b", "k", "low"), ["b", "k"]).join(at, "b")
+    lows = lows.select("k", "salt", (F.col("first") + F.col("low") + F.col("inner")).alias("base"))
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("k", "salt").orderBy(F.lit(1)))).join(lows, ["k", "salt"])
+    return placed.select("r.*", (F.col("base") + F.col("i") - 1).alias(name)), total
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int, key: int = 1, buckets: int = BUCKETS) -> DataFrame:
@@ -82,22 +95,26 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, key: int = 1, bucket
 
     Shard sizes differ by one at most, slots are gapless from 0. Null keys
     are numbered like any other value, repeated rows get places of their own,
-    the empty table stays empty. ``df`` must not have columns of these three
-    names or such that begin with two underscores.
+    texts of any length are carried along (keys should be short), the empty
+    table stays empty. Columns of ``df`` stay as they are: where it has one of
+    these three names, the new column's gets an underscore behind it.
     """
-    numbered, total = number_rows(df, keys, buckets)
+
+    def free(name: str) -> str:
+        while name in df.columns:
+            name += "_"
+        return name
+
+    row_no, shard, slot = map(free, ("row_no", "shard", "slot"))
+    numbered, total = number_rows(df, keys, buckets, row_no)
 
     @F.pandas_udf("long")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:
             yield pd.Series(permute(x.to_numpy(np.uint64), total, key).astype(np.int64))
 
-    return (
-        numbered.withColumn("__p", place("row_no"))
-        .withColumn("shard", (F.col("__p") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("__p") / F.lit(shards)).cast("long"))
-        .drop("__p")
-    )
+    at = place(F.col(row_no))
+    return numbered.select("*", F.struct(at.alias("p")).alias("__at__")).select(*[F.col(f"`{c}`") for c in numbered.columns], (F.col("__at__.p") % shards).cast("int").alias(shard), F.floor(F.col("__at__.p") / F.lit(shards)).cast("long").alias(slot))
 
 
 def find_row(shard: int, slot: int, total: int, shards: int, key: int = 1) -> int:

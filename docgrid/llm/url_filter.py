@@ -18,16 +18,33 @@ from docgrid.llm.components import components
 Rule = tuple[str, str, str]
 
 
+#: The letters that hosts and schemes are written in.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty without '://' or for null."""
     url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.substring(url, at + 3, F.length(url))
-    host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), _UPPER, _LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)?", 1)
     return F.when(at > 0, host).otherwise(""), F.when(at > 0, path).otherwise("")
 
 
+#: Scheme, host with port, path, query of a whole url.
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+
+
+def url_node(url: Column) -> Column:
+    """The url by which a page is known: scheme and host in lower case, no default port, no fragment, '/' for no path."""
+    part = lambda k: F.regexp_extract(url, _PARTS, k)
+    scheme, host = F.translate(part(1), _UPPER, _LOWER), F.translate(part(2), _UPPER, _LOWER)
+    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?\z", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?\z", "")).otherwise(host)
+    whole = F.concat(scheme, F.lit("://"), host, F.when(part(3) == "", "/").otherwise(part(3)), part(4))
+    return F.when(url.rlike(_PARTS), whole).otherwise(F.regexp_replace(url, r"(?s)#.*", ""))
+
+
 def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null.
 
@@ -104,8 +121,9 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, url, host, path, rule, verdict) for every row of ``pages``.
 
-    ``edges`` (source, target): urls that are the same page; targets need not
-    be in ``pages`` and rules hold for them too. A url that a rule fits has the
+    ``edges`` (source, target): urls that are the same page, as are urls that
+    differ only in what ``url_node`` leaves out; targets need not be in
+    ``pages`` and rules hold for them too. A url that a rule fits has the
     rule's verdict. Another url is blocked if its component has a blocked url
     and no allowed one, else it has ``default``. Null, empty and schemeless
     urls have empty host and path and fit no rule; null is nobody's alias.
@@ -118,9 +136,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
     base = base.withColumn("m", match_rule(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("own"))
     if edges is None or edges.isEmpty():
         return base.select("id", "url", "host", "path", "rule", F.coalesce("own", F.lit(default)).alias("verdict"))
-    member, _ = components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
+    member, _ = components(edges.select(url_node(F.col("source")).alias("u"), url_node(F.col("target")).alias("v")))
     host, path = host_path(F.col("node"))
     decided = member.withColumn("own", match_rule(host, path, rules)["verdict"])
     verdicts = decided.groupBy("root").agg(F.bool_or(F.col("own") == "block").alias("blocked"), F.bool_or(F.col("own") == "allow").alias("allowed"))
-    passed = decided.join(verdicts.where("blocked and not coalesce(allowed, false)").select("root"), "root", "left_semi").select(F.col("node").alias("url"), F.lit("block").alias("passed"))
-    return base.join(passed, "url", "left").select("id", "url", "host", "path", "rule", F.coalesce("own", "passed", F.lit(default)).alias("verdict"))
+    passed = decided.join(verdicts.where("blocked and not coalesce(allowed, false)").select("root"), "root", "left_semi").select("node", F.lit("block").alias("passed"))
+    return base.withColumn("node", url_node(F.col("url"))).join(passed, "node", "left").select("id", "url", "host", "path", "rule", F.coalesce("own", "passed", F.lit(default)).alias("verdict"))

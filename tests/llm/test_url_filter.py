@@ -67,3 +67,22 @@ def test_relative_and_double_links(spark):
         (4, "http://c.org/2", "", None), (5, "http://k.org/1", link % "http://b.net/es/9" + refresh % "http://k.com/", None),
     ]
     assert {k: v[3] for k, v in judge(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_urls_that_are_the_same_page(spark):
+    from pyspark.sql import functions as F
+
+    from docgrid.llm.url_filter import url_node
+
+    given = ["HTTP://Plain.ORG/A?b#c", "http://plain.org:80/A?b", "https://x.org:443", "https://x.org/", "http://x.org:8080/", "http://x.org:", "mailto:a#b", "nowhere", None]
+    got = [r.n for r in spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i int, u string").select("i", url_node(F.col("u")).alias("n")).orderBy("i").collect()]
+    assert got == ["http://plain.org/A?b", "http://plain.org/A?b", "https://x.org/", "https://x.org/", "http://x.org:8080/", "http://x.org/", "mailto:a", "nowhere", None]
+    pages = [(1, "http://Plain.org/a", "x", None), (2, "http://plain.org:80/a#top", None, None), (3, "http://plain.org/b", None, None)]
+    edges = spark.createDataFrame([("http://plain.org/a", "http://bad.net/es/#x")], "source string, target string")
+    assert {k: v[3] for k, v in judge(spark, pages, edges).items()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_hub_and_very_long_html(spark):
+    rows = [(i, f"http://h.org/{i}", '<link rel="canonical" href="/hub">' + ("<p>" * 300_000 if i == 3 else ""), None) for i in range(300)]
+    rows += [(900, "http://h.org/hub", '<meta http-equiv="refresh" content="0;url=http://c.net/es/1">', None)]
+    assert {v[3] for v in judge(spark, rows).values()} == {"block"}
