@@ -13,8 +13,9 @@ size. Sets of a band take signatures for their own band, and for the next one
 if they are large enough to link with a set in it.
 
 Signatures meet in buckets of the hash space. Equal sets and equal signatures
-collapse inside each task first, so a group of any size reaches its bucket as
-one entry for each task.
+collapse inside each task first, and texts that hang together in a task by
+shared signatures have one pivot there, which stands for all of them; so a
+group of any size reaches its bucket as one entry for each task.
 
 The sets that share a signature form a group. Groups that overlap are put
 together first: near copies share many signatures, under many pivots. Links are
@@ -178,21 +179,34 @@ def _slim(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, cid long, sketch binary")
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    return a[first], b[first]
-
-
 #: base is null: pairs (id, pivot) that met in a task, as they are; else the entries of a bucket, ids as differences from base if they fit 32 bits.
 _PACKED = "bucket int, base long, sigs binary, ids binary"
 
 
+def _heads(ids: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, heads), ids ascending: every id that hangs together with others by the pairs, but for the smallest of them, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([ids, pivots]), return_inverse=True)
+    u, v = at[: len(ids)], at[len(ids) :]
+    head = np.arange(len(nodes))
+    while True:
+        low = np.minimum(head[u], head[v])
+        new = head.copy()
+        for x in (u, v, head[u], head[v]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == head).all():
+            break
+        head = new
+    own = np.flatnonzero(head != np.arange(len(nodes)))
+    return nodes[own], nodes[head[own]]
+
+
 def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(id, pivot, across): texts that share a signature with the pivot, which met in one task or across tasks.
+    """(id, pivot, across): texts that hang together with the pivot by shared signatures, in one task or in one bucket of all tasks.
 
-    What met in one task also belongs to the pivots that its own pivot met across tasks.
+    In a task and in a bucket a text has one pivot, whatever the number of
+    signatures it shares. What met in one task also belongs to the pivots that
+    its own pivot met across tasks.
     """
     bits = np.uint64(buckets.bit_length() - 1)
 
@@ -211,11 +225,14 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             pivots = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
             more = ~first & (ids != pivots)
             rows = []
-            x, p = _distinct_pairs(ids[more], pivots[more])
+            x, p = _heads(ids[more], pivots[more])
             for a in range(0, len(x), 4096):
                 rows.append((turn % buckets, None, x[a : a + 4096].tobytes(), p[a : a + 4096].tobytes()))
                 turn += 1
             key, ids = key[first], ids[first]
+            if len(x):  # a text that met a pivot stands for its signatures through it
+                at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+                ids = np.where(x[at] == ids, p[at], ids)
             edge = np.append(np.searchsorted(key, np.arange(buckets, dtype=np.uint64) << np.uint64(32)), len(key))
             for b in range(buckets):
                 a, z = edge[b], edge[b + 1]
@@ -265,7 +282,7 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             first = np.append(True, sig[1:] != sig[:-1])
             pivots = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
             more = ~first & (ids != pivots)
-            yield from give(*_distinct_pairs(ids[more], pivots[more]), True)
+            yield from give(*_heads(ids[more], pivots[more]), True)
 
         for batch in batches:
             for bucket, base, sigs, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
