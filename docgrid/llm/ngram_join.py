@@ -515,7 +515,9 @@ def _groups(found: DataFrame) -> DataFrame:
     group included; groups of these pivots are merged before that.
     """
     across = found.where("across").select(F.col("pivot").alias("g"), "id")
-    merged, _ = cut(_merged(across.unionByName(across.select("g", F.col("g").alias("id"))).distinct()), "merged")
+    near, near_at = cut(across.unionByName(across.select("g", F.col("g").alias("id"))).distinct(), "near")
+    merged, _ = cut(_merged(near), "merged")
+    forget(found.sparkSession, near_at)
     own = found.where("not across").select(F.col("pivot").alias("way"), "id")
     ways = merged.select("g", F.col("id").alias("way"))
     by_way = own.join(ways, "way", "left").select(F.coalesce("g", "way").alias("g"), "id")
@@ -562,8 +564,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = slim.where("n > 0 and id is not null")
     of = named.select("id", F.col("cid").alias("v")).distinct()
     met = found.join(of, "id").join(of.select(F.col("id").alias("pivot"), F.col("v").alias("p")), "pivot").where("v != p")
-    members, members_at = cut(_groups(met.select(F.col("v").alias("id"), F.col("p").alias("pivot"), "across").distinct()), "members")
-    forget(spark, found_at)
+    met, met_at = cut(met.select(F.col("v").alias("id"), F.col("p").alias("pivot"), "across").distinct(), "pairs")
+    members, members_at = cut(_groups(met), "members")
+    for place in (found_at, met_at):
+        forget(spark, place)
     counted = named.select(F.col("cid").alias("v"), "n").distinct()
     groups, groups_at = cut(_merged(members).withColumnRenamed("id", "v").join(counted, "v").select("g", "v", "n"), "groups")
     forget(spark, members_at)
