@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import _LOWER, IS_SPACE, mix, prefix_hash, steps, sub_hash, utf8
+from docgrid.llm.common import _LOWER, IS_SPACE, Lanes, mix, prefix_hash, steps, sub_hash, utf8
 
 #: Edits allowed, in percent of an item's bytes.
 PERCENT = 10
@@ -36,6 +36,8 @@ PERCENT = 10
 SEED, GRAM = 7, 6
 #: Places whose runs are counted at once.
 PLACES = 1 << 20
+#: Pieces found that one numpy step looks at; ranges from which many are searched at once, and at most so many.
+HITS, FEW, TOGETHER = 1 << 20, 48, 1 << 13
 #: Items of one pass over the documents; more items are taken in blocks of about so many.
 BLOCK = 5000
 
@@ -133,20 +135,37 @@ class Index:
             h = sub_hash(prefix, start, start + q)
             at = np.flatnonzero(maybe[h >> np.uint64(42)])
             a, z = np.searchsorted(seed, h[at], "left"), np.searchsorted(seed, h[at], "right")
-            times = z - a
-            at, a = np.repeat(at, times), np.repeat(a, times)
-            hit = a + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
-            doc = np.searchsorted(offsets, at, "right") - 1
-            fine = at + sizes[hit] <= offsets[doc + 1]
-            at, hit, doc = at[fine], hit[fine], doc[fine]
-            fine = sub_hash(prefix, at, at + sizes[hit]) == whole[hit]
-            at, hit, doc = at[fine], hit[fine], doc[fine]
-            yield doc, items[hit], at - offs[hit]
-
-    def ranges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start, end) of the ranges that pieces give and the lemma leaves."""
-        prefix = prefix_hash(data)
-        doc, item, first = (np.concatenate(x) for x in zip(*self._hits(prefix, offsets)))
+            at, a, upto = at[z > a], a[z > a], np.cumsum((z - a)[z > a])
+            done = 0
+            while done < len(at):  # a piece that many items share comes up for all of them, wherever it stands
+                to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS, "right")))
+                times = np.diff(upto[done:to], prepend=upto[done - 1] if done else 0)
+                place, hit = np.repeat(at[done:to], times), np.repeat(a[done:to] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                doc = np.searchsorted(offsets, place, "right") - 1
+                fine = place + sizes[hit] <= offsets[doc + 1]
+                place, hit, doc = place[fine], hit[fine], doc[fine]
+                fine = sub_hash(prefix, place, place + sizes[hit]) == whole[hit]
+                place, hit, doc = place[fine], hit[fine], doc[fine]
+                yield doc, items[hit], place - offs[hit]
+                done = to
+
+    def ranges(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, start, end) of the ranges that pieces give and the lemma leaves, for about ``HITS`` pieces at a time.
+
+        Of ranges of one text with the same bytes, an item gets the first.
+        """
+        prefix, second = prefix_hash(data), prefix_hash(data, 1)
+        held, n = [], 0
+        for hits in self._hits(prefix, offsets):
+            held.append(hits)
+            n += len(hits[0])
+            if n >= HITS:
+                yield self._narrow(data, offsets, prefix, second, *map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield self._narrow(data, offsets, prefix, second, *map(np.concatenate, zip(*held)))
+
+    def _narrow(self, data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, second: np.ndarray, doc: np.ndarray, item: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if not len(doc):
             return doc, item, first, first
         first = np.maximum(first, offsets[doc])
@@ -165,6 +184,11 @@ class Index:
         need = self.length[item] + 1 - GRAM * (self.most[item] + 1)
         keep = n >= need
         doc, item, low, high, n, need = doc[keep], item[keep], low[keep], high[keep], n[keep], need[keep]
+        names = Lanes(doc.astype(np.uint64))
+        for part in (item.astype(np.uint64), (high - low).astype(np.uint64), sub_hash(prefix, low, high), sub_hash(second, low, high, 1)):
+            names.add(part)
+        keep = np.sort(np.unique(names.end(), return_index=True)[1])
+        doc, item, low, high, n, need = doc[keep], item[keep], low[keep], high[keep], n[keep], need[keep]
         keep = np.zeros(len(doc), bool)
         upto = np.cumsum(n)
         a = 0
@@ -181,18 +205,72 @@ class Index:
     def search(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
         """By text and item: (distance, start, end) of the nearest stretch, the first of equals."""
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
-        for w, i, low, high in zip(*(x.tolist() for x in self.ranges(data, offsets))):
-            part = data[low:high].tobytes()
-            distance, end = edit_search(self.text[i], part, int(self.most[i]))
-            if end < 0:
-                continue
-            _, size = edit_search(self.text[i][::-1], part[:end][::-1], distance)
-            span = (distance, low + end - size, low + end)
-            old = found.setdefault(w, {}).get(i)
-            if old is None or span < old:
-                found[w][i] = span
+        for docs, items, lows, highs in self.ranges(data, offsets):
+            for part in range(0, len(docs), TOGETHER):
+                m = slice(part, part + TOGETHER)
+                doc, item, low, high = docs[m], items[m], lows[m], highs[m]
+                if len(doc) >= FEW:
+                    near = self._within(data, item, low, high)
+                    doc, item, low, high = doc[near], item[near], low[near], high[near]
+                for w, i, lo, hi in zip(*(x.tolist() for x in (doc, item, low, high))):
+                    piece = data[lo:hi].tobytes()
+                    distance, end = edit_search(self.text[i], piece, int(self.most[i]))
+                    if end < 0:
+                        continue
+                    _, size = edit_search(self.text[i][::-1], piece[:end][::-1], distance)
+                    span = (distance, lo + end - size, lo + end)
+                    old = found.setdefault(w, {}).get(i)
+                    if old is None or span < old:
+                        found[w][i] = span
         return found
 
+    def _within(self, data: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which ranges hold a stretch within the item's distance: ``edit_search`` for all of them at once, a byte of each a step."""
+        out = np.zeros(len(item), bool)
+        words = (self.length[item] + 63) // 64
+        for size in np.unique(words).tolist():
+            which = np.flatnonzero(words == size)
+            which = which[np.argsort(-(high - low)[which], kind="stable")]  # the longest first, so that those still going are in front
+            own, row = np.unique(item[which], return_inverse=True)
+            masks = np.zeros((len(own), 256, size), np.uint64) if len(own) * size <= 1 << 13 else None
+            if masks is None:  # the masks of many long items at once would take much memory
+                for part in np.array_split(np.arange(len(which)), -(-len(own) * size // (1 << 13)) + 1):
+                    if len(part):
+                        out[which[part]] = self._within(data, item[which[part]], low[which[part]], high[which[part]]) if len(part) < len(which) else [edit_search(self.text[i], data[a:z].tobytes(), int(self.most[i]))[1] >= 0 for i, a, z in zip(item[which], low[which], high[which])]
+                continue
+            for k, i in enumerate(own.tolist()):
+                t = np.frombuffer(self.text[i], np.uint8)
+                at = np.arange(len(t))
+                np.bitwise_or.at(masks, (k, t, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+            length, most = (high - low)[which], self.most[item[which]]
+            last = ((self.length[item[which]] - 1) % 64).astype(np.uint64)
+            up, down = np.full((size, len(which)), ~np.uint64(0)), np.zeros((size, len(which)), np.uint64)
+            score, best = self.length[item[which]].copy(), self.length[item[which]].copy()
+            one, top = np.uint64(1), np.uint64(63)
+            ends = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # how many are longer than j
+            for j, n in enumerate(ends.tolist()):
+                code = data[low[which[:n]] + j]
+                carry, in_rise, in_fall = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                for w in range(size):
+                    eq, u, d = masks[row[:n], code, w], up[w, :n], down[w, :n]
+                    a = eq & u
+                    total = a + u
+                    over = total < u
+                    total = total + carry
+                    over |= total < carry
+                    carry = over.astype(np.uint64)
+                    across = (total ^ u) | eq | d
+                    rise, fall = d | ~(across | u), u & across
+                    if w == size - 1:
+                        score[:n] += ((rise >> last[:n]) & one).astype(np.int64) - ((fall >> last[:n]) & one).astype(np.int64)
+                    shifted, lowered = (rise << one) | in_rise, (fall << one) | in_fall
+                    in_rise, in_fall = rise >> top, fall >> top
+                    eq = eq | d
+                    up[w, :n], down[w, :n] = lowered | ~(eq | shifted), shifted & eq
+                np.minimum(best[:n], score[:n], out=best[:n])
+            out[which] = best <= most
+        return out
+
 
 @lru_cache(2)
 def _index(packed: bytes, percent: int) -> Index:

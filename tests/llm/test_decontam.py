@@ -119,3 +119,37 @@ def test_evenly_spaced_edits_and_short_items(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.id, r.item_id): r.distance for r in decontam.find_leaks(docs, bench).collect()} == truth
     assert {(d, d // 6) for d, _ in rows} <= set(truth)
+
+
+def test_many_ranges_at_once_equal_one_at_a_time():
+    rng = np.random.default_rng(9)
+    items = [(i, bytes(rng.integers(97, 101, int(rng.choice([4, 12, 40, 63, 64, 65, 128, 130, 400]))).astype(np.uint8))) for i in range(40)]
+    index = decontam.Index(items, 10)
+    data, low, high, item = [], [], [], []
+    at = 0
+    for _ in range(400):
+        i = int(rng.integers(len(items)))
+        near = edited(rng, items[i][1].decode(), int(rng.integers(0, 2 + len(items[i][1]) // 8))).encode()
+        part = bytes(rng.integers(97, 101, int(rng.integers(0, 20))).astype(np.uint8)) + near + b"a" * int(rng.integers(0, 9))
+        data.append(part)
+        low, high, item, at = [*low, at], [*high, at + len(part)], [*item, i], at + len(part)
+    data = np.frombuffer(b"".join(data), np.uint8)
+    low, high, item = map(np.array, (low, high, item))
+    got = index._within(data, item, low, high)
+    want = [decontam.edit_search(items[i][1], data[a:z].tobytes(), len(items[i][1]) // 10)[1] >= 0 for i, a, z in zip(item, low, high)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_a_common_opening_of_all_items():
+    """Every item begins alike: each place where the opening stands is a place of all items."""
+    import time
+
+    rng = np.random.default_rng(5)
+    opening = words(rng, 60)
+    items = [(i, f"{opening} {words(rng, 50)}".encode()) for i in range(2000)]
+    index = decontam.Index(items, 10)
+    texts = [f"{opening} but something else here. {opening}", f"x {items[7][1].decode()[:-3]}", "nothing of it"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    began = time.perf_counter()
+    found = index.search(data, np.cumsum([0, *map(len, texts)]))
+    assert {w: set(v) for w, v in found.items()} == {1: {7}} and time.perf_counter() - began < 20
