@@ -183,6 +183,13 @@ def _slim(docs: DataFrame, k: int) -> DataFrame:
 _PACKED = "bucket int, base long, sigs binary, ids binary"
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[first], b[first]
+
+
 def _heads(ids: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, heads), ids ascending: every id that hangs together with others by the pairs, but for the smallest of them, and that smallest one."""
     nodes, at = np.unique(np.concatenate([ids, pivots]), return_inverse=True)
@@ -202,11 +209,10 @@ def _heads(ids: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(id, pivot, across): texts that hang together with the pivot by shared signatures, in one task or in one bucket of all tasks.
+    """(id, pivot, across): texts that hang together with the pivot by shared signatures in one task, or share one with it across tasks.
 
-    In a task and in a bucket a text has one pivot, whatever the number of
-    signatures it shares. What met in one task also belongs to the pivots that
-    its own pivot met across tasks.
+    In a task a text has one pivot, whatever the number of signatures it
+    shares. It also belongs to the pivots that its own one met across tasks.
     """
     bits = np.uint64(buckets.bit_length() - 1)
 
@@ -282,7 +288,7 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             first = np.append(True, sig[1:] != sig[:-1])
             pivots = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
             more = ~first & (ids != pivots)
-            yield from give(*_heads(ids[more], pivots[more]), True)
+            yield from give(*_distinct_pairs(ids[more], pivots[more]), True)
 
         for batch in batches:
             for bucket, base, sigs, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
