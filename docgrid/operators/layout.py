@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,14 +211,18 @@ def merge_boxes(boxes: DataFrame, image: str = "image_id") -> DataFrame:
     """
     kind = boxes.schema[image].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-        part = pd.DataFrame({"c": _components(x0, y0, x0 + frame["w"].to_numpy(float), y0 + frame["h"].to_numpy(float)), "x0": x0, "y0": y0, "x1": x0 + frame["w"], "y1": y0 + frame["h"]})
-        merged = part.groupby("c").agg({"x0": "min", "y0": "min", "x1": "max", "y1": "max"}).sort_values(["x0", "y0", "x1", "y1"]).to_numpy()
-        name, kept = frame[image].iloc[0], [tuple(b) for b in merged[list(_outer(merged))]]
-        return pd.DataFrame([(name, a, b, c - a, d - b) for a, b, c, d in kept], columns=[image, "x", "y", "w", "h"])
-
-    return boxes.groupBy(image).applyInPandas(run, f"{image} {kind}, x double, y double, w double, h double")
+    def run(table: pa.Table) -> pa.Table:
+        x, y, w, h = (table[c].to_numpy().astype(float) for c in ("x", "y", "w", "h"))
+        part = _components(x, y, x + w, y + h)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+        sides = [f.reduceat(v[order], first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x + w), (np.maximum, y + h))]
+        merged = np.stack(sides, axis=1)[np.lexsort(sides[1::-1])]
+        a, b, c, d = merged[list(_outer(merged))].T
+        return pa.table([table[image].take(pa.array([0] * len(a))), *map(pa.array, (a, b, c - a, d - b))], names=[image, "x", "y", "w", "h"])
+
+    slim = boxes.select(image, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")))
+    return slim.groupBy(image).applyInArrow(run, f"{image} {kind}, x double, y double, w double, h double")
 
 
 def _outer(b: np.ndarray) -> Iterator[int]:
