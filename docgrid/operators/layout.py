@@ -179,9 +179,10 @@ def tag_images(images: DataFrame, labels: DataFrame, contents: DataFrame, lines:
     return out.join(contents.select("doc_id", "label", "title"), ["doc_id", "label"], "left").select(*on, "text", "way", "title")
 
 
-def _components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """Which boxes hang together by overlaps, edges included: a sweep from left to right over the boxes that are open."""
-    order = np.argsort(x0, kind="stable")
+def _components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, picture: np.ndarray | None = None) -> np.ndarray:
+    """Which boxes of a picture hang together by overlaps, edges included: a sweep from left to right over the boxes that are open, picture after picture."""
+    picture = np.zeros(len(x0), np.int64) if picture is None else picture
+    order = np.lexsort((x0, picture))
     parent = np.arange(len(x0))
 
     def root(i: int) -> int:
@@ -191,7 +192,10 @@ def _components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray)
         return i
 
     open_ = np.empty(0, np.int64)
+    now = None
     for i in order:
+        if picture[i] != now:
+            open_, now = open_[:0], picture[i]
         open_ = open_[x1[open_] >= x0[i]]
         for j in open_[(y0[open_] <= y1[i]) & (y1[open_] >= y0[i])]:
             parent[root(int(j))] = root(int(i))
@@ -206,23 +210,46 @@ def _components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray)
 def merge_boxes(boxes: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, x, y, w, h): boxes that hang together by overlaps (touching counts) as the box around them; boxes inside another are gone.
 
-    The boxes of a picture come to one task as a few numbers each; a sweep
-    needs memory for them alone.
+    The boxes of a picture come to one task as a few numbers each, many
+    pictures in one sweep; a sweep needs memory for the boxes alone.
     """
     kind = boxes.schema[image].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y, w, h = (table[c].to_numpy().astype(float) for c in ("x", "y", "w", "h"))
-        part = _components(x, y, x + w, y + h)
-        order = np.argsort(part, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-        sides = [f.reduceat(v[order], first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x + w), (np.maximum, y + h))]
-        merged = np.stack(sides, axis=1)[np.lexsort(sides[1::-1])]
-        a, b, c, d = merged[list(_outer(merged))].T
-        return pa.table([table[image].take(pa.array([0] * len(a))), *map(pa.array, (a, b, c - a, d - b))], names=[image, "x", "y", "w", "h"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def merged(table: pa.Table, end: bool) -> Iterator[pa.RecordBatch]:
+            """The pictures of sorted rows, but for the last one unless these are the end."""
+            names = table[image].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names))
+            upto = len(names) if end else int(edge[-2])
+            held[:] = table.slice(upto).to_batches()
+            if not upto:
+                return
+            rows = table.slice(0, upto)
+            x, y, w, h = (rows[c].to_numpy() for c in ("x", "y", "w", "h"))
+            picture = np.repeat(np.arange(len(edge) - 1), np.diff(edge))[:upto]
+            part = _components(x, y, x + w, y + h, picture)
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+            b = np.stack([f.reduceat(v[order], first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x + w), (np.maximum, y + h))], axis=1)
+            of = picture[order[first]]
+            order = np.argsort(of, kind="stable")
+            b, of = b[order], of[order]
+            begin = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            kept = np.concatenate([i + np.fromiter(_outer(b[i:k]), np.int64) if k - i > 1 else np.array([i]) for i, k in zip(begin[:-1], begin[1:])])
+            b, of = b[kept], of[kept]
+            out = pa.table([rows[image].take(pa.array(edge[of])), *map(pa.array, (b[:, 0], b[:, 1], b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))], names=[image, "x", "y", "w", "h"])
+            yield from out.combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            yield from merged(pa.Table.from_batches(held), False)
+        if held:
+            yield from merged(pa.Table.from_batches(held), True)
 
     slim = boxes.select(image, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")))
-    return slim.groupBy(image).applyInArrow(run, f"{image} {kind}, x double, y double, w double, h double")
+    return slim.repartition(image).sortWithinPartitions(image).mapInArrow(run, f"{image} {kind}, x double, y double, w double, h double")
 
 
 def _outer(b: np.ndarray) -> Iterator[int]:
