@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import frames as f
 from docgrid.operators import mutations as m
+from docgrid.operators.trees import down
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register, table
 from docgrid.plans.relational import run_sql
@@ -130,8 +131,9 @@ def latest_per_group(s, d):
 
 @_put("chain_levels", "W7 J20", "select table_id, level from doc_tables")
 def chain_levels(s, d):
-    """Levels from the parent pointers alone: a recursive query, one step for each page of a chain."""
-    return run_sql(s, d, with_views("with links as (select table_id, parent_id from doc_tables)").replace("with captured", "with recursive captured", 1) + ", steps(table_id, level) as (select table_id, 1 from links where parent_id is null union all select l.table_id, s.level + 1 from steps s join links l on l.parent_id = s.table_id) select table_id, level from steps")
+    """Levels from the parent pointers alone."""
+    links = run_sql(s, d, with_views("select table_id, parent_id from doc_tables"))
+    return down(links, ["table_id"], "parent_id").select("table_id", (F.col("up") + 1).alias("level"))
 
 
 @_put("page_runs", "W9", "select l_orderkey, l_linenumber, min(l_linenumber) over (partition by l_orderkey, g) as run from (select l_orderkey, l_linenumber, l_linenumber - row_number() over (partition by l_orderkey order by l_linenumber) as g from captured) x")
