@@ -300,20 +300,14 @@ def outline_rows(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """[S19] (doc, title, page, level, place): a document's outline as rows, in reading order.
 
     ``nodes`` has doc, node, parent (null at the top), position among its
-    siblings, title, page. Levels count from 0. A recursive query, one step for
-    each level; nodes that hang on nothing, or on each other, don't appear.
+    siblings, title, page. Levels count from 0; nodes that hang on nothing, or
+    on each other, don't appear.
     """
-    nodes.select(F.col(doc).alias("doc"), "node", "parent", F.format_string("%09d", F.col("position").cast("long")).alias("at"), "title", "page").createOrReplaceTempView("__outline")
-    try:
-        out = nodes.sparkSession.sql(
-            """with recursive tree(doc, node, title, page, level, path) as (
-              select doc, node, title, page, 0, at from __outline where parent is null
-              union all select n.doc, n.node, n.title, n.page, t.level + 1, concat(t.path, '.', n.at) from tree t join __outline n on n.doc = t.doc and n.parent = t.node)
-            select doc, title, page, level, path from tree"""
-        )
-    finally:
-        nodes.sparkSession.catalog.dropTempView("__outline")
-    return out.select(F.col("doc").alias(doc), "title", "page", "level", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))
+    from docgrid.operators.trees import down
+
+    slim = nodes.select(F.col(doc).alias("doc"), "node", "parent", F.format_string("%09d", F.col("position").cast("long")).alias("step"), "title", "page")
+    out = down(slim, ["doc", "node"], "parent", F.col("step"))
+    return out.select(F.col("doc").alias(doc), "title", "page", F.col("up").alias("level"), F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))
 
 
 # boxes: struct<x, y, w, h>
