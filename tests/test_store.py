@@ -43,3 +43,12 @@ def test_views_keep_their_meaning(spark):
         got = store.view(spark, SF, name)
         want = run_sql(spark, SF, with_views(f"select * from {name}"))
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
+
+
+def test_what_is_written_is_not_broadcast(spark):
+    """Written views look small by their files; a broadcast would take their rows through the driver."""
+    for name, most in (("complete_issues", 2), ("viz_join_or", 0), ("flat_file", 2)):  # orders and customers go by their own files
+        plan = registry.QUERIES[name].run(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+        assert "SortMergeJoin" in plan and len(sent) <= most, (name, sent)
+    store.forget_all(spark)
