@@ -103,3 +103,18 @@ def test_recall_of_lists(spark):
     lists = nearest.fit_lists(df, 40, 8)
     assert nearest.recall(df, df.where("vec_id % 100 = 0"), 10, lists) >= 0.9
     assert nearest.recall(df, df.where("vec_id % 100 = 0"), 10, nearest.Lists(lists.centroids, 40)) == 1.0
+
+
+@pytest.mark.parametrize("bounds", [True, False])
+def test_a_large_dictionary_sends_its_hits_only(spark, bounds, monkeypatch):
+    """Phrases that begin alike: what goes to the exchange grows with the hits, not with texts times phrases."""
+    names = [f"supplier#{i:05d}" for i in range(400)] + ["é ü", "a b", "aa"]
+    rows = [(i, f"x supplier#{i:05d}, é ü Supplier#1 aaaa") for i in range(300)] + [(900, None), (901, ""), (902, "supplier#0000"), (903, "a b\na b aa")]
+    df, dictionary = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(n,) for n in names], "phrase string")
+    monkeypatch.setattr(phrases, "BITS", 1 << 16)
+    sent = []
+    real = phrases._likely
+    monkeypatch.setattr(phrases, "_likely", lambda *a: sent.append(real(*a)) or sent[-1])
+    got = {tuple(r) for r in phrases.phrase_hits(df, dictionary, "id", bounds=bounds, most=10).collect()}
+    assert got == {tuple(r) for r in phrases.phrase_hits(df, dictionary, "id", bounds=bounds).collect()}
+    assert df.mapInArrow(sent[0], "key int, phrase string, at int, n int").count() <= 2 * len(got)
