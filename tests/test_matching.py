@@ -118,3 +118,15 @@ def test_a_large_dictionary_sends_its_hits_only(spark, bounds, monkeypatch):
     got = {tuple(r) for r in phrases.phrase_hits(df, dictionary, "id", bounds=bounds, most=10).collect()}
     assert got == {tuple(r) for r in phrases.phrase_hits(df, dictionary, "id", bounds=bounds).collect()}
     assert df.mapInArrow(sent[0], "key int, phrase string, at int, n int").count() <= 2 * len(got)
+
+
+@pytest.mark.parametrize("query", ["openings_first_label", "writing_companies"])
+def test_queries_over_a_large_dictionary(spark, query, monkeypatch):
+    """The same rows when the dictionary counts as large, and no exchange of texts with all phrases that begin alike."""
+    import __spark_entry__ as entry
+
+    want = entry.queries()[query](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(phrases.phrase_hits, "__defaults__", ("text", "phrase", True, 10))
+    df = entry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert "collect_set(phrase" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, df.collect())) == sorted(map(str, want))
