@@ -77,3 +77,21 @@ def test_pairs_and_curation(spark):
     assert got == [("b", "p"), ("b", "q"), ("c", "s")]
     near = t.context_pairs(spark.createDataFrame([(1, ["a", "b", "c"])], "id int, w array<string>"), "id", "w", 1)
     assert sorted((r.word, r.context) for r in near.collect()) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
+
+
+def test_word_vectors_are_trained_by_more_tasks_on_more_words(spark, monkeypatch):
+    """The number of tasks goes by the words; no word is lost."""
+    import pyspark.ml.feature as ml
+
+    from docgrid.functions import text
+
+    tasks = []
+    real = ml.Word2Vec.fit
+    monkeypatch.setattr(ml.Word2Vec, "fit", lambda self, df: (tasks.append(self.getNumPartitions()), real(self, df))[1])
+    df = spark.createDataFrame([(["soil", "erosion", "slope"] * 4,), (["water", "river", "lake"] * 4,)] * 40 + [([],)], "w array<string>")
+    vectors = {}
+    for most in (1_000_000, 300):
+        monkeypatch.setattr(text, "TRAIN_WORDS", most, raising=False)
+        model = text.train_embeddings(df, "w", size=8, window=2, min_count=1, iterations=3)
+        vectors[most] = {r.word for r in model.getVectors().collect()}
+    assert tasks == [1, 4] and vectors[300] == vectors[1_000_000] == {"soil", "erosion", "slope", "water", "river", "lake"}
