@@ -23,6 +23,8 @@ from docgrid.shared import forget, written
 BLOCK_BYTES = 32 << 20
 #: Rows and values on which an index is fitted, at most.
 SAMPLE_ROWS, SAMPLE_VALUES = 8192, 1 << 21
+#: Vectors and queries that are scored at a time: a task holds so many products, however many queries a block has.
+ROWS, QUERIES = 4096, 256
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -106,19 +108,20 @@ def _scores(block, k: int, lists: Lists | None):
         near = lists.near(x) if lists else None
         best: list[pa.Table] = []  # the k best rows of each query so far
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
                 y = _unit(rows.column(1))
                 if y.shape[1] != x.shape[1]:
                     continue
-                s = x @ y.T
-                if near is not None:
-                    s[~near[:, lists.of(y)]] = np.nan
-                at_most = min(k + 1, s.shape[1])  # a query may meet its own key once
-                low = np.where(np.isnan(s), -np.inf, s)
-                kth = -np.partition(-low, at_most - 1, axis=1)[:, at_most - 1]
-                q, i = np.nonzero((low >= kth[:, None]) & np.isfinite(low))
-                best.append(pa.table({"q": names.take(pa.array(q)), "id": rows.column(0).take(pa.array(i)), "similarity": s[q, i]}))
+                for first in range(0, len(x), QUERIES):
+                    s = x[first : first + QUERIES] @ y.T
+                    if near is not None:
+                        s[~near[first : first + QUERIES, lists.of(y)]] = np.nan
+                    at_most = min(k + 1, s.shape[1])  # a query may meet its own key once
+                    low = np.where(np.isnan(s), -np.inf, s)
+                    kth = -np.partition(-low, at_most - 1, axis=1)[:, at_most - 1]
+                    q, i = np.nonzero((low >= kth[:, None]) & np.isfinite(low))
+                    best.append(pa.table({"q": names.take(pa.array(first + q)), "id": rows.column(0).take(pa.array(i)), "similarity": s[q, i]}))
                 if sum(t.num_rows for t in best) > 8 * (k + 1) * len(x):
                     best = [_first(pa.concat_tables(best), k)]
         if best:

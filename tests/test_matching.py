@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,20 @@ def test_nearest(spark, monkeypatch):
     assert nearest.cosine_top(df.limit(0), df.limit(0), 3).count() == 0
 
 
+def test_nearest_holds_few_products():
+    """Queries of a block times vectors of a batch would be 134 MB, several times over."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 8))
+    ids = pa.array(np.arange(len(x)))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(list(x), pa.list_(pa.float64()))], names=["id", "v"])
+    block = SimpleNamespace(value=(ids, x / np.linalg.norm(x, axis=1)[:, None]))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in nearest._scores(block, 3, None)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3 * len(x) and peak < 100 << 20
+
+
 def test_recall_of_lists(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
