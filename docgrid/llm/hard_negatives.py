@@ -264,7 +264,8 @@ def search(index: Index, queries: DataFrame, k: int, same: bool) -> DataFrame:
         todo = todo.withColumn("outer", level(F.greatest("inner", "seen"), by))
         asked, _ = cut(todo, "queries")
         slim = asked.select("row", "label", "vector", "square", "lows", "highs", "inner", "seen", "outer").mapInArrow(cells, "pivot int, ring long, m int, rows binary, of binary, queries binary, sizes binary, lows binary, highs binary")
-        met = slim.join(index.blocks, ["pivot", "ring"]).select("n", "first", "ids", "labels", "vectors", "m", "rows", "of", "queries", "sizes", "lows", "highs")
+        # cells take far more room than the queries whose files Spark judges them by: merged, so that neither side goes through the driver
+        met = slim.hint("merge").join(index.blocks, ["pivot", "ring"]).select("n", "first", "ids", "labels", "vectors", "m", "rows", "of", "queries", "sizes", "lows", "highs")
         new = met.mapInArrow(scores, f"row long, range int, score double, id {kind}, hit long")
         merged = new if found is None else found.drop("rank").unionByName(new)
         found, _ = cut(merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")

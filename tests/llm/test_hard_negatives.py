@@ -54,6 +54,20 @@ def test_ties_copies_nulls(spark):
     assert got == brute(rows)
 
 
+def test_cells_pass_by_the_driver(spark, monkeypatch):
+    """What queries ask of the index is joined with it by a merge; neither is broadcast."""
+    plans, real = [], hard_negatives.cut
+
+    def cut(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(hard_negatives, "cut", cut)
+    run(spark, [(i, i % 3, [float(i % 7), float(i % 11)]) for i in range(300)])
+    joins = [line for p in plans for line in p.splitlines() if "Join [pivot" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_small_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, 1, [1.0, 2.0])]) == []
