@@ -158,3 +158,14 @@ def test_each_step_of_a_company(spark):
         1: ("page 1", ["Golder Associates", "Stantec"]), 2: ("page 1", ["Golder Associates", "Stantec"]), 3: ("own", ["In-house Consulting: Own"]), 4: ("page 2", ["Stantec"]), 5: ("page 3", ["Golder Associates"]),
         6: ("own", ["In-house Consulting: Own"]), 7: ("prefix", ["CCI"]), 8: ("own", ["In-house Consulting: "]), 9: ("filing", ["SLR", "Triton"]),
     }
+
+
+def test_names_of_a_filing_join_last(spark):
+    """A filing's names are as many as its documents have: nothing below the last join carries them for each document."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["writing_companies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    documents = plan.children().apply(0)
+    assert "n2" in plan.children().apply(1).output().toString() and "n2" not in documents.output().toString()
