@@ -62,6 +62,10 @@ HOLD = 1 << 19
 SMALL = 2048
 #: Members of a large group that are brought together with its centre at a time; sets of more features come alone.
 TOGETHER, LONG = 256, 50_000
+#: Pairs of one set that are tested together, about.
+STAR = 128
+#: Bits by which texts and sets are told that a join needs; what shares a bit with one of these is sent too, and left out there.
+BITS = 1 << 25
 #: Members of a large group, about, from which its centre and the order of differences are taken, and how many of these make a difference frequent; they decide how much work there is, not the result.
 SAMPLED, FREQUENT = 48, 3
 
@@ -292,7 +296,7 @@ def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
     """(u, v), u < v: pairs of a group's members (g, v, n, root, sketch) of unlike roots that may link.
 
     ``star``: only those of a forest of stars that covers them, the largest
-    star first. Two sketches of the coarser one's bins differ in total by no
+    star first; there u is the middle of its star. Two sketches of the coarser one's bins differ in total by no
     more than the sets do (bins at 255 count as unknown), so no link is lost.
     """
 
@@ -327,6 +331,8 @@ def _possible(groups: DataFrame, percent: int, star: bool) -> DataFrame:
                 bare &= ~gone
                 reach -= both[:, gone].sum(1)
         i, j = np.nonzero(meet)
+        if star:
+            return v[i], v[j]
         return np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,15 +365,24 @@ def _rest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
 
 
+def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be one of ``keys``: all of those, and few others, told by a bitmap of 4 MB at most that every task holds."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    held = rows.withColumns({"__bucket": F.bitmap_bucket_number(place), "__at": F.bitmap_bit_position(place)}).join(F.broadcast(bits), "__bucket")
+    return held.where("getbit(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) = 1").select(*rows.columns)
+
+
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v, nu, nv, shared) of distinct pairs: sizes and the number of common features.
 
-    Pairs of one u come together in some parts, and each part gets a set once.
+    Pairs of one u come together in parts of some ``STAR`` pairs, and each part gets a set once.
     """
-    asks = pairs.select(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.lit(16))).alias("part"), "u", "v")
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    asks = salted(pairs, many, "u", "v").select(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("part"), "u", "v")
     need = asks.select("part", F.explode(F.array("u", "v")).alias("cid")).distinct()
     none = F.lit(None)
-    rows = need.join(sets, "cid").select("part", F.lit(0).alias("kind"), F.col("cid").alias("u"), none.cast("long").alias("v"), "features")
+    rows = need.join(_likely(sets, need, "cid"), "cid").select("part", F.lit(0).alias("kind"), F.col("cid").alias("u"), none.cast("long").alias("v"), "features")
     rows = rows.unionByName(asks.select("part", F.lit(1).alias("kind"), "u", "v", none.cast("binary").alias("features")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,13 +572,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = named.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     met = groups.select(F.col("v").alias("cid")).distinct()
     sketches, sketches_at = cut(classes.join(met, "cid", "left_semi"), "sketches")
-    sets, sets_at = cut(_sets(rows.join(sketches.select("id"), "id", "left_semi"), k), "features")
+    sets, sets_at = cut(_sets(_likely(rows, sketches, "id").join(sketches.select("id"), "id", "left_semi"), k), "features")
     label, label_at = cut(sketches.select("cid", F.col("cid").alias("root")), "label")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, str]:
         """Those pairs that link, by whole sets."""
-        tested = _shared(pairs, sets).where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared")))
-        return cut(tested.select("u", "v"), "tested")
+        asked, asked_at = cut(pairs, "possible")
+        tested = _shared(asked, sets).where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared")))
+        out = cut(tested.select("u", "v"), "tested")
+        forget(spark, asked_at)
+        return out
 
     def with_root(g: DataFrame) -> DataFrame:
         return g.join(label.withColumnRenamed("cid", "v"), "v")

@@ -1,7 +1,9 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from docgrid.llm import ngram_join
 from docgrid.llm.ngram_join import Bands, jaccard_components, signatures
 
 
@@ -214,3 +216,14 @@ def test_what_met_in_a_task_goes_to_its_own_pivots_group(spark):
     rows = _groups(spark.createDataFrame(found, "id long, pivot long, across boolean")).collect()
     assert {r.g for r in rows if r.id == 11} & {r.g for r in rows if r.id == 21}
     assert not _groups(spark.createDataFrame([], "id long, pivot long, across boolean")).collect()
+
+
+def test_only_likely_rows_are_sent(spark, monkeypatch):
+    """A join sends the rows that it needs and few others, none of them lost, with a full bitmap too."""
+    rows = spark.range(-5000, 15000).withColumn("text", F.lit("x")).unionByName(spark.createDataFrame([(None, "y")], "id long, text string"))
+    keys = spark.range(-5000, 15000, 97)
+    want = {r.id for r in keys.collect()}
+    got = [r.id for r in ngram_join._likely(rows, keys, "id").collect()]
+    assert want <= set(got) and len(got) == len(set(got)) < len(want) + 50
+    monkeypatch.setattr(ngram_join, "BITS", 64)
+    assert want <= {r.id for r in ngram_join._likely(rows, keys, "id").collect()}
