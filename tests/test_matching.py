@@ -147,3 +147,27 @@ def test_queries_over_a_large_dictionary(spark, query, monkeypatch):
     df = entry.queries()[query](spark, "/root/testdata/sf0.001")
     assert "collect_set(phrase" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, df.collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("first", [1, 8])
+def test_first_label_sends_few(spark, first, monkeypatch):
+    """Of a text with many phrases only the first likely ones are sent; those of which none is a phrase are looked up whole."""
+    names = [(None if i % 5 == 4 else "xyz"[i % 3], f"supplier#{i:05d}") for i in range(400)] + [("y", "a b"), ("x", "a b"), ("z", "é ü")]
+    rows = [(i, " ".join(f"supplier#{(7 * i + k) % 500:05d}" for k in range(i % 40)) + " é ü a b"[: i % 9]) for i in range(200)] + [(900, None), (901, "")]
+    df, dictionary = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(names, "label string, phrase string")
+    by_text = {}
+    for label, p in names:
+        by_text.setdefault(p, []).append(((label is None, label or ""), label))
+    want = set()
+    for k, t in rows:
+        hits = sorted((*x, p) for p, some in by_text.items() if t and re.search(rf"\b{re.escape(p)}\b", t) for x in some)
+        want |= {(k, *hits[0][1:])} if hits else set()
+    monkeypatch.setattr(phrases, "FIRST", first)
+    monkeypatch.setattr(phrases, "BITS", 1 << (12 if first == 1 else 27))  # a small bitmap lets many wrong ones through
+    sent = []
+    real = phrases._first_likely
+    monkeypatch.setattr(phrases, "_first_likely", lambda *a: sent.append(real(*a)) or sent[-1])
+    got = [tuple(r) for r in phrases.first_hits(df, dictionary, "id", most=10).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert df.mapInArrow(sent[0], "key int, no int, phrase string, more boolean").groupBy("key").count().where(f"count > {first}").isEmpty()
+    assert {tuple(r) for r in phrases.first_hits(df, dictionary, "id").collect()} == want
