@@ -52,3 +52,22 @@ def test_what_is_written_is_not_broadcast(spark):
         sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
         assert "SortMergeJoin" in plan and len(sent) <= most, (name, sent)
     store.forget_all(spark)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_numbered_views_are_written(spark, monkeypatch):
+    """What is made row by row isn't written, and the rows of the facts are sent once to be grouped and numbered."""
+    from docgrid import shared
+
+    written = []
+    real = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: (written.append((name, plan(df).count("Exchange hash"))), real(df, name))[1])
+    for name in ("without_sublabels", "processing_sequence", "tables_by_tag"):
+        store.forget_all(spark)
+        written.clear()
+        registry.QUERIES[name].run(spark, SF)
+        assert written == [("view-spots", 1)], (name, written)
+    store.forget_all(spark)
