@@ -51,7 +51,10 @@ report("chain_tables", "Q6 P3 O1 O3", "select head_id, table_id, level, page, re
 report("csvs_of_locked_pdfs", "Q3 J5 P5 P21", "select csv_id, table_id, method from csvs where table_id in (select table_id from doc_tables where pdf_name in (select pdf_name from pdfs where status = 'locked'))")
 report("tag_matrix", "Q5 J6 P8", """
     select t.table_id, g.tag_id, g.tag_name, case when b.tag_id is null then 'false' else 'true' end as has_tag
-    from doc_tables t cross join tags g left join table_tags b on b.table_id = t.table_id and b.tag_id = g.tag_id""")
+    from doc_tables t cross join tags g left join table_tags b on b.table_id = t.table_id and b.tag_id = g.tag_id""", own="""
+    select t.table_id, g.tag_id, g.tag_name, case when h.tag is null then 'false' else 'true' end as has_tag
+    from (select d.table_id, b.held from doc_tables d left join (select table_id, collect_list(tag_id) as held from table_tags group by table_id) b on b.table_id = d.table_id) t
+    cross join tags g lateral view outer explode(filter(t.held, x -> x = g.tag_id)) h as tag""")
 report("csv_by_method", "Q7 J7 P5", "select t.head_id, t.level, c.csv_id, c.method from doc_tables t join csvs c on c.table_id = t.table_id where c.method in ('lattice-v', 'manual') order by t.head_id, t.level")
 report("tags_of_tables", "Q8 P3", "select b.table_id, g.tag_id, g.tag_name from table_tags b join tags g on g.tag_id = b.tag_id")
 report("processing_index", "Q9 P24 J1 J3 A1 A2 A6 P8 P9 O1", f"""

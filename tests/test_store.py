@@ -71,3 +71,12 @@ def test_only_numbered_views_are_written(spark, monkeypatch):
         registry.QUERIES[name].run(spark, SF)
         assert written == [("view-spots", 1)], (name, written)
     store.forget_all(spark)
+
+
+def test_tags_in_one_pass(spark):
+    """A table's tags come from one pass over the facts; a matrix sends each table once, not once for each tag."""
+    for name, most in (("tag_matrix", 2), ("pivot_tags", 1), ("tag_lists_with_nulls", 2)):
+        df = registry.QUERIES[name].run(spark, SF)
+        assert plan(df).count("FileScan") - plan(df).count("nation.parquet") <= most, name
+    cross = plan(registry.QUERIES["tag_matrix"].run(spark, SF))
+    assert cross.index("NestedLoop") < cross.index("SortMergeJoin" if "SortMergeJoin" in cross else "HashJoin")
