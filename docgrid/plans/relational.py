@@ -108,7 +108,10 @@ report("flat_file", "Q32 J12 P8 P1", """
 report("issue_stats_median", "Q33 A4 A10 P23", """
     with counts as (select table_id, count(*) as n from issues group by table_id)
     select cast(round(avg(n), 0) as int) as mean, cast(sum(n) as bigint) as total, min(n) as low, max(n) as high, count(*) as tables,
-      (select max(n) from (select n, row_number() over (order by n) as r, count(*) over () as k from counts) o where r <= (k + 1) / 2) as median_n from counts""")
+      (select max(n) from (select n, row_number() over (order by n) as r, count(*) over () as k from counts) o where r <= (k + 1) / 2) as median_n from counts""", own="""
+    with counts as (select table_id, count(*) as n from issues group by table_id)
+    select cast(round(avg(n), 0) as int) as mean, cast(sum(n) as bigint) as total, min(n) as low, max(n) as high, count(*) as tables,
+      cast(percentile_disc(0.5) within group (order by n) as bigint) as median_n from counts""")
 report("chains_multi", "Q34 A5", "select head_id, count(*) as n from doc_tables group by head_id having count(*) > 1")
 report("headers_source", "Q35 J4 A7", "select distinct t.head_id, t.combined from doc_tables t left join table_tags b on b.table_id = t.head_id and b.tag_id = 4 where b.tag_id is null and t.combined is not null and t.level = 1")
 report("latest_flag", "Q36 W6", "select pdf_name, application_id, monitoring_year, case when monitoring_year = max(monitoring_year) over (partition by application_id) then 1 else 0 end as latest from pdfs")

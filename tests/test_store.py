@@ -80,3 +80,9 @@ def test_tags_in_one_pass(spark):
         assert plan(df).count("FileScan") - plan(df).count("nation.parquet") <= most, name
     cross = plan(registry.QUERIES["tag_matrix"].run(spark, SF))
     assert cross.index("NestedLoop") < cross.index("SortMergeJoin" if "SortMergeJoin" in cross else "HashJoin")
+
+
+def test_median_without_one_sorted_task(spark):
+    """Only the facts are numbered, order by order; no window holds all counts in one task."""
+    shown = [line for line in plan(registry.QUERIES["issue_stats_median"].run(spark, SF)).splitlines() if "Window [" in line]
+    assert shown and all("windowspecdefinition(l_orderkey" in line for line in shown)
