@@ -119,7 +119,7 @@ def systemops_flat(s, d):
 def _without(spark: SparkSession, sf_dir: str, rows: DataFrame, keys: list[str]) -> DataFrame:
     """[Q46] ``rows`` that have no sub-label by ``keys``, once each, with all their labels in one text."""
     bare = rows.join(_view(spark, sf_dir, "sub_labels").where("sub_vec is not null").select(*keys), keys, "left_anti")
-    vecs = _view(spark, sf_dir, "word_labels").select(*keys, F.coalesce("vec", F.lit("")).alias("vec")).distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("vec")), ", ").alias("vecs"))
+    vecs = _view(spark, sf_dir, "word_labels").select(*keys, F.coalesce("vec", F.lit("")).alias("vec")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("vec")), ", ").alias("vecs"))
     return bare.dropDuplicates(keys).join(vecs, keys, "left").withColumn("vecs", F.coalesce("vecs", F.lit("")))
 
 
