@@ -19,8 +19,12 @@ CUT_HEADINGS = {"egal Land Description": "Legal Land Description", "nvironmental
 
 
 def let(value: Column, use) -> Column:
-    """``use(value)`` with the value evaluated once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)`` with the value evaluated once, however often ``use`` names it.
+
+    An aggregate of no rows that begins with the value; an element of an array
+    made of it would ask for the whole expression's type again in every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
 def strip(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.functions.grid import let
+
 EARTH_MILES = 3958.8
 #: Fixed patterns of location forms; those with back-references in the JVM's dialect.
 DEGREES = r"(\d{1,3}(?:\.\d+))\s*([NWSE](?=[^a-z0-9]|$))"
@@ -173,9 +175,19 @@ def histogram(places: DataFrame, doc: str, text: str, page: str) -> DataFrame:
     return places.groupBy(doc, text).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(page)).alias("pages"))
 
 
-def _formatted(kind: str, found: Column, form: str, meridian: Column) -> tuple[Column, Column, Column]:
-    """(text, whether it is too little for a place, whether it should be looked at) of a match of a record's form."""
-    g = lambda i: F.regexp_extract(found, form, i)
+def _groups(kind: str) -> list[int]:
+    """The groups of a form that its text is made of; all hold only letters and digits."""
+    return [1, 2, 4, 5, 7] if kind == "DLS" else [int(x.lstrip("#")) for x in RECORD_TEXT[kind] if x[0] != "="]
+
+
+def _parts(kind: str, found: Column, pattern: str) -> Column:
+    """The texts of these groups in a match, by one search."""
+    return F.split(F.regexp_replace(found, pattern, "-".join(f"${i}" for i in _groups(kind))), "-")
+
+
+def _formatted(kind: str, parts: Column, meridian: Column) -> tuple[Column, Column, Column]:
+    """(text, whether it is too little for a place, whether it should be looked at) of the parts of a record's form."""
+    g = lambda i: F.get(parts, F.lit(_groups(kind).index(i)))
     n = lambda i: g(i).cast("int").cast("string")
     no = F.lit(False)
     if kind == "DLS":
@@ -188,16 +200,31 @@ def _entry(kind: str, shown: str, pattern: str, rests: Column, meridian: Column)
     """What the i-th match of a form comes to; ``rests`` has the text behind each."""
 
     def entry(m: Column, i: Column) -> Column:
-        rest = F.concat(F.right(m, F.lit(1)), F.get(rests, i))
-        near, after = F.substring(rest, 1, 6), F.regexp_extract(rest, f"({pattern})", 1)
-        start, little, odd = _formatted(kind, m, pattern, meridian)
-        end, _, odd_end = _formatted(kind, after, pattern, meridian)
-        ranged = (near.contains("to") | near.contains(":")) & (after != "")
-        return F.struct((i + 1).alias("no"), F.lit(shown).alias("format"), start.alias("start"), F.when(ranged, end).alias("end"), (odd | (ranged & odd_end)).alias("odd"), little.alias("little"))
+        def whole(parts: Column, last: Column) -> Column:
+            start, little, odd = _formatted(kind, parts, meridian)
+            end, _, odd_end = _formatted(kind, last, meridian)
+            ranged = last.isNotNull()
+            return F.struct((i + 1).alias("no"), F.lit(shown).alias("format"), start.alias("start"), F.when(ranged, end).alias("end"), (odd | (ranged & odd_end)).alias("odd"), little.alias("little"))
+
+        def last(rest: Column) -> Column:
+            near = F.substring(rest, 1, 6)
+            after = F.when(near.contains("to") | near.contains(":"), F.regexp_extract(rest, pattern, 0)).otherwise("")
+            return let(after, lambda x: F.when(x != "", _parts(kind, x, pattern)))
+
+        end = let(F.concat(F.right(m, F.lit(1)), F.get(rests, i)), last)
+        return let(_parts(kind, m, pattern), lambda p: let(end, lambda q: whole(p, q)))
 
     return entry
 
 
+def _entries(source: Column, kind: str, shown: str, pattern: str, meridian: Column) -> Column:
+    """What the matches of a form in ``source`` come to; the text behind them is looked for only where there are any."""
+    pattern = pattern.replace("[^a-zA-Z0-9]", r"\P{Alnum}")  # the same characters, told by one look-up
+    none = F.array().cast("array<struct<no:int,format:string,start:string,end:string,odd:boolean,little:boolean>>")
+    rests = F.regexp_extract_all(source, F.lit(f"({pattern})(?=(.*))"), F.lit(RECORD_GROUPS[kind] + 2))
+    return let(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(rests, lambda r: F.transform(found, _entry(kind, shown, pattern, r, meridian)))).otherwise(none))
+
+
 def extract_places(text: Column, meridian: Column) -> Column:
     """[L10] array<struct<no, format, start, end, check>>: the places of a record, form by form; null: none.
 
@@ -210,19 +237,14 @@ def extract_places(text: Column, meridian: Column) -> Column:
     the second character of ``meridian`` stands in for a missing one. ``check``
     marks survey places from the first on whose subdivision isn't of two letters.
     """
-    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    entries, whole = [], None
-    for kind, shown, pattern in RECORD_FORMS:
-        source = F.regexp_replace(raw, "1/4Sec", "-") if kind == "DLS" else raw
-        both = f"({pattern})(?=(.*))"
-        found = F.regexp_extract_all(source, F.lit(both), F.lit(1))
-        rests = F.regexp_extract_all(source, F.lit(both), F.lit(RECORD_GROUPS[kind] + 2))
-        if kind == "NTS":
-            whole = found
-        if kind == "NTS1_3":
-            found = F.when(F.size(whole) == 0, found).otherwise(F.array().cast("array<string>"))
-
-        entries.append(F.transform(found, _entry(kind, shown, pattern, rests, meridian)))
+    none = F.array().cast("array<struct<no:int,format:string,start:string,end:string,odd:boolean,little:boolean>>")
+
+    def forms(raw: Column) -> Column:
+        entries = {kind: _entries(F.replace(raw, F.lit("1/4Sec"), F.lit("-")) if kind == "DLS" else raw, kind, shown, pattern, meridian) for kind, shown, pattern in RECORD_FORMS}
+        whole = entries.pop("NTS")
+        rest = lambda w: [F.when(F.size(w) == 0, x).otherwise(none) if kind == "NTS1_3" else x for kind, x in entries.items()]
+        return let(whole, lambda w: F.concat(w, *rest(w)))
+
     empty = F.array().cast("array<struct<no:int,format:string,start:string,end:string,check:boolean>>")
     first = F.struct(F.lit(False).alias("skip"), F.lit(False).alias("check"), empty.alias("out"))
 
@@ -233,7 +255,7 @@ def extract_places(text: Column, meridian: Column) -> Column:
         skipped = F.struct(F.lit(False).alias("skip"), state["check"].alias("check"), state["out"].alias("out"))
         return F.when(state["skip"], skipped).when(x["little"], state).otherwise(taken)
 
-    return F.aggregate(F.concat(*entries), first, step, lambda state: state["out"])
+    return F.aggregate(let(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), forms), first, step, lambda state: state["out"])
 
 
 def unknown_place(text: Column) -> Column:

@@ -121,3 +121,10 @@ def test_outline(spark):
     df = spark.createDataFrame(nodes, "doc_id string, node int, parent int, position int, title string, page int")
     got = [tuple(r) for r in p.outline_rows(df).orderBy("doc_id", "place").collect()]
     assert got == [("d", "one", 3, 0, 1), ("d", "early", 4, 1, 2), ("d", "deep", 4, 2, 3), ("d", "late", 5, 1, 4), ("d", "two", 9, 0, 5), ("e", "own", 1, 0, 1)]
+
+
+def test_places_of_a_record_are_searched_once(spark):
+    """Each form's matches and the text behind them are one search each, however often an entry names them."""
+    df = spark.createDataFrame([("SW 1/4 Sec 1-2-3-W4 to NE-5-6-7-W4", "W5M")], "t string, m string").select(p.extract_places(F.col("t"), F.col("m")).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2 * len(p.RECORD_FORMS)
+    assert [(x.start, x.end, x.check) for x in df.first().x] == [("SW-1-2-3-W4M", "NE-5-6-7-W4M", False)]
