@@ -68,9 +68,14 @@ VIEWS: dict[str, str] = {
     "keywords": "select r.r_name as vec, lower(n.n_name) as phrase from nation n join region r on n.n_regionkey = r.r_regionkey",
 }
 
+#: How the facts are sent to be grouped.
+SENT = "/*+ repartition(l_orderkey) */"
+#: Bytes of the facts' files to a partition: some 500,000 rows, whose groups take well below 100 MB.
+PART_BYTES = 1 << 23
+
 #: The same rows in Spark's terms: sent once to be grouped and numbered; in one pass, not in one for each tag.
 SPARK_VIEWS: dict[str, str] = {
-    "captured": VIEWS["captured"].replace("from lineitem", "from (select /*+ repartition(l_orderkey) */ * from lineitem)"),
+    "captured": VIEWS["captured"].replace("from lineitem", f"from (select {SENT} * from lineitem)"),
     "table_tags": """
         select table_id, explode(filter(array(case when part % 3 = 0 then 13 end, case when quantity > 40 then 1 end, case when supp % 7 = 0 then 2 end, case when supp % 5 = 1 then 3 end,
           case when supp % 10 = 3 then 4 end, case when part % 7 = 2 then 5 end, case when part % 13 = 4 then 6 end, case when part % 17 = 5 then 12 end), x -> x is not null)) as tag_id
@@ -85,6 +90,22 @@ def for_spark(sql: str) -> str:
     return sql
 
 
+def parts_of(size: int, tasks: int) -> int | None:
+    """Into how many partitions the facts, ``size`` bytes in files, are dealt; none: as many as Spark likes.
+
+    Adaptive plans put partitions together until there is one for each of the
+    ``tasks`` that run at a time, so what a task holds grows with the table,
+    unless their number is given.
+    """
+    parts = -(-size // PART_BYTES)
+    return parts if parts > tasks else None
+
+
+def dealt(sql: str, parts: int | None) -> str:
+    """``sql`` with its hints of repartition by a column for so many partitions."""
+    return re.sub(r"(/\*\+ repartition\()(?=[a-z_]+\))", rf"\g<1>{parts}, ", sql) if parts else sql
+
+
 def with_views(sql: str) -> str:
     """``sql`` with a WITH clause for the views it names, in order of definition."""
     needed: set[str] = set()
