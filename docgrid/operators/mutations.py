@@ -38,7 +38,7 @@ def update_where(old: DataFrame, column: str, value: Column, where: Column | Non
 
 def pivot_update(records: DataFrame, keys: Sequence[str], tag: str, value: str, order: str, tags: Sequence[str]) -> DataFrame:
     """[K3, G25] One column for each tag; of several values of a tag the last by ``order`` stays."""
-    return records.groupBy(*keys).pivot(tag, list(tags)).agg(F.max_by(value, order))
+    return records.groupBy(*keys).agg(*[F.max_by(value, F.when(F.col(tag) == t, F.col(order))).alias(t) for t in tags])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

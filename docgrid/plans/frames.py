@@ -10,7 +10,7 @@ from docgrid.operators import mutations as m
 from docgrid.operators.trees import down
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register, table
-from docgrid.plans.relational import run_sql
+from docgrid.plans.relational import run_sql, spread
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def column_reset(s, d):
 @_put("pivot_tags", "K3 A16", "select table_id, max(case when tag_id = 1 then tag_id end) as t1, max(case when tag_id = 5 then tag_id end) as t5, max(case when tag_id = 13 then tag_id end) as t13 from table_tags where tag_id in (1, 5, 13) group by table_id")
 def pivot_tags(s, d):
     tags = view(s, d, "table_tags").where("tag_id in (1, 5, 13)").withColumn("name", F.concat(F.lit("t"), F.col("tag_id").cast("string")))
-    return m.pivot_update(tags, ["table_id"], "name", "tag_id", "tag_id", ["t1", "t5", "t13"])
+    return m.pivot_update(spread(tags, d, "table_id"), ["table_id"], "name", "tag_id", "tag_id", ["t1", "t5", "t13"])
 
 
 @_put(
