@@ -184,7 +184,7 @@ def string_set_join(s, d):
 
 @_put("tag_lists_with_nulls", "A9 Q28", "select t.table_id, coalesce(string_agg(cast(b.tag_id as varchar), ',' order by b.tag_id), '') as tags from doc_tables t left join table_tags b on b.table_id = t.table_id group by t.table_id")
 def tag_lists_with_nulls(s, d):
-    joined = view(s, d, "doc_tables").select("table_id").join(view(s, d, "table_tags"), "table_id", "left")
+    joined = spread(view(s, d, "doc_tables").select("table_id"), d, "table_id").join(spread(view(s, d, "table_tags"), d, "table_id"), "table_id", "left")
     return f.lists_with_nulls(joined, ["table_id"], "tag_id", "tag_id", "tags").select("table_id", F.array_join(F.transform("tags", lambda x: x.cast("string")), ",").alias("tags"))
 
 

@@ -86,3 +86,19 @@ def test_median_without_one_sorted_task(spark):
     """Only the facts are numbered, order by order; no window holds all counts in one task."""
     shown = [line for line in plan(registry.QUERIES["issue_stats_median"].run(spark, SF)).splitlines() if "Window [" in line]
     assert shown and all("windowspecdefinition(l_orderkey" in line for line in shown)
+
+
+def test_rows_of_large_facts_are_dealt_by_number(spark, monkeypatch):
+    """Partitions grow in number with the facts, not in rows: nothing that Spark may put together takes all of a key's rows."""
+    from docgrid.plans import domain
+
+    def rows(name):
+        return sorted(map(tuple, registry.QUERIES[name].run(spark, SF).collect()))
+
+    names = ("page_candidates", "pivot_tags", "tag_lists_with_nulls")
+    small = {name: rows(name) for name in names}
+    monkeypatch.setattr(domain, "PART_BYTES", 1 << 13)
+    for name in names:
+        shown = plan(registry.QUERIES[name].run(spark, SF))
+        assert "REPARTITION_BY_NUM" in shown and "ENSURE_REQUIREMENTS" not in shown.replace("SinglePartition, ENSURE_REQUIREMENTS", ""), name
+        assert rows(name) == small[name] != []
