@@ -6,7 +6,7 @@ what was open before a line, which run it belongs to, where a run ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,8 +134,8 @@ def _continued(images: DataFrame) -> DataFrame:
     return rest.where((F.abs(F.col("w") - F.col("before")) < SAME_WIDTH) & F.col("held").isNotNull()).select("doc_id", "page", "image", F.col("held").alias("text"))
 
 
-def _large(images: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, page, image, text): of pictures that fill a page, the largest writing in its lowest fifth with enough letters, else the last one looked at."""
+def _large(images: DataFrame, lines: DataFrame, by: Callable[..., DataFrame]) -> DataFrame:
+    """(doc, page, image, text): of pictures that fill a page, the largest writing in its lowest fifth with enough letters, else the last one looked at; ``by`` deals rows by keys."""
     big = images.where(f"not is_table and text is null and w * h >= {LARGE} * page_w * page_h").select("doc_id", "page", "image", "page_h")
     on = lines.select("doc_id", "page", "line", F.coalesce("text", F.lit("")).alias("t"), "y", "height", "font").join(big.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
     w = Window.partitionBy("doc_id", "page").orderBy("line")
@@ -146,17 +146,17 @@ def _large(images: DataFrame, lines: DataFrame) -> DataFrame:
     after = F.min("ends").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     ends = changes.select("doc_id", "page", F.col("line").alias("__l"), after.alias("end"))
     at = F.when(long_, F.col("line")).when(F.col("next.height").eqNullSafe(F.col("height")), F.col("next.line"))
-    seeds = rows.withColumn("__l", at).withColumn("stop", F.when(~long_ & F.col("__l").isNull(), F.col("next.line"))).join(ends, ["doc_id", "page", "__l"], "left").withColumn("end", F.coalesce("stop", "end"))
+    seeds = by(rows.withColumn("__l", at).withColumn("stop", F.when(~long_ & F.col("__l").isNull(), F.col("next.line"))), "doc_id", "page", "__l").join(ends, ["doc_id", "page", "__l"], "left").withColumn("end", F.coalesce("stop", "end"))
     every = on.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("all"))  # of one page
     inside = F.filter("all", lambda x: (x["line"] >= F.col("line")) & (F.col("end").isNull() | (x["line"] < F.col("end"))))
-    seeds = seeds.join(every, ["doc_id", "page"]).withColumn("text", F.trim(F.array_join(F.transform(inside, lambda x: x["t"]), " ")))
+    seeds = by(seeds, "doc_id", "page").join(every, ["doc_id", "page"]).withColumn("text", F.trim(F.array_join(F.transform(inside, lambda x: x["t"]), " ")))
     met = big.join(seeds.select("doc_id", "page", "line", "y", "font", "text"), ["doc_id", "page"]).withColumn("low", F.col("y") <= F.col("page_h") / 5)
     met = met.withColumn("some", F.max("low").over(Window.partitionBy("doc_id", "page", "image"))).where("low or not some")
     enough = F.length(F.regexp_replace(F.lower("text"), "[^a-z]", "")) >= LETTERS
     return met.groupBy("doc_id", "page", "image").agg(F.coalesce(F.min_by(F.when(enough, F.col("text")), F.when(enough, F.struct(-F.col("font"), "line"))), F.max_by("text", F.struct(-F.col("font"), "line"))).alias("text"))
 
 
-def tag_images(images: DataFrame, labels: DataFrame, contents: DataFrame, lines: DataFrame) -> DataFrame:
+def tag_images(images: DataFrame, labels: DataFrame, contents: DataFrame, lines: DataFrame, parts: int | None = None) -> DataFrame:
     """[H6] (doc_id, page, image, text, way, title): pictures with their captions, how they were found, and the contents table's title of the same label.
 
     ``images`` has doc_id, page, image (its number from the top), x, y, w, h,
@@ -164,19 +164,22 @@ def tag_images(images: DataFrame, labels: DataFrame, contents: DataFrame, lines:
     cy, text; ``contents`` doc_id, label, title; ``lines`` doc_id, page, line,
     text, y, height, font, for pictures that fill a page. In turn: the layout of
     the page, the nearest caption, the table that goes on from the page before,
-    the large writing under a map. A picture without any keeps null.
+    the large writing under a map. A picture without any keeps null. ``parts``
+    is the number of partitions in which the pictures meet what was found; none:
+    as many as Spark likes.
     """
     on = ["doc_id", "page", "image"]
+    by = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     some = labels.where("text is not null")
     first = _by_layout(images, some).withColumnRenamed("text", "t1")
     near = _by_distance(images, some).withColumnRenamed("text", "t2")
-    known = images.join(first, on, "left").join(near, on, "left").withColumn("text", F.coalesce("t1", "t2"))
+    known = by(images, *on).join(first, on, "left").join(near, on, "left").withColumn("text", F.coalesce("t1", "t2"))
     more = _continued(known).withColumnRenamed("text", "t3")
-    maps = _large(known, lines).withColumnRenamed("text", "t4")
+    maps = _large(known, lines, by).withColumnRenamed("text", "t4")
     out = known.drop("text").join(more, on, "left").join(maps, on, "left")
     way = F.when(F.col("t1").isNotNull(), "layout").when(F.col("t2").isNotNull(), "nearest").when(F.col("t3").isNotNull(), "page before").when(F.col("t4").isNotNull(), "largest")
     out = out.select(*on, F.coalesce("t1", "t2", "t3", "t4").alias("text"), way.alias("way")).withColumn("label", label_key(F.col("text")))
-    return out.join(contents.select("doc_id", "label", "title"), ["doc_id", "label"], "left").select(*on, "text", "way", "title")
+    return by(out, "doc_id", "label").join(contents.select("doc_id", "label", "title"), ["doc_id", "label"], "left").select(*on, "text", "way", "title")
 
 
 def _components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, picture: np.ndarray | None = None) -> np.ndarray:

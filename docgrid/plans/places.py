@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from docgrid.functions import places as p
 from docgrid.operators import layout
 from docgrid.operators.companies import writing_companies as resolve
+from docgrid.plans import store
 from docgrid.plans.domain import with_views
 from docgrid.plans.registry import register, table
-from docgrid.plans.relational import run_sql
+from docgrid.plans.relational import parts, run_sql, spread
 
 _PARTS = "select table_id, part % 16 + 1 as lsd, supp % 36 + 1 as section, part % 126 + 1 as township, supp % 34 + 1 as rng, part % 6 + 1 as meridian from doc_tables"
 
@@ -230,11 +231,11 @@ def captions_whole(s, d):
 @register("tagged_pictures", None, "H6")
 def tagged_pictures(s, d):
     """Pictures of the pages with their captions; boxes, captions and large writing all come from the captured tables."""
-    lines = _lines(s, d)
+    lines = spread(store.query(s, d, _LINES.replace("//", "div"), {"captured"}), d, "doc_id", "page")
     label = layout.captions(lines).withColumn("cx", F.lit(200.0) + F.col("line") % 5).withColumn("cy", (F.col("line") % 700).cast("double")).withColumn("label", F.col("line"))
-    spots = run_sql(s, d, with_views("select l_orderkey div 40 as doc_id, l_orderkey div 8 % 5 as page, l_orderkey * 10 + l_linenumber as image, cast(supp % 300 as double) as x, cast(part % 600 as double) as y, case when part % 11 = 0 then 600.0 else cast(100 + supp % 9 as double) end as w, case when part % 11 = 0 then 790.0 else 80.0 end as h, part % 3 = 0 as is_table from captured where part % 4 = 1"))
+    spots = store.query(s, d, "select l_orderkey div 40 as doc_id, l_orderkey div 8 % 5 as page, l_orderkey * 10 + l_linenumber as image, cast(supp % 300 as double) as x, cast(part % 600 as double) as y, case when part % 11 = 0 then 600.0 else cast(100 + supp % 9 as double) end as w, case when part % 11 = 0 then 790.0 else 80.0 end as h, part % 3 = 0 as is_table from captured where part % 4 = 1", {"captured"})
     writing = lines.select("*", F.lit(50.0).alias("y"), (F.col("height") + F.col("line") % 3).alias("font"))
-    return layout.tag_images(spots.withColumns({"page_w": F.lit(612.0), "page_h": F.lit(792.0)}), label, layout.contents_labels(layout.contents_rows(lines)), writing)
+    return layout.tag_images(spread(spots, d, "doc_id", "page").withColumns({"page_w": F.lit(612.0), "page_h": F.lit(792.0)}), label, layout.contents_labels(layout.contents_rows(lines)), writing, parts(s, d))
 
 
 _PAGES = """select concat('p', cast(l_orderkey as varchar(20))) as pdf_id, pos - 1 as page, case when part % 11 = 0 then '' when part % 13 = 0 then cast(null as varchar(9)) else concat(case part % 4 when 0 then 'Table  of Contents, ' when 1 then 'RE: ' else 'report ' end,

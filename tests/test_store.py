@@ -102,3 +102,17 @@ def test_rows_of_large_facts_are_dealt_by_number(spark, monkeypatch):
         shown = plan(registry.QUERIES[name].run(spark, SF))
         assert "REPARTITION_BY_NUM" in shown and "ENSURE_REQUIREMENTS" not in shown.replace("SinglePartition, ENSURE_REQUIREMENTS", ""), name
         assert rows(name) == small[name] != []
+
+
+def test_pictures_of_large_facts(spark, monkeypatch):
+    """Captured lines are grouped once, and pictures meet their captions in partitions whose number grows with the facts."""
+    from docgrid.plans import domain
+
+    store.forget_all(spark)
+    df = registry.QUERIES["tagged_pictures"].run(spark, SF)
+    small = sorted(map(str, df.collect()))
+    assert not scans(df) and "lineitem.parquet" not in plan(df)
+    monkeypatch.setattr(domain, "PART_BYTES", 1 << 13)
+    df = registry.QUERIES["tagged_pictures"].run(spark, SF)
+    assert "REPARTITION_BY_NUM" in plan(df) and sorted(map(str, df.collect())) == small != []
+    store.forget_all(spark)
