@@ -252,8 +252,12 @@ def annotate(grid: Column, names: list[str], values: list[Column], front: bool =
 
 def drop_named_column(grid: Column, name: str) -> Column:
     """[G29] Without the first column of that header."""
-    at = F.array_position(F.get(grid, F.lit(0)), name)
-    return F.when(at > 0, F.transform(grid, lambda r: F.filter(r, lambda c, j: j != at - 1))).otherwise(grid)
+
+    def without(g: Column) -> Column:
+        at = F.array_position(F.get(g, F.lit(0)), name)
+        return let(at, lambda k: F.when(k > 0, F.transform(g, lambda r: F.filter(r, lambda c, j: j != k - 1))).otherwise(g))
+
+    return let(grid, without)
 
 
 def equal(a: Column, b: Column) -> Column:

@@ -159,3 +159,14 @@ def test_pipeline_order(spark):
     assert got[1] == added(fixed) and got[2] == [["manual"]] and got[4] == fixed
     assert got[3] == [added([r[:-3] for r in added(fixed)[1:]])[0], *[r[:-1] + ["Legal Land Description"] for r in added([r[:-3] for r in added(fixed)[1:]])[1:]]]
     assert got[5] == [r[1:-1] for r in fixed[1:-1]]
+
+
+def test_named_column_is_looked_for_once(spark):
+    """A grid that is dropped a column is made once, not again for every cell."""
+    from pyspark.sql import functions as F
+
+    from docgrid.functions import grid as g
+
+    df = spark.createDataFrame([([["a", "b"], ["1", None]],), (None,)], "g array<array<string>>").select(g.drop_named_column(g.annotate(F.col("g"), ["id"], [F.lit(7)]), "a").alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("array_position(") == 1
+    assert [r.x for r in df.collect()] == [[["id", "b"], ["7", None]], None]
