@@ -58,6 +58,8 @@ from docgrid.llm.components import components
 BAND = 1.5
 #: Signatures that a task holds before it hands them on.
 HOLD = 1 << 19
+#: Features of all sets for each bucket, about; a task holds the signatures of one bucket, so their number grows with the input.
+FEATURES = 1 << 19
 #: Members up to which a group is paired out, by sketches, in one task.
 SMALL = 2048
 #: Members of a large group that are brought together with its centre at a time; sets of more features come alone.
@@ -182,7 +184,7 @@ def _slim(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, cid long, sketch binary")
 
 
-#: base is null: pairs (id, pivot) that met in a task, as they are; else the entries of a bucket, ids as differences from base if they fit 32 bits.
+#: base is null: pairs (id, pivot) that met in a task, as they are; else the entries of a bucket, their signatures' last 40 bits (all low 32, then all high 8), ids as differences from base if they fit 32 bits.
 _PACKED = "bucket int, base long, sigs binary, ids binary"
 
 
@@ -193,6 +195,11 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[first], b[first]
 
 
+def _buckets(features: int, partitions: int) -> int:
+    """Into how many buckets, a power of two, the hashes of signatures are dealt."""
+    return 1 << max(6, (2 * partitions - 1).bit_length(), (features // FEATURES).bit_length())
+
+
 def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """(id, pivot, across): texts that share a signature with the pivot, which met in one task or across tasks.
 
@@ -208,7 +215,7 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal turn
             sig, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            key = ((sig >> (np.uint64(64) - bits)) << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF))
+            key = ((sig >> (np.uint64(64) - bits)) << np.uint64(40)) | (sig & np.uint64(0xFFFFFFFFFF))
             order = np.lexsort((ids, key))
             key, ids = key[order], ids[order]
             first = np.append(True, key[1:] != key[:-1])
@@ -220,14 +227,14 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                 rows.append((turn % buckets, None, x[a : a + 4096].tobytes(), p[a : a + 4096].tobytes()))
                 turn += 1
             key, ids = key[first], ids[first]
-            edge = np.append(np.searchsorted(key, np.arange(buckets, dtype=np.uint64) << np.uint64(32)), len(key))
-            for b in range(buckets):
-                a, z = edge[b], edge[b + 1]
-                if z > a:
-                    own = ids[a:z]
-                    base = int(own.min())
-                    apart = int(own.max()) - base
-                    rows.append((b, base, key[a:z].astype(np.uint32).tobytes(), (own - base).astype(np.uint32).tobytes() if apart < 2**32 else own.tobytes()))
+            bucket = (key >> np.uint64(40)).astype(np.int64)
+            low, high = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            for a, z in zip(edge, [*edge[1:], len(key)]):
+                own = ids[a:z]
+                base = int(own.min())
+                apart = int(own.max()) - base
+                rows.append((int(bucket[a]), base, low[a:z].tobytes() + high[a:z].tobytes(), (own - base).astype(np.uint32).tobytes() if apart < 2**32 else own.tobytes()))
             for a in range(0, len(rows), 64):
                 part = rows[a : a + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), *(pa.array([r[i] for r in part], pa.binary()) for i in (2, 3))], names=["bucket", "base", "sigs", "ids"])
@@ -280,7 +287,9 @@ def _meet(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                     yield from close()
                     held = []
                 now = bucket
-                held.append((np.frombuffer(sigs, np.uint32), base + (np.frombuffer(ids, np.uint32).astype(np.int64) if len(ids) == len(sigs) else np.frombuffer(ids, np.int64) - base)))
+                n = len(sigs) // 5
+                sig = np.frombuffer(sigs, np.uint32, n) | np.frombuffer(sigs, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+                held.append((sig, base + (np.frombuffer(ids, np.uint32).astype(np.int64) if len(ids) == 4 * n else np.frombuffer(ids, np.int64) - base)))
         if held:
             yield from close()
 
@@ -554,8 +563,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(6, (2 * partitions - 1).bit_length())
     slim, _ = cut(_slim(rows, k), "sets")
+    buckets = _buckets(slim.agg(F.sum("n")).first()[0] or 0, partitions)
     with arrow_rows(spark, 64):  # a row holds a bucket's signatures of a whole task
         found, found_at = cut(_meet(rows, k, percent, buckets).distinct(), "met")
 

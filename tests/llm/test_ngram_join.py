@@ -227,3 +227,18 @@ def test_only_likely_rows_are_sent(spark, monkeypatch):
     assert want <= set(got) and len(got) == len(set(got)) < len(want) + 50
     monkeypatch.setattr(ngram_join, "BITS", 64)
     assert want <= {r.id for r in ngram_join._likely(rows, keys, "id").collect()}
+
+
+def test_buckets_grow_with_the_features(spark, monkeypatch):
+    """A task holds the signatures of one bucket, which stay as many as the input grows, whatever the partitions; the same result for any number of buckets."""
+    for features in (0, 10**6, 10**9, 10**12):
+        for partitions in (1, 12, 200):
+            buckets = ngram_join._buckets(features, partitions)
+            assert buckets >= 2 * partitions and features / buckets <= ngram_join.FEATURES
+    monkeypatch.setattr(ngram_join, "FEATURES", 8)
+    used, real = [], ngram_join._meet
+    monkeypatch.setattr(ngram_join, "_meet", lambda *a: used.append(a[3]) or real(*a))
+    rows = corpus(3)
+    got = sorted([(r.id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=4, percent=85).collect()], key=str)
+    assert got == brute(rows, 4, 85)
+    assert used[0] * 8 >= sum(n for _, n, _ in got)
