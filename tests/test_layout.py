@@ -169,3 +169,15 @@ def test_names_of_a_filing_join_last(spark):
         plan = plan.children().apply(0)
     documents = plan.children().apply(0)
     assert "n2" in plan.children().apply(1).output().toString() and "n2" not in documents.output().toString()
+
+
+def test_names_of_a_filing_become_text_once(spark):
+    """They are joined to a text where a filing stands once, and captured tables are numbered once, not again for every mention of their pages."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["writing_companies"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    assert "n2:string" in plan.children().apply(1).schema().simpleString()
+    assert not [f for f in df.inputFiles() if "lineitem" in f]
